@@ -9,11 +9,12 @@ the ``confidence`` quantile: each true neighbour has been met by then with that
 
 Rows are dealt to the cells of a kd-tree over projections. Its split values come from a sample of at most
 ``SAMPLE`` rows; every row is indexed, and cells' boxes are computed from all rows. Inside a cell's block of rows, a kd-tree of
-leaves of ``LEAF`` rows orders the search. Queries search their own cell first; the distance of their k-th best
-so far then tells, by the same test against cells' boxes, which other cells they visit.
+leaves of ``LEAF`` rows orders the search. Queries search their own cell first; the score of their k-th best so far
+then tells, by the same test against cells' boxes, which other cells they visit. These are visited in rounds, each of ``GROWTH`` times
+the cells seen so far, nearest first: so the k-th score improves between rounds, and a round returns only what improves it.
 
 Scale: a block is a cell's rows by hash, of about ``BLOCK`` rows; a task holds one block and one chunk of about ``CHUNK``
-queries, so a vector that a third of the rows share fills blocks, not one task. The driver holds boxes and counts of the cells (one for some ``BLOCK`` rows).
+queries, so a vector that a third of the rows share fills blocks, not one task. The driver holds boxes and counts of the cells, at most ``2 ** DEEPEST``.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 components take no part; repeated ids are rows of their own, and a query does not meet any row of its own id; fewer
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-K, DIMS, CONFIDENCE, SEED = 20, 8, 0.98, 42
+K, DIMS, CONFIDENCE, SEED = 20, 8, 0.96, 42
 SAMPLE, BLOCK, CHUNK, LEAF = 20_000, 2048, 512, 64
+#: Cells at most, as a power of two, and how many times the cells seen so far a round of visits adds.
+DEEPEST, GROWTH = 12, 8
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -142,6 +145,35 @@ def search_block(rows: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple
         yield i, found_ids, found
 
 
+def verify_block(rows: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, ...], k: int, norm2: float, quantile: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As :func:`search_block` for queries that know a k-th score: all rows that pass the test at that score, many queries at a time.
+
+    Matrix products sort out what is clearly below the k-th score; scores themselves are always summed in the same way.
+    """
+    ids, vectors, points = rows
+    q_ids, q_vectors, q_points, q_kth = queries
+    square = (points * points).sum(1)
+    for at in range(0, len(q_ids), 128):
+        part = slice(at, at + 128)
+        asks, kth = q_vectors[part], q_kth[part]
+        limit = np.maximum(norm2 + (asks * asks).sum(1) - 2 * kth, 0) * quantile * (1 + 1e-9)
+        gap = square[None, :] + (q_points[part] ** 2).sum(1)[:, None] - 2 * (q_points[part] @ points.T)
+        good = (gap <= limit[:, None]) & (asks @ vectors.T >= (kth - 1e-9 * (1 + abs(kth)))[:, None]) & (ids[None, :] != q_ids[part, None])
+        q, r = np.nonzero(good)
+        scores = (vectors[r] * asks[q]).sum(1)
+        keep = scores >= kth[q]
+        q, r, scores = q[keep], r[keep], scores[keep]
+        for i, x, y in zip(*(v.tolist() for v in _runs(q))):
+            yield (at + i, *_best(ids[r[x:y]], scores[x:y], k))
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, start, end) of each run of equal values."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    starts, ends = np.concatenate([[0], edges])[: len(values)].astype(np.int64), np.concatenate([edges, [len(values)]]).astype(np.int64)
+    return values[starts], starts, ends[: len(starts)]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if not len(column):
         return np.empty((0, 0))
@@ -171,7 +203,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
         return spark.createDataFrame([], result)
     n, norm2, quantile = known["n"], known["norm2"] * (1 + 1e-12), chi_square_quantile(confidence, dims)
     weights = projection(size + 1, dims, seed)
-    depth = max(0, int(np.ceil(np.log2(n / BLOCK))))
+    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(n / BLOCK)))))
 
     def projected(vectors: np.ndarray, augmented: bool) -> np.ndarray:
         out = vectors @ weights[:-1]
@@ -202,28 +234,22 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
     # an id that asks with several vectors asks with the least of them
     asked = stage(usable.where("asks").groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
 
-    def visits(kth_known: bool):
-        """Rows (block, id, v, kth): the query's own cell first, later the others that the test does not exclude."""
+    def visits(start: int, stop: int):
+        """Rows (block, id, v, kth): the query's nearest cells from ``start`` to ``stop``, less those that the test excludes."""
 
         def to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
                     vectors = _matrix(some.column(1))
                     if not len(vectors):
                         continue
                     gap = _box_distance(projected(vectors, False), low, high)
-                    first = gap.argmin(1)
-                    if kth_known:
-                        kth = some.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-                        limit = np.where(kth == -np.inf, np.inf, np.maximum(norm2 + (vectors * vectors).sum(1) - 2 * kth, 0) * quantile)
-                        pick = gap <= limit[:, None]
-                        pick[np.arange(len(first)), first] = False
-                    else:
-                        kth = np.full(len(first), -np.inf)
-                        pick = np.zeros(gap.shape, bool)
-                        pick[np.arange(len(first)), first] = True
-                    row, cell = np.nonzero(pick)
+                    kth = some.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    limit = np.where(kth == -np.inf, np.inf, np.maximum(norm2 + (vectors * vectors).sum(1) - 2 * kth, 0) * quantile)
+                    near = np.argsort(gap, axis=1, kind="stable")[:, start:stop]
+                    row, place = np.nonzero(np.take_along_axis(gap, near, 1) <= limit[:, None])
+                    cell = near[row, place]
                     many = blocks[cell]
                     row, cell = np.repeat(row, many), np.repeat(cell, many)
                     block = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
@@ -250,7 +276,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
             vectors = values(right, "v")
             mine = left["id"].to_numpy(), values(left, "v"), values(left, "p")
             asks = right["id"].to_numpy(), vectors, projected(vectors, False), right["kth"].to_numpy()
-            for i, ids, scores in search_block(mine, asks, k, norm2, quantile):
+            search = verify_block if (asks[3] > -np.inf).all() else search_block
+            for i, ids, scores in search(mine, asks, k, norm2, quantile):
                 out[0] += [int(asks[0][i])] * len(ids)
                 out[1] += ids.tolist()
                 out[2] += scores.tolist()
@@ -268,14 +295,20 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
         else:
             mine, asks = held.withColumn("chunk", F.explode(chunk_rows)), sent.withColumn("chunk", chunk_asks)
         columns = ["cell", "block", "chunk"]
-        found = mine.groupBy(*columns).cogroup(asks.groupBy(*columns)).applyInArrow(searched, "query_id long, vec_id long, score double")
-        return stage(found, "ann-found")
+        return mine.groupBy(*columns).cogroup(asks.groupBy(*columns)).applyInArrow(searched, "query_id long, vec_id long, score double")
 
     sends = "cell long, block long, id long, v array<double>, kth double"
-    own = round_(asked.mapInArrow(visits(False), sends))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    again = asked.join(kth, "id", "left").select("id", "v", "kth")
-    rest = round_(again.mapInArrow(visits(True), sends))
-    every = own.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return every.select("query_id", "rank", "vec_id", "score")
+    best, start, stop = None, 0, 1
+    while start < len(cells):
+        kth = F.lit(None).cast("double").alias("kth")
+        if best is None:
+            asks = asked.select("id", "v", kth)
+        else:
+            known_kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+            asks = asked.join(known_kth, "id", "left").select("id", "v", "kth")
+        found = round_(asks.mapInArrow(visits(start, stop), sends))
+        found = found if best is None else found.union(best.drop("rank"))
+        best = stage(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-best")
+        start, stop = stop, stop * (1 + GROWTH)
+    return best.select("query_id", "rank", "vec_id", "score")
