@@ -27,6 +27,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def load(cls, path: str) -> "WordEncoder":
@@ -45,11 +48,43 @@ class WordEncoder:
             return b""
         if _SEPARATORS.search(text):
             return self._library_ids([text])[0]
-        words, known = text.split(), self.words
-        new = [w for w in set(words) if w not in known]
+        words = text.split()
+        # once for each different word: the large table is looked up seldom, the text's own often
+        own = dict(zip(distinct := set(words), map(self.words.get, distinct)))
+        new = [w for w, ids in own.items() if ids is None]
         if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._library_ids(new)))
-        return b"".join([known[w] for w in words])
+            learned = self._learned(new)
+            own |= learned
+            if len(self.words) > WORDS_KEPT:
+                self.words.clear()
+            self.words |= learned
+        return b"".join([own[w] for w in words])
+
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each of ``words``.
+
+        A word of letters is one piece to the vocabulary, and points or commas after it are another; each piece ends with an
+        end-of-word token. Such words are given to the library as one text, and its ids are cut at these tokens.
+        """
+        found: dict[str, bytes] = {}
+        simple, ends, others = [], [], []
+        for word in words:
+            if word.isalpha():
+                simple.append(word)
+                ends.append(1)
+            elif word[-1] in ".," and word.rstrip(".,").isalpha():
+                simple.append(word)
+                ends.append(2)
+            else:
+                others.append(word)
+        if simple:
+            ids = np.array(self.library.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != sum(ends):
+                others += simple
+            else:
+                raw, stops = ids.astype("<u4").tobytes(), (4 * stops[np.cumsum(ends) - 1]).tolist()
+                found.update(zip(simple, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        if others:
+            found.update(zip(others, self._library_ids(others)))
+        return found
