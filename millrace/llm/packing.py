@@ -82,8 +82,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col
         encoder, end = WordEncoder.load(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6 + with_ids)]
-            for doc, text, copy in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = encoder.encode(text) + end
+            ids, texts, copies = (c.to_pylist() for c in batch.columns)
+            for doc, raw, copy in zip(ids, map(encoder.encode, texts), copies):
+                raw += end
                 n = len(raw) // 4
                 for start in range(0, n, window):
                     part = raw[4 * start : 4 * (start + window)]

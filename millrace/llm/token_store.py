@@ -34,7 +34,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, width: str) -> Data
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder.load(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            found = [np.frombuffer(encoder.encode(t) + end, "<u4").astype(width).tobytes() for t in batch.column(2).to_pylist()]
+            found = [np.frombuffer(ids + end, "<u4").astype(width).tobytes() for ids in map(encoder.encode, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["part", "doc_id", "ids"])
 
     return docs.mapInArrow(ids, "part int, doc_id long, ids binary")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -22,10 +23,15 @@ _loaded: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # for words that are normalised and split already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -48,37 +54,35 @@ class WordEncoder:
             return b""
         if _SEPARATORS.search(text):
             return self._library_ids([text])[0]
-        words = text.split()
-        # once for each different word: the large table is looked up seldom, the text's own often
-        own = dict(zip(distinct := set(words), map(self.words.get, distinct)))
-        new = [w for w, ids in own.items() if ids is None]
+        words, known = text.split(), self.words
+        new = set(words).difference(known)
         if new:
-            learned = self._learned(new)
-            own |= learned
-            if len(self.words) > WORDS_KEPT:
-                self.words.clear()
-            self.words |= learned
-        return b"".join([own[w] for w in words])
+            if len(known) > WORDS_KEPT:
+                known.clear()
+                new = set(words)
+            known |= self._learned(new)
+        return b"".join([known[w] for w in words])
 
-    def _learned(self, words: list[str]) -> dict[str, bytes]:
+    def _learned(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each of ``words``.
 
         A word of letters is one piece to the vocabulary, and points or commas after it are another; each piece ends with an
-        end-of-word token. Such words are given to the library as one text, and its ids are cut at these tokens.
+        end-of-word token. Such words, in lower case and NFC, are given
+        to the library as one text without its normaliser and pattern, and its ids are cut at these tokens.
         """
         found: dict[str, bytes] = {}
-        simple, ends, others = [], [], []
+        simple, texts, ends, others = [], [], [], []
         for word in words:
-            if word.isalpha():
+            base = word.rstrip(".,") if word[-1] in ".," else word
+            if base.isalpha() and (base.isascii() or base == base.lower() and is_normalized("NFC", base)):
                 simple.append(word)
-                ends.append(1)
-            elif word[-1] in ".," and word.rstrip(".,").isalpha():
-                simple.append(word)
-                ends.append(2)
+                tail = word[len(base) :]
+                texts.append(f"{base.lower()} {tail}" if tail else base.lower())
+                ends.append(2 if tail else 1)
             else:
                 others.append(word)
         if simple:
-            ids = np.array(self.library.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.int64)
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) != sum(ends):
                 others += simple
