@@ -24,9 +24,10 @@ def radius_pairs(df: DataFrame, key: str, points: list[str], eps: float) -> Data
     clustering uses :func:`density_cores` and :func:`core_links`, which never list the pairs of a dense cell.
     """
     cells = [F.floor(F.col(p) / eps).cast("long") for p in points]
-    own = df.select(F.col(key).alias("a"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*cells).alias("cell")).alias("l")
+    placed = df.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*cells).alias("cell"))
+    own = placed.withColumnRenamed("_key", "a").alias("l")
     shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(points))])
-    wide = df.select(F.col(key).alias("b"), *[F.col(p).cast("double").alias(p) for p in points], F.explode(F.transform(shifts, lambda s: F.zip_with(F.array(*cells), s, lambda c, d: c + d))).alias("cell")).alias("r")
+    wide = placed.withColumn("cell", F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d)))).withColumnRenamed("_key", "b").alias("r")
     near = _square(points, "l", "r") < eps * eps
     return own.join(wide, (F.col("l.cell") == F.col("r.cell")) & near).select("a", "b", F.sqrt(_square(points, "l", "r")).alias("distance"))
 
