@@ -20,8 +20,7 @@ def radius_pairs(df: DataFrame, key: str, points: list[str], eps: float) -> Data
     """``(a, b, distance)`` of rows nearer than eps, each row with itself included.
 
     Rows meet in cells of width eps: one side goes to its own cell, the other to the neighbouring cells too, so this is an
-    equality join. It is meant for few dimensions (a row goes to 3^d cells). Pairs are what is asked for; density
-    clustering uses :func:`density_cores` and :func:`core_links`, which never list the pairs of a dense cell.
+    equality join. It is meant for few dimensions (a row goes to 3^d cells), and a radius with few rows in a cell: all pairs are the result.
     """
     cells = [F.floor(F.col(p) / eps).cast("long") for p in points]
     placed = df.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*cells).alias("cell"))
@@ -42,7 +41,13 @@ def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, lea
     pairs = checkpointed(radius_pairs(df, key, points, eps).select("a", "b"))
     cores = checkpointed(pairs.groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("core")))
     links = checkpointed(pairs.join(cores, pairs["a"] == cores["core"], "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi"))
-    roots = min_labels(links)
+    # cores of a cell with sides of eps / sqrt(d) are all linked: one of them stands for the cell
+    side = eps / len(points) ** 0.5 * (1 - 1e-9)
+    placed = df.join(cores, df[key] == cores["core"]).select("core", *[F.floor(F.col(p) / side).alias(f"_{i}") for i, p in enumerate(points)])
+    stands = checkpointed(placed.withColumn("by", F.min("core").over(Window.partitionBy(*[f"_{i}" for i in range(len(points))]))).select("core", "by"))
+    first = stands.select(F.col("core").alias("a"), F.col("by").alias("x"))
+    cells = checkpointed(links.join(first, "a").join(stands.withColumnRenamed("core", "b"), "b").select(F.col("x").alias("a"), F.col("by").alias("b")).distinct())
+    roots = stands.join(min_labels(cells), F.col("by") == F.col("node")).select(F.col("core").alias("node"), "root")
     number = Window.orderBy("root")
     numbered = roots.select("root").distinct().select("root", F.row_number().over(number).alias("cluster"))
     labelled = roots.join(numbered, "root").select(F.col("node").alias("b"), "cluster")
