@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the session's ``spark.checkpoint.dir``; one is set only where the session has none (tests, a laptop)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+    """``df`` written as Parquet to the folder in ``spark.checkpoint.dir`` and read again: computed once, lineage ends here.
+
+    A folder is made and set only where the session has none (tests, a laptop).
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
+            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = known.get()
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
