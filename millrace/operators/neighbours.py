@@ -7,6 +7,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import ranked
+from ..functions.storage import checkpointed
+
 
 def _square(points: list[str], left: str, right: str) -> Column:
     total = F.lit(0.0)
@@ -36,8 +39,6 @@ def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, lea
 
     A row that is no core takes the largest number among the cores near it, or -1.
     """
-    from ..functions.storage import checkpointed
-
     pairs = checkpointed(radius_pairs(df, key, points, eps).select("a", "b"))
     cores = checkpointed(pairs.groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("core")))
     links = checkpointed(pairs.join(cores, pairs["a"] == cores["core"], "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi"))
@@ -48,8 +49,7 @@ def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, lea
     first = stands.select(F.col("core").alias("a"), F.col("by").alias("x"))
     cells = checkpointed(links.join(first, "a").join(stands.withColumnRenamed("core", "b"), "b").select(F.col("x").alias("a"), F.col("by").alias("b")).distinct())
     roots = stands.join(min_labels(cells), F.col("by") == F.col("node")).select(F.col("core").alias("node"), "root")
-    number = Window.orderBy("root")
-    numbered = roots.select("root").distinct().select("root", F.row_number().over(number).alias("cluster"))
+    numbered = ranked(roots.select("root").distinct(), [], ["root"], "cluster")
     labelled = roots.join(numbered, "root").select(F.col("node").alias("b"), "cluster")
     border = pairs.join(labelled, "b").groupBy("a").agg(F.max("cluster").alias("border"))
     inner = labelled.select(F.col("b").alias("a"), "cluster")
@@ -59,8 +59,6 @@ def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, lea
 
 def min_labels(links: DataFrame) -> DataFrame:
     """``(node, root)``: the smallest node that each node of symmetric links ``(a, b)`` reaches; rounds of joins, each checkpointed."""
-    from ..functions.storage import checkpointed
-
     labels = checkpointed(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     total = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
     while total is not None:
@@ -83,9 +81,10 @@ def kd_leaves(df: DataFrame, key: str, points: list[str], depth: int) -> DataFra
     """``(key, *points, node)``: heap-numbered nodes; level d splits dimension d mod m at half of a node's rows, ties by key."""
     out = df.select(key, *points).withColumn("node", F.lit(0))
     for d in range(depth):
-        w = Window.partitionBy("node").orderBy(points[d % len(points)], key)
-        high = F.row_number().over(w) > F.floor(F.count(F.lit(1)).over(Window.partitionBy("node")) / 2)
-        out = out.withColumn("_high", high.cast("int")).withColumn("node", F.col("node") * 2 + 1 + F.col("_high")).drop("_high")
+        placed = ranked(out, ["node"], [points[d % len(points)], key], "_place")
+        sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+        high = (F.col("_place") > F.floor(F.col("_n") / 2)).cast("int")
+        out = checkpointed(placed.join(sizes, "node").withColumn("node", F.col("node") * 2 + 1 + high).drop("_place", "_n"))
     return out
 
 

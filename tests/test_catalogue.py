@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import modelling as catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
