@@ -1,12 +1,12 @@
 """Online learners: formulas as a numpy step, folded over ordered rows of each model key, or over a stream.
 
 Learners are sequential within a key and parallel across keys. ``fit`` deals rows by key and folds them in order;
-the state of a key is one row of arrays, which a later ``fit`` or a stream continues from.
+the state of a key is one row of arrays; ``millrace.streaming.learners`` keeps the same state for a stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +17,46 @@ from pyspark.sql import functions as F
 STATE = "c array<array<double>>, l array<double>, w array<double>, alpha array<double>, grad array<double>, u array<array<double>>"
 
 
+def fold_ordered(df: DataFrame, key: str, order: str, columns: dict[str, Column], begin: Callable, step: Callable, end: Callable | None, schema: str) -> DataFrame:
+    """A fold over each key's rows by ``order``, in bounded memory: keys are dealt to tasks and sorted there by Spark, batches stream past.
+
+    ``begin(row)`` gives the state before a key's first row, ``step(state, row)`` a row to emit or None, ``end(key, state)`` a last row.
+    Rows are named tuples with ``k``, ``o`` and ``columns``. One key is one task, since its learner depends on the order of its rows.
+    """
+    names = list(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, started = None, None, False
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if not started or row.k != now:
+                    if started and end is not None:
+                        out.append(end(now, state))
+                    now, state, started = row.k, begin(row), True
+                made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            if out:
+                yield pd.DataFrame(out)
+        if started and end is not None:
+            yield pd.DataFrame([end(now, state)])
+
+    dealt = df.select(F.col(key).alias("k"), F.col(order).alias("o"), *[columns[n].alias(n) for n in names]).where("k is not null")
+    return dealt.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, schema)
+
+
 def linear_fold(df: DataFrame, key: str, order: str, y: str, x: str, size: int, eta: float) -> DataFrame:
-    """``(key, w)`` of the linear online SVM: w += eta y x where y w.x < 1. All in Catalyst; a key's rows are one array."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(y).cast("double").alias("y"), F.col(x).alias("x"))))
-    start = F.array_repeat(F.lit(0.0), size)
-    step = lambda w, r: F.when(r["y"] * dot(w, r["x"]) < 1, F.zip_with(w, r["x"], lambda a, b: a + eta * r["y"] * b)).otherwise(w)
-    return df.groupBy(key).agg(F.aggregate(rows, start, step).alias("w"))
+    """``(key, w)`` of the linear online SVM: w += eta y x where y w.x < 1."""
+
+    def step(w: np.ndarray, row) -> None:
+        v = np.asarray(row.x, float)
+        if row.y * (w @ v) < 1:
+            w += eta * row.y * v
+
+    kind = dict(df.dtypes)[key]
+    columns = {"y": F.col(y).cast("double"), "x": F.col(x).cast("array<double>")}
+    return fold_ordered(df, key, order, columns, lambda row: np.zeros(size), step, lambda k, w: {key: k, "w": w.tolist()}, f"{key} {kind}, w array<double>")
 
 
 @dataclass
@@ -157,18 +190,14 @@ def update(s: State, x: np.ndarray, y: float, p: Params, learner: str) -> None:
 
 
 def fit(df: DataFrame, key: str, order: str, y: str, x: str, learner: str, params: Params = Params()) -> DataFrame:
-    """A row of state for each key; a key's rows stream through one task in order."""
+    """A row of state for each key; a key's rows stream through one task in order, its memory is the centres."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_o", kind="stable")
-        s = State(len(rows["_x"].iloc[0]))
-        for vector, label in zip(rows["_x"], rows["_y"]):
-            update(s, np.asarray(vector, float), float(label), params, learner)
-        return pd.DataFrame([{"key": rows["_k"].iloc[0], **s.row()}])
+    def step(s: State, row) -> None:
+        update(s, np.asarray(row.x, float), row.y, params, learner)
 
     kind = dict(df.dtypes)[key]
-    dealt = df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(y).cast("double").alias("_y"), F.col(x).alias("_x"))
-    return dealt.groupBy("_k").applyInPandas(fold, f"key {kind}, {STATE}")
+    columns = {"y": F.col(y).cast("double"), "x": F.col(x).cast("array<double>")}
+    return fold_ordered(df, key, order, columns, lambda row: State(len(row.x)), step, lambda k, s: {"key": k, **s.row()}, f"key {kind}, {STATE}")
 
 
 def margins(df: DataFrame, states: DataFrame, key: str, x: str, sigma: float) -> DataFrame:
@@ -206,21 +235,19 @@ def spectral_fit(df: DataFrame, key: str, order: str, inputs: str, output: str,
     """``(key, order, predicted)``: predictions before each update, learning along each key's series."""
     filters = spectral_filters(length, k)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_o", kind="stable")
-        past, last_x, last_y, out = np.zeros(length), 0.0, 0.0, []
-        w = np.zeros(k + 3)
-        for x, y in zip(rows["_x"], rows["_y"]):
-            f = np.concatenate([filters.T @ past, [last_x, x, last_y]])
-            predicted = float(w @ f)
-            out.append(predicted)
-            w = w - 2 * eta * (predicted - y) * f
-            size = np.linalg.norm(w)
-            w = w * min(1.0, bound / size) if size > 0 else w
-            past = np.concatenate([[x], past[:-1]])
-            last_x, last_y = x, y
-        return pd.DataFrame({"key": rows["_k"], "at": rows["_o"], "predicted": out})
+    def begin(row) -> dict:
+        return {"past": np.zeros(length), "x": 0.0, "y": 0.0, "w": np.zeros(k + 3)}
+
+    def step(s: dict, row) -> dict:
+        f = np.concatenate([filters.T @ s["past"], [s["x"], row.x, s["y"]]])
+        predicted = float(s["w"] @ f)
+        w = s["w"] - 2 * eta * (predicted - row.y) * f
+        size = np.linalg.norm(w)
+        s["w"] = w * min(1.0, bound / size) if size > 0 else w
+        s["past"] = np.concatenate([[row.x], s["past"][:-1]])
+        s["x"], s["y"] = row.x, row.y
+        return {"key": row.k, "at": row.o, "predicted": predicted}
 
     kinds = dict(df.dtypes)
-    dealt = df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(inputs).cast("double").alias("_x"), F.col(output).cast("double").alias("_y"))
-    return dealt.groupBy("_k").applyInPandas(fold, f"key {kinds[key]}, at {kinds[order]}, predicted double")
+    columns = {"x": F.col(inputs).cast("double"), "y": F.col(output).cast("double")}
+    return fold_ordered(df, key, order, columns, begin, step, None, f"key {kinds[key]}, at {kinds[order]}, predicted double")
