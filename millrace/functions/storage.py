@@ -5,15 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder in ``spark.checkpoint.dir`` and read again: computed once, lineage ends here.
-
-    A folder is made and set only where the session has none (tests, a laptop).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; one is made and set only where the session has none (tests, a laptop)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -21,6 +17,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         shared = known.get()
-    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: computed once, lineage ends here."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

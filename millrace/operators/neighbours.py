@@ -100,6 +100,22 @@ def leaf_boxes(leaves: DataFrame, points: list[str]) -> DataFrame:
     return leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[f(p).alias(f"{p}_{n}") for p in points for n, f in (("low", F.min), ("high", F.max))])
 
 
+def tree_radius(leaves: DataFrame, queries: DataFrame, key: str, query: str, points: list[str], eps: float) -> DataFrame:
+    """``(query, key, distance)`` of rows nearer than eps to each query: leaves whose boxes the ball may touch are visited, others are not.
+
+    There are 2^depth boxes, few enough to be broadcast; visits then meet the rows of their leaf by equality.
+    """
+    boxes = leaf_boxes(leaves, points).drop("n")
+    asked = queries.select(F.col(query).alias("_q"), *[F.col(p).cast("double").alias(f"_q_{p}") for p in points])
+    gap, far = F.lit(0.0), F.lit(0.0)
+    for p in points:
+        outside = F.greatest(F.col(f"{p}_low") - F.col(f"_q_{p}"), F.col(f"_q_{p}") - F.col(f"{p}_high"), F.lit(0.0))
+        gap = gap + outside * outside
+        far = far + (F.col(p) - F.col(f"_q_{p}")) * (F.col(p) - F.col(f"_q_{p}"))
+    visits = asked.join(F.broadcast(boxes), gap < eps * eps).select(*asked.columns, "node")
+    return visits.join(leaves, "node").where(far < eps * eps).select(F.col("_q").alias("query"), key, F.sqrt(far).alias("distance"))
+
+
 def square_distance(vector: Column, centre: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
 

@@ -5,6 +5,8 @@ Order-dependent operators take a total ``order`` and entities ``by``; each entit
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +139,67 @@ def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     inside = F.col(column).between(low, high)
     stats = joined.groupBy(*by, "q").agg(F.min(F.when(inside, F.col(column))).alias("whisker_low"), F.max(F.when(inside, F.col(column))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))
     return stats.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "whisker_low", "whisker_high", "outliers")
+
+
+def partial_autocorrelations(df: DataFrame, column: str, most: int, order: list[str], by: list[str]) -> DataFrame:
+    """``(*by, lag, pacf)`` of lags 1..most: autocorrelations, then the recursion on these few numbers of each series."""
+    acf = autocorrelation(df, column, list(range(1, most + 1)), order, by)
+    lists = acf.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda p: p["acf"]).alias("a"))
+    solve = F.pandas_udf(lambda rows: rows.map(lambda a: partial_autocorrelation([0.0 if v is None or v != v else float(v) for v in a])), "array<double>")
+    return lists.select(*by, F.posexplode(solve("a")).alias("i", "pacf")).select(*by, (F.col("i") + 1).alias("lag"), "pacf")
+
+
+# --- seasonal decomposition by local regression ---
+
+def loess(y: np.ndarray, span: int, at: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
+    """Local lines over equally spaced values, tricube weights over the ``span`` nearest; ``at`` are places, also outside the series."""
+    n, at = len(y), np.arange(len(y), dtype=float) if at is None else at
+    x, weights = np.arange(n, dtype=float), np.ones(n) if weights is None else weights
+    q, out = min(span, n), np.empty(len(at))
+    for i, t in enumerate(at):
+        low = int(np.clip(np.ceil(t - q / 2), 0, n - q))
+        near = slice(low, low + q)
+        d = np.abs(x[near] - t)
+        h = max(d.max(), 1.0) * (1 if span <= n else span / n)
+        w = np.where(d < h * 0.999, (1 - (d / h) ** 3) ** 3, 0.0) * weights[near]
+        total = w.sum()
+        if total <= 0:
+            out[i] = y[near].mean()
+            continue
+        mx, my = w @ x[near] / total, w @ y[near] / total
+        spread = w @ (x[near] - mx) ** 2
+        out[i] = my + ((t - mx) * (w @ ((x[near] - mx) * y[near])) / spread if spread > 1e-9 * total else 0.0)
+    return out
+
+
+def stl_parts(y: np.ndarray, period: int, season_span: int = 7, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and season of one series of at least two periods: phases smoothed by themselves, their low frequencies moved to the trend."""
+    n, trend, season = len(y), np.zeros(len(y)), np.zeros(len(y))
+    trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / season_span))) | 1
+    average = lambda v, k: np.convolve(v, np.ones(k) / k, "valid")
+    for _ in range(rounds):
+        cycle = np.empty(n + 2 * period)
+        for phase in range(period):
+            own = (y - trend)[phase::period]
+            cycle[phase::period][: len(own) + 2] = loess(own, season_span, np.arange(-1.0, len(own) + 1))
+        low = loess(average(average(average(cycle, period), period), 3), period | 1)
+        season = cycle[period : n + period] - low[:n]
+        trend = loess(y - season, trend_span)
+    return trend, season
+
+
+def stl(df: DataFrame, column: str, period: int, order: str, by: str) -> DataFrame:
+    """``(by, order, value, trend, season, remainder)``; the series of one entity is smoothed in one task, entities in parallel.
+
+    Nulls are left out and the rest is taken as equally spaced; a series shorter than two periods has its mean as trend and no season.
+    """
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("order", kind="stable")
+        y = rows["value"].to_numpy(float)
+        trend, season = stl_parts(y, period) if len(y) >= 2 * period else (np.full(len(y), y.mean()), np.zeros(len(y)))
+        return rows.assign(trend=trend, season=season, remainder=y - trend - season)
+
+    kinds = dict(df.dtypes)
+    dealt = df.where(F.col(column).isNotNull()).select(F.col(by).alias("by"), F.col(order).alias("order"), F.col(column).cast("double").alias("value"))
+    made = dealt.groupBy("by").applyInPandas(split, f"by {kinds[by]}, `order` {kinds[order]}, value double, trend double, season double, remainder double")
+    return made.withColumnsRenamed({"by": by, "order": order})

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
+from ..operators import cleaning as C
 from ..operators import features as X
+from ..operators import mixtures as G
+from ..operators import models as M
+from ..operators import neighbours as N
+from ..operators import series as S
 from ..operators import trees as T
-from .catalogue import ORACLE_SQL, QUERIES, _r, _table, flagship, query
+from ..operators.series import hash_folds
+from ..sources import artifacts as A
+from .catalogue import _POINTS, _SQ, _V4, ORACLE_SQL, QUERIES, _gappy, _points, _r, _seeds, _table, _vectors, flagship, query
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -67,3 +77,91 @@ def feat_predictive_power(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.col("value").alias("y"), (F.col("event_id") % 4).cast("int").alias("fold"), F.get_json_object("props", "$.k").cast("double").alias("k"), "user_id")
     found = T.predictive_power(X.melt(e, ["k", "user_id"], ["fold", "y"]))
     return found.select("feature", *[_r(c).alias(c) for c in ("mae", "naive", "score")])
+
+
+# --- series and neighbours ---
+
+@query("""WITH c AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id) AS x FROM events), l AS (SELECT user_id, x, lag(x, 1) OVER w AS l1, lag(x, 2) OVER w AS l2 FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    s AS (SELECT user_id, coalesce(sum(x * l1), 0) / sum(x * x) AS a, coalesce(sum(x * l2), 0) / sum(x * x) AS b FROM l GROUP BY user_id)
+    SELECT user_id, 1 AS lag, round(a, 6) AS pacf FROM s UNION ALL SELECT user_id, 2, round((b - a * a) / (1 - a * a), 6) FROM s""")
+def eda_pacf(spark, sf_dir):
+    t = S.partial_autocorrelations(_table(spark, sf_dir, "events"), "value", 2, ["event_id"], ["user_id"])
+    return t.select("user_id", F.col("lag").cast("int").alias("lag"), _r("pacf").alias("pacf"))
+
+
+@query()
+def eda_seasonal_stl(spark, sf_dir):
+    return S.stl(_table(spark, sf_dir, "events"), "value", 7, "event_id", "user_id")
+
+
+@query(f"""WITH {_POINTS} SELECT q.c_custkey AS query, p.c_custkey, round(sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)), 6) AS distance
+    FROM pts q, pts p WHERE q.c_custkey % 10 = 0 AND power(p.x - q.x, 2) + power(p.y - q.y, 2) < 4""")
+def nn_kd_radius(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    found = N.tree_radius(N.kd_leaves(points, "c_custkey", ["x", "y"], 4), points.where("c_custkey % 10 = 0"), "c_custkey", "c_custkey", ["x", "y"], 2.0)
+    return found.withColumn("distance", _r("distance"))
+
+
+# --- mixtures ---
+
+def _mixture(spark, sf_dir):
+    return [(1 / 3, c, [1.0] * 4) for c in _seeds(_table(spark, sf_dir, "embeddings"), 3, 4)]
+
+
+@query(f"""WITH {_V4}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3)),
+    p AS (SELECT vec_id, v.e, k, exp(-{_SQ} / 2) AS p FROM v, c), r AS (SELECT k, e, p / sum(p) OVER (PARTITION BY vec_id) AS r FROM p),
+    m AS (SELECT k, sum(r) AS n, sum(r * e[1]) / sum(r) AS m, sum(r * e[1] * e[1]) / sum(r) AS q FROM r GROUP BY k)
+    SELECT k::INT AS k, round(n / sum(n) OVER (), 5) AS weight, round(m, 5) AS mean_0, round(q - m * m + 1e-6::DOUBLE, 5) AS variance_0 FROM m""")
+def mixture_round(spark, sf_dir):
+    made = G.em_round(_vectors(spark, sf_dir), "e", _mixture(spark, sf_dir))
+    return spark.createDataFrame([(k, round(w, 5), round(m[0], 5), round(v[0], 5)) for k, (w, m, v) in enumerate(made)], "k int, weight double, mean_0 double, variance_0 double")
+
+
+@query()
+def oneclass_online(spark, sf_dir):
+    t = _vectors(spark, sf_dir).withColumn("model", F.col("label") % 5)
+    return G.one_class_fit(t, "model", "vec_id", "e", _mixture(spark, sf_dir), 0.5, threshold=0.6)
+
+
+# --- models ---
+
+_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+
+
+def _modelled(spark, sf_dir):
+    """Whether a line was returned, by its numbers; folds by a hash of the order."""
+    t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_FEATURES, (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    return M.prepare(hash_folds(t, 3, "l_orderkey"), _FEATURES, "y")
+
+
+@query()
+def model_compare(spark, sf_dir):
+    """Two models of the registry, cross-validated."""
+    models = {n: m for n, m in M.registry(2).items() if n in ("ridge", "tree")}
+    return M.ledger(spark, M.compare(_modelled(spark, sf_dir), "lineitem", models, 3, "accuracy")).drop("mean_time", "std_time")
+
+
+@query()
+def model_halving(spark, sf_dir):
+    rows = M.halving(_modelled(spark, sf_dir), "lineitem", "tree", M.registry(2)["tree"], M.draw("tree", 4), 3, "accuracy", "l_orderkey")
+    return M.ledger(spark, rows).drop("mean_time", "std_time")
+
+
+@query()
+def feat_forest_importance(spark, sf_dir):
+    """Forest importances, and whether the two rules keep a feature."""
+    found = M.importances(_modelled(spark, sf_dir), _FEATURES, 2, 20)
+    thresholded, increment = M.keep_thresholded(found), M.keep_increment(found)
+    return spark.createDataFrame([(f, float(i), f in thresholded, f in increment) for f, i in found], "feature string, importance double, thresholded boolean, increment boolean")
+
+
+@query()
+def model_publish_predict(spark, sf_dir):
+    """A regression of event values, published to the shared folder, loaded and applied."""
+    e = _gappy(spark, sf_dir)
+    plan = C.fit(e, ["value", "k"], outliers="none", missing="mean", target="value")
+    specs = [X.FeatureSpec("sin", ("k",)), X.FeatureSpec("x", ("k", "one"))]
+    made = A.publish(e, plan, specs, ["k", "sin__k", "k__x__one"], "value", None, "ridge")
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    made.save(spark, path)
+    return A.load(spark, path).predict(e.drop("value")).select("event_id", "predicted")
