@@ -77,11 +77,15 @@ def outlier_test(df: DataFrame, key: str, points: list[str], eps: float, least:
     return counts.select(F.col("a").alias(key), (F.col("count") <= least).alias("outlier"))
 
 
-def kd_leaves(df: DataFrame, key: str, points: list[str], depth: int) -> DataFrame:
-    """``(key, *points, node)``: heap-numbered nodes; level d splits dimension d mod m at half of a node's rows, ties by key."""
+def kd_leaves(df: DataFrame, key: str, points: list[str], depth: int, seed: int | None = None) -> DataFrame:
+    """``(key, *points, node)``: heap-numbered nodes; level d splits dimension d mod m at half of a node's rows, ties by key.
+
+    With ``seed`` each node splits a dimension drawn by a hash of its number instead.
+    """
     out = df.select(key, *points).withColumn("node", F.lit(0))
     for d in range(depth):
-        placed = ranked(out, ["node"], [points[d % len(points)], key], "_place")
+        drawn = F.lit(d % len(points)) if seed is None else F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(len(points))).cast("int")
+        placed = ranked(out.withColumn("_v", F.get(F.array(*points), drawn)), ["node"], ["_v", key], "_place").drop("_v")
         sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
         high = (F.col("_place") > F.floor(F.col("_n") / 2)).cast("int")
         out = checkpointed(placed.join(sizes, "node").withColumn("node", F.col("node") * 2 + 1 + high).drop("_place", "_n"))

@@ -59,6 +59,47 @@ def linear_fold(df: DataFrame, key: str, order: str, y: str, x: str, size: int,
     return fold_ordered(df, key, order, columns, lambda row: np.zeros(size), step, lambda k, w: {key: k, "w": w.tolist()}, f"{key} {kind}, w array<double>")
 
 
+def hinge_fit(df: DataFrame, y: str, x: str, size: int, rounds: int = 50, reg: float = 1e-3, eta: float = 1.0) -> list[float]:
+    """Weights of the linear SVM on all rows: sub-gradient steps of falling length on mean hinge loss plus reg / 2 |w|^2.
+
+    A round is one aggregate of ``size`` numbers; the weights are those with the smallest loss met.
+    """
+    rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x"))
+    w, best = np.zeros(size), (np.inf, np.zeros(size))
+    for t in range(rounds):
+        margin = F.col("y") * F.aggregate(F.zip_with("x", F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        inside = F.when(margin < 1, F.col("y")).otherwise(0.0)
+        r = rows.agg(F.avg(F.greatest(1 - margin, F.lit(0.0))).alias("loss"), *[F.avg(inside * F.get("x", F.lit(j))).alias(f"g{j}") for j in range(size)]).first()
+        if r["loss"] is None:
+            break
+        loss = r["loss"] + reg / 2 * float(w @ w)
+        best = min(best, (loss, w), key=lambda p: p[0])
+        w = w - eta / np.sqrt(t + 1) * (reg * w - np.array([r[f"g{j}"] for j in range(size)]))
+    return best[1].tolist()
+
+
+def map_fold(df: DataFrame, key: str, order: str, x: str, start: list[list[float]], width: int, alpha: float = 0.3, sigma: float | None = None) -> DataFrame:
+    """``(key, weights)`` of a self-organising map that learns each key's rows one by one: w += alpha exp(-g^2 / sigma^2) (x - w), g the
+    grid distance to the nearest neuron; alpha and sigma fall to 0 along the key's rows."""
+    grid = np.array([divmod(i, width) for i in range(len(start))], float)
+    wide = sigma or max(width, -(-len(start) // width)) / 2
+    counted = df.where(F.col(x).isNotNull()).join(df.where(F.col(x).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+
+    def begin(row) -> dict:
+        return {"w": np.array(start, float), "t": 0}
+
+    def step(s: dict, row) -> None:
+        v, left = np.asarray(row.x, float), 1 - s["t"] / row.n
+        winner = ((s["w"] - v) ** 2).sum(1).argmin()
+        near = np.exp(-((grid - grid[winner]) ** 2).sum(1) / (wide * left) ** 2)
+        s["w"] = s["w"] + alpha * left * near[:, None] * (v - s["w"])
+        s["t"] += 1
+
+    kind = dict(df.dtypes)[key]
+    columns = {"x": F.col(x).cast("array<double>"), "n": F.col("_n")}
+    return fold_ordered(counted, key, order, columns, begin, step, lambda k, s: {"key": k, "weights": s["w"].tolist()}, f"key {kind}, weights array<array<double>>")
+
+
 @dataclass
 class Params:
     """radius of the cover; C bounds multipliers; eps bounds the ambiguity; eta learning rate; sigma kernel width."""
@@ -208,6 +249,17 @@ def margins(df: DataFrame, states: DataFrame, key: str, x: str, sigma: float) ->
     return df.join(held, key, "left").withColumn("margin", margin).drop("_z")
 
 
+def surface(states: DataFrame, sigma: float, steps: int = 100, reach: float = 1.5) -> DataFrame:
+    """``(key, x, y, margin)`` on a grid over ``reach`` times the range of each key's centres, which have two dimensions."""
+    ends = states.where(F.size("c") > 0)
+    for name, j in (("x", 0), ("y", 1)):
+        side = F.transform("c", lambda v: F.get(v, F.lit(j)))  # noqa: B023
+        middle, half = (F.array_max(side) + F.array_min(side)) / 2, (F.array_max(side) - F.array_min(side)) / 2
+        ends = ends.withColumn(f"_{name}", F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: middle + reach * half * (2 * i / (steps - 1) - 1)))  # noqa: B023
+    points = ends.select("key", F.explode("_x").alias("x"), "_y").select("key", "x", F.explode("_y").alias("y")).withColumn("_p", F.array("x", "y"))
+    return margins(points, states, "key", "_p", sigma).drop("_p")
+
+
 def rbf(a: Column, b: Column, sigma: float) -> Column:
     return F.exp(-F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v) / (2 * sigma * sigma))
 

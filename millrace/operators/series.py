@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import ranked
+
 
 # --- scaling ---
 
@@ -54,6 +56,31 @@ def revert(df: DataFrame, change: str, level: str, order: list[str], by: list[st
     return df.withColumn("reverted", before * F.exp(change) if log else before + F.col(change))
 
 
+def lagged(df: DataFrame, columns: list[str], back: list[int], order: list[str], by: list[str] = (), diff: bool = False) -> DataFrame:
+    """Columns ``name_b``: the value b rows before; with ``diff`` ``name_d_b``: that value less the present one. Rows without all of them are left out."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    made = {f"{c}_d_{b}" if diff else f"{c}_{b}": _at(F.col(c), -b, w) - F.col(c) if diff else _at(F.col(c), -b, w) for c in columns for b in back}
+    return df.withColumns(made).na.drop("any", subset=list(made))
+
+
+def output_windows(df: DataFrame, column: str, size: int, order: list[str], by: list[str] = ()) -> DataFrame:
+    """``window``: the values of this row and the ``size`` - 1 after it; the last rows, which have fewer, are left out."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    made = df.withColumn("window", F.array(*[_at(F.col(column), i, w) for i in range(size)])).withColumn("_last", F.lead(F.lit(1), size - 1).over(w) if size > 1 else F.lit(1))
+    return made.where("_last is not null").drop("_last")
+
+
+def plot_rows(df: DataFrame, key: str, target: str, most: int = 10_000) -> DataFrame:
+    """At most ``most`` evenly spaced rows by ``key``, with ``colour``: the target scaled to 0..1 over all rows (0 for a constant)."""
+    limits = df.agg(F.count(F.lit(1)).alias("n"), F.min(target).alias("low"), F.max(target).alias("high")).first()
+    placed = ranked(df, [], [key], "_at")
+    step = max(limits["n"] / most, 1.0)
+    chosen = F.floor((F.col("_at") - 1) / step) != F.floor((F.col("_at") - 2) / step)
+    spread = (limits["high"] - limits["low"]) if limits["low"] is not None else 0
+    colour = (F.col(target) - F.lit(limits["low"])) / F.lit(spread) if spread else F.lit(0.0)
+    return placed.where(chosen).withColumn("colour", colour).drop("_at")
+
+
 # --- folds ---
 
 def k_folds(df: DataFrame, k: int, order: list[str], by: list[str] = ()) -> DataFrame:

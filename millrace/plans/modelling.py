@@ -12,11 +12,12 @@ from ..operators import features as X
 from ..operators import mixtures as G
 from ..operators import models as M
 from ..operators import neighbours as N
+from ..operators import online as O
 from ..operators import series as S
 from ..operators import trees as T
 from ..operators.series import hash_folds
 from ..sources import artifacts as A
-from .catalogue import _POINTS, _SQ, _V4, ORACLE_SQL, QUERIES, _gappy, _points, _r, _seeds, _table, _vectors, flagship, query
+from .catalogue import _POINTS, _SQ, _V4, ORACLE_SQL, QUERIES, _gappy, _labelled, _points, _r, _seeds, _table, _vectors, flagship, query
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -102,6 +103,44 @@ def nn_kd_radius(spark, sf_dir):
     return found.withColumn("distance", _r("distance"))
 
 
+@query("""WITH w AS (SELECT event_id, value, lag(value, 1) OVER w AS a, lag(value, 3) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, round(a - value, 6) AS value_d_1, round(b - value, 6) AS value_d_3 FROM w WHERE a IS NOT NULL AND b IS NOT NULL""")
+def seq_lagged_diff(spark, sf_dir):
+    t = S.lagged(_table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["value"], [1, 3], ["event_id"], ["user_id"], diff=True)
+    return t.select("event_id", _r("value_d_1").alias("value_d_1"), _r("value_d_3").alias("value_d_3"))
+
+
+@query("""SELECT event_id, value AS y0, y1, y2 FROM (SELECT event_id, value, lead(value, 1) OVER w AS y1, lead(value, 2) OVER w AS y2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE y2 IS NOT NULL""")
+def seq_output_windows(spark, sf_dir):
+    t = S.output_windows(_table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "value", 3, ["event_id"], ["user_id"])
+    return t.select("event_id", *[F.col("window")[i].alias(f"y{i}") for i in range(3)])
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY event_id) AS i, greatest(count(*) OVER () / 300::DOUBLE, 1) AS step, min(value) OVER () AS low, max(value) OVER () AS high FROM events)
+    SELECT event_id, value, round((value - low) / (high - low), 6) AS colour FROM n WHERE floor((i - 1) / step) <> floor((i - 2) / step)""")
+def eda_time_plot(spark, sf_dir):
+    t = S.plot_rows(_table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value", 300)
+    return t.withColumn("colour", _r("colour"))
+
+
+@query()
+def som_online(spark, sf_dir):
+    t = _vectors(spark, sf_dir).withColumn("model", F.col("label") % 5)
+    return O.map_fold(t, "model", "vec_id", "e", _seeds(_table(spark, sf_dir, "embeddings"), 9, 4), 3)
+
+
+@query()
+def linear_svm_fit(spark, sf_dir):
+    w = O.hinge_fit(_labelled(spark, sf_dir), "y", "e", 4, 20)
+    return spark.createDataFrame([tuple(w)], "w0 double, w1 double, w2 double, w3 double")
+
+
+@query()
+def online_surface(spark, sf_dir):
+    t = _labelled(spark, sf_dir).withColumn("e", F.slice("e", 1, 2))
+    return O.surface(O.fit(t, "model", "vec_id", "y", "e", "robust", O.Params(radius=0.1, eps=0.05, sigma=0.5)), 0.5, 20)
+
+
 # --- mixtures ---
 
 def _mixture(spark, sf_dir):
