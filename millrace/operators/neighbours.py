@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import ranked
@@ -34,27 +34,103 @@ def radius_pairs(df: DataFrame, key: str, points: list[str], eps: float) -> Data
     return own.join(wide, (F.col("l.cell") == F.col("r.cell")) & near).select("a", "b", F.sqrt(_square(points, "l", "r")).alias("distance"))
 
 
+def _placed(df: DataFrame, key: str, points: list[str], eps: float) -> DataFrame:
+    """Rows ``(_key, *points, cell)`` in cells with sides just under eps / sqrt(d): rows of one cell are all nearer than eps. Rows with a null are left out."""
+    side = eps / len(points) ** 0.5 * (1 - 1e-9)
+    known = df.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points]).na.drop("any")
+    return known.withColumn("cell", F.array(*[F.floor(F.col(p) / side).cast("long") for p in points]))
+
+
+def _around(points: list[str]) -> Column:
+    """The cells that may hold rows nearer than eps to a row of ``cell``."""
+    reach = int(len(points) ** 0.5 * (1 + 1e-6)) + 1
+    shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product(range(-reach, reach + 1), repeat=len(points))])
+    return F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d)))
+
+
+def crowded(df: DataFrame, key: str, points: list[str], eps: float, least: int) -> DataFrame:
+    """Rows ``(_key, *points, cell, crowded)``: whether at least ``least`` rows, itself included, are nearer than eps.
+
+    A cell of at least that many rows settles all of its rows. Only rows of smaller cells meet the rows around them, so a row is
+    compared with fewer than ``least`` rows of each cell around it: the work is linear in rows, however dense the cells are.
+    """
+    placed = checkpointed(_placed(df, key, points, eps))
+    sized = checkpointed(placed.join(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")), "cell"))
+    few = sized.where(F.col("_n") < least).select(F.col("_key").alias("_a"), *points, _around(points).alias("cell")).alias("l")
+    met = few.join(placed.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (_square(points, "l", "r") < eps * eps))
+    enough = met.groupBy("_a").count().where(F.col("count") >= least).select(F.col("_a").alias("_key"), F.lit(True).alias("_enough"))
+    return sized.join(enough, "_key", "left").select("_key", *points, "cell", ((F.col("_n") >= least) | F.coalesce("_enough", F.lit(False))).alias("crowded"))
+
+
+def _boxes(rows: DataFrame, points: list[str], by: list[str]) -> DataFrame:
+    extent = [f(p).alias(f"{p}_{n}") for p in points for n, f in (("low", F.min), ("high", F.max))]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.struct(*extent).alias("box"))
+
+
+def _box_gap(points: list[str], furthest: bool) -> Column:
+    """Squared distance of the nearest or furthest places of boxes ``a`` and ``b``."""
+    total = F.lit(0.0)
+    for p in points:
+        one, two = F.col(f"a.{p}_low") - F.col(f"b.{p}_high"), F.col(f"b.{p}_low") - F.col(f"a.{p}_high")
+        gap = F.greatest(-one, -two) if furthest else F.greatest(one, two, F.lit(0.0))
+        total = total + gap * gap
+    return total
+
+
+def _cell_links(cores: DataFrame, points: list[str], eps: float, direct: int = 1024, levels: int = 40) -> DataFrame:
+    """``(x, y)``: cells, named by their smallest row, of which some rows are nearer than eps; both directions.
+
+    Boxes of rows settle most pairs of cells: within eps even where furthest, or not even where nearest. Others are cut in halves along each
+    dimension and looked at again, until their rows make few pairs; then these are compared. Cells with many rows thus never give all pairs.
+    """
+    first = cores.groupBy("cell").agg(F.min("_key").alias("by"))
+    cores = checkpointed(cores.join(first, "cell"))
+    whole = checkpointed(_boxes(cores, points, ["by", "cell"]))
+    side = eps / len(points) ** 0.5 * (1 - 1e-9)
+    left = whole.select(F.col("by").alias("x"), F.col("box").alias("a"), F.col("n").alias("n_a"), F.col("cell").alias("cut_a"), _around(points).alias("cell"))
+    open_ = left.join(whole.select(F.col("by").alias("y"), F.col("box").alias("b"), F.col("n").alias("n_b"), "cell", F.col("cell").alias("cut_b")), "cell").where("x < y").drop("cell")
+    found = None
+    for level in range(1, levels + 1):
+        met = checkpointed(open_.where(_box_gap(points, False) < eps * eps).withColumn("sure", _box_gap(points, True) < eps * eps))
+        sure = met.where("sure").select("x", "y").distinct()
+        rest = met.join(sure, ["x", "y"], "left_anti")
+        small = (F.col("n_a") * F.col("n_b") <= direct) | F.lit(level == levels)
+        # few pairs of rows, or boxes that halves no longer part: compare rows
+        cut = lambda k: F.array(*[F.floor(F.col(p) / (side / 2**k)).cast("long") for p in points])
+        rows = checkpointed(cores.withColumn("cut", cut(level - 1)))
+        near = rest.where(small).select("x", "y", "cut_a", "cut_b").join(rows.select(F.col("by").alias("x"), F.col("cut").alias("cut_a"), F.struct(*points).alias("l")), ["x", "cut_a"])
+        near = near.join(rows.select(F.col("by").alias("y"), F.col("cut").alias("cut_b"), F.struct(*points).alias("r")), ["y", "cut_b"]).where(_square(points, "l", "r") < eps * eps)
+        made = checkpointed(sure.union(near.select("x", "y")).distinct())
+        found = made if found is None else found.union(made)
+        rest = checkpointed(rest.where(~small).join(made, ["x", "y"], "left_anti").select("x", "y", "cut_a", "cut_b"))
+        if rest.isEmpty():
+            break
+        finer = checkpointed(_boxes(rows.withColumn("finer", cut(level)), points, ["by", "cut", "finer"]))
+        open_ = rest.join(finer.select(F.col("by").alias("x"), F.col("cut").alias("cut_a"), F.col("finer").alias("f_a"), F.col("box").alias("a"), F.col("n").alias("n_a")), ["x", "cut_a"])
+        open_ = open_.join(finer.select(F.col("by").alias("y"), F.col("cut").alias("cut_b"), F.col("finer").alias("f_b"), F.col("box").alias("b"), F.col("n").alias("n_b")), ["y", "cut_b"])
+        open_ = open_.drop("cut_a", "cut_b").withColumnsRenamed({"f_a": "cut_a", "f_b": "cut_b"})
+    return found.select("x", "y").union(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+
+
 def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, least: int) -> DataFrame:
     """``(key, cluster)``: cores have ``least`` rows nearer than eps; clusters are numbered from 1 by their smallest core.
 
-    A row that is no core takes the largest number among the cores near it, or -1.
+    A row that is no core takes the largest number among the cores near it, or -1; so does a row with a null. No step lists the pairs of a
+    dense cell: see :func:`crowded` and :func:`_cell_links`.
     """
-    pairs = checkpointed(radius_pairs(df, key, points, eps).select("a", "b"))
-    cores = checkpointed(pairs.groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("core")))
-    links = checkpointed(pairs.join(cores, pairs["a"] == cores["core"], "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi"))
-    # cores of a cell with sides of eps / sqrt(d) are all linked: one of them stands for the cell
-    side = eps / len(points) ** 0.5 * (1 - 1e-9)
-    placed = df.join(cores, df[key] == cores["core"]).select("core", *[F.floor(F.col(p) / side).alias(f"_{i}") for i, p in enumerate(points)])
-    stands = checkpointed(placed.withColumn("by", F.min("core").over(Window.partitionBy(*[f"_{i}" for i in range(len(points))]))).select("core", "by"))
-    first = stands.select(F.col("core").alias("a"), F.col("by").alias("x"))
-    cells = checkpointed(links.join(first, "a").join(stands.withColumnRenamed("core", "b"), "b").select(F.col("x").alias("a"), F.col("by").alias("b")).distinct())
-    roots = stands.join(min_labels(cells), F.col("by") == F.col("node")).select(F.col("core").alias("node"), "root")
+    rows = checkpointed(crowded(df, key, points, eps, least))
+    cores = rows.where("crowded").drop("crowded")
+    stands = checkpointed(cores.groupBy("cell").agg(F.min("_key").alias("by")))
+    own = stands.select(F.col("by").alias("a"), F.col("by").alias("b"))
+    links = checkpointed(_cell_links(cores, points, eps).select(F.col("x").alias("a"), F.col("y").alias("b")).union(own).distinct())
+    roots = checkpointed(min_labels(links))
     numbered = ranked(roots.select("root").distinct(), [], ["root"], "cluster")
-    labelled = roots.join(numbered, "root").select(F.col("node").alias("b"), "cluster")
-    border = pairs.join(labelled, "b").groupBy("a").agg(F.max("cluster").alias("border"))
-    inner = labelled.select(F.col("b").alias("a"), "cluster")
-    found = border.join(inner, "a", "left").select(F.col("a").alias(key), F.coalesce("cluster", "border").alias("cluster"))
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    cells = checkpointed(stands.join(roots, F.col("by") == F.col("node")).join(numbered, "root").select("cell", "cluster"))
+    inner = rows.where("crowded").join(cells, "cell")
+    edge = rows.where("not crowded").select(F.col("_key").alias("_a"), *points, _around(points).alias("cell")).alias("l")
+    border = edge.join(inner.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (_square(points, "l", "r") < eps * eps)).groupBy("_a").agg(F.max("cluster").alias("cluster"))
+    found = inner.select("_key", "cluster").union(border).withColumnRenamed("_key", "_found")
+    return df.select(key).join(found, F.col(key) == F.col("_found"), "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def min_labels(links: DataFrame) -> DataFrame:
@@ -72,9 +148,8 @@ def min_labels(links: DataFrame) -> DataFrame:
 
 
 def outlier_test(df: DataFrame, key: str, points: list[str], eps: float, least: int) -> DataFrame:
-    """Whether a row has more than ``least`` rows nearer than eps (itself included)."""
-    counts = radius_pairs(df, key, points, eps).groupBy("a").count()
-    return counts.select(F.col("a").alias(key), (F.col("count") <= least).alias("outlier"))
+    """Whether a row has at most ``least`` rows nearer than eps (itself included)."""
+    return crowded(df, key, points, eps, least + 1).select(F.col("_key").alias(key), (~F.col("crowded")).alias("outlier"))
 
 
 def kd_leaves(df: DataFrame, key: str, points: list[str], depth: int, seed: int | None = None) -> DataFrame:
