@@ -9,6 +9,8 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running
+from ..functions.storage import checkpointed
 from .cleaning import BOUND, clip
 
 
@@ -118,18 +120,17 @@ def colinear(df: DataFrame, columns: list[str], threshold: float = 0.95) -> list
 def stump_scores(long: DataFrame) -> DataFrame:
     """``(feature, threshold, accuracy)``: the best one-split classifier of rows ``(feature, x, y)``, y 0 or 1.
 
-    Rows with equal x are counted first, so the windows run over distinct values only. A split is the midpoint of two
-    neighbouring values; both sides predict their majority; the lowest threshold wins ties.
+    Rows with equal x are counted first, so running totals are over distinct values only. A split is the midpoint of two
+    neighbouring values; both sides predict their majority; the lowest threshold wins ties; rows with null x are left out.
     """
-    counts = long.groupBy("feature", "x").agg(F.sum("y").cast("double").alias("ones"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = Window.partitionBy("feature").orderBy("x")
-    run, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("feature")
-    cut = counts.select("feature", ((F.col("x") + F.lead("x").over(w)) / 2).alias("threshold"), F.sum("ones").over(run).alias("l1"), F.sum("n").over(run).alias("l"), F.sum("ones").over(whole).alias("t1"), F.sum("n").over(whole).alias("t")).where("threshold is not null")
+    counts = checkpointed(long.where("x is not null").groupBy("feature", "x").agg(F.sum("y").cast("double").alias("ones"), F.count(F.lit(1)).cast("double").alias("n")))
+    total = counts.groupBy("feature").agg(F.sum("ones").alias("t1"), F.sum("n").alias("t"))
+    cut = running(counts, ["feature"], ["x"], {"l1": ("sum", F.col("ones")), "l": ("sum", F.col("n"))}).join(total, "feature").where("l < t")
     right_ones, right = F.col("t1") - F.col("l1"), F.col("t") - F.col("l")
     good = F.greatest(F.col("l1"), F.col("l") - F.col("l1")) + F.greatest(right_ones, right - right_ones)
-    scored = cut.select("feature", "threshold", (good / F.col("t")).alias("accuracy"))
-    best = scored.groupBy("feature").agg(F.min(F.struct((-F.col("accuracy")).alias("loss"), "threshold")).alias("b"))
-    return best.select("feature", F.col("b.threshold").alias("threshold"), (-F.col("b.loss")).alias("accuracy"))
+    best = cut.groupBy("feature").agg(F.min(F.struct((-(good / F.col("t"))).alias("loss"), "x")).alias("b"))
+    beyond = counts.join(best, "feature").where(F.col("x") > F.col("b.x")).groupBy("feature", "b").agg(F.min("x").alias("next"))
+    return beyond.select("feature", ((F.col("b.x") + F.col("next")) / 2).alias("threshold"), (-F.col("b.loss")).alias("accuracy"))
 
 
 def accept(scores: DataFrame, originals: list[str], most: int = 50) -> DataFrame:

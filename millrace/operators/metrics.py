@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running
+
 
 def regression(df: DataFrame, y: str, yhat: str, by: list[str] = ()) -> DataFrame:
     """Mean absolute and squared errors and R squared."""
@@ -35,20 +37,28 @@ def log_loss(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(-F.when(F.col(y) == 1, F.ln(kept)).otherwise(F.ln(1 - kept))).alias("log_loss"))
 
 
+def _steps(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
+    """``(*by, score, p, n, fp, tp, all_n, all_p)``: positives, negatives, both summed down to the score, and in all; equal scores are one row."""
+    known = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
+    points = known.groupBy(*by, score).agg(F.sum(F.col(y).cast("double")).alias("p"), F.sum(1.0 - F.col(y)).alias("n"))
+    total = points.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    summed = running(points, by, [score], {"tp": ("sum", F.col("p")), "fp": ("sum", F.col("n"))}, reverse=True)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return summed.join(F.broadcast(total) if not by else total, same).drop(*[f"_t_{c}" for c in by])
+
+
 def roc(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    """``(*by, score, fpr, tpr)`` by falling score; equal scores are one point, counted before the window."""
-    points = df.groupBy(*by, score).agg(F.sum(F.col(y)).alias("p"), F.count(F.lit(1)).alias("n"))
-    w, whole = Window.partitionBy(*by).orderBy(F.desc(score)), Window.partitionBy(*by)
-    negatives = F.col("n") - F.col("p")
-    return points.select(*by, score, (F.sum(negatives).over(w) / F.sum(negatives).over(whole)).alias("fpr"), (F.sum("p").over(w) / F.sum("p").over(whole)).alias("tpr"))
+    """``(*by, score, fpr, tpr)`` by falling score; rows with null score or label are left out, rates of a group of one label are null."""
+    return _steps(df, y, score, by).select(*by, score, F.try_divide("fp", "all_n").alias("fpr"), F.try_divide("tp", "all_p").alias("tpr"))
 
 
 def auc(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    """Area under the curve, by trapezoids."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    area = (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2
-    return roc(df, y, score, by).select(*by, area.alias("area")).groupBy(*by).agg(F.sum("area").alias("auc"))
+    """Area under the curve, by trapezoids; null for a group of one label."""
+    area = F.col("n") * (2 * F.col("tp") - F.col("p")) / 2
+    sums = _steps(df, y, score, by).groupBy(*by).agg(F.sum(area).alias("_a"), F.max(F.col("all_n") * F.col("all_p")).alias("_w"))
+    return sums.select(*by, F.try_divide("_a", "_w").alias("auc"))
 
 
 def worst_case(ledger: DataFrame) -> DataFrame:

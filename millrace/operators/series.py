@@ -86,14 +86,19 @@ def plot_rows(df: DataFrame, key: str, target: str, most: int = 10_000) -> DataF
 def k_folds(df: DataFrame, k: int, order: list[str], by: list[str] = ()) -> DataFrame:
     """``fold`` 0..k-1: contiguous blocks of the rows of each ``by`` (a class, for stratified folds), the first ones a row longer.
 
-    Place and size come from one window for each ``by``; for one global split of a large table use :func:`hash_folds`.
+    Places come from ranges of rows, so a class or table of any size is spread over many tasks; where equal sizes on average
+    will do, :func:`hash_folds` needs no shuffle.
     """
-    w = Window.partitionBy(*by)
-    place, n = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
-    short, longer = F.floor(n / k), n % k
+    placed = ranked(df, list(by), list(order), "_place")
+    sizes = placed.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    joined = placed.join(sizes if by else F.broadcast(sizes), same)
+    place, short, longer = F.col("_place") - 1, F.floor(F.col("_n") / k), F.col("_n") % k
     in_long = longer * (short + 1)
     fold = F.when(place < in_long, F.floor(place / (short + 1))).otherwise(longer + F.floor((place - in_long) / F.greatest(short, F.lit(1))))
-    return df.withColumn("fold", fold.cast("int"))
+    return joined.select(*df.columns, fold.cast("int").alias("fold"))
 
 
 def hash_folds(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
