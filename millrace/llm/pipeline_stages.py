@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, simhash, toxicity
+from . import line_dedup, packing, resemblance, toxicity
+from .shared import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words of a shingle in the near-duplicate stage, and bits that near copies may differ by. Texts whose shingles have a Jaccard
-#: similarity of 0.8 differ by some 10 bits of 64 on average; 7 bits are what four segments of 16 bits still find without fail.
-WORDS, MAX_BITS = 5, 7
+#: Words of a shingle in the near-duplicate stage, and the Jaccard similarity of shingles from which on texts are near copies.
+WORDS, SHARE = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays; rows without an id stay."""
-    members = simhash.components(docs, MAX_BITS, WORDS).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    found = stage(resemblance.components(rows, SHARE, WORDS).join(rows.select("row", "doc_id"), "row"), "near-copies")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+    members = found.join(least, "component").where(F.col("doc_id") != F.col("least")).select("doc_id").distinct()
     return docs.join(members, "doc_id", "left_anti").select(*COLUMNS)
 
 
