@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from millrace.llm import pipeline_stages, resemblance
+from millrace.llm import pipeline_stages, resemblance, simhash
 from tests.llm.test_operators import brute_components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,3 +69,13 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(resemblance, "BLOCK", 5)
     words = [f"w{i}" for i in range(1200)]
     assert [d for d, _ in kept(spark, [(i, " ".join(words[20 * i : 20 * i + 220])) for i in range(40)])] == [0]
+
+
+def test_unlike_texts_stay(spark):
+    """Texts whose fingerprints are near but whose shingles are not: short ones against each other and against texts without words."""
+    draw = random.Random(3)
+    texts = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(6))) for i in range(4000)]
+    texts += [(4000, ""), (4001, None), (4002, " \n ")]
+    prints = [simhash.simhash(simhash.shingle_hashes(t, 5)) for _, t in texts]
+    assert sum((p & (1 << 64) - 1).bit_count() <= 7 for p in prints[:4000]) and min(np.bitwise_count(np.uint64(p & (1 << 64) - 1) ^ np.array(prints[:i]).view(np.uint64)).min() for i, p in enumerate(prints[:4000]) if i) <= 7
+    assert sorted(d for d, _ in kept(spark, texts)) == list(range(4001))
