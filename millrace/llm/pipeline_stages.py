@@ -26,12 +26,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays; rows without an id stay."""
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-    found = stage(resemblance.components(rows, SHARE, WORDS).join(rows.select("row", "doc_id"), "row"), "near-copies")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
-    members = found.join(least, "component").where(F.col("doc_id") != F.col("least")).select("doc_id").distinct()
-    return docs.join(members, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies one row stays: of the smallest id (none counts as largest), and of such rows the first."""
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    found = resemblance.components(rows, SHARE, WORDS).join(rows.select("row", "doc_id"), "row")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    return rows.join(stage(found.groupBy("component").agg(least.alias("row")).select("row"), "single"), "row").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

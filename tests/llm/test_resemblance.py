@@ -79,3 +79,10 @@ def test_unlike_texts_stay(spark):
     prints = [simhash.simhash(simhash.shingle_hashes(t, 5)) for _, t in texts]
     assert sum((p & (1 << 64) - 1).bit_count() <= 7 for p in prints[:4000]) and min(np.bitwise_count(np.uint64(p & (1 << 64) - 1) ^ np.array(prints[:i]).view(np.uint64)).min() for i, p in enumerate(prints[:4000]) if i) <= 7
     assert sorted(d for d, _ in kept(spark, texts)) == list(range(4001))
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Rows count, not ids: repeated rows, missing ids, and an id of two texts."""
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    texts = [(5, one), (5, one), (7, one), (None, two), (None, two), (None, three), (9, three), (7, four), (3, four), (7, "alone here")]
+    assert kept(spark, texts) == sorted([(5, one), (None, two), (9, three), (3, four), (7, "alone here")], key=str)
