@@ -2,18 +2,18 @@
 
 1. *Voters.* Terms are whole words and word beginnings of 4 to 6 characters that one, two or three different words of
    the text share (patterns that cover inflected and run-on forms). Each term's number of toxic and other labelled documents is counted over all rows that may
-   teach; the ``VOTERS`` terms that are most surprisingly toxic become voters. A voter votes "toxic" where its term occurs.
+   teach; every term that is surprisingly toxic becomes a voter. A voter votes "toxic" where its term occurs.
 2. *Label model.* Over all documents and without labels: voters are grouped by their correlations, and EM estimates for each
    group the share of documents with a hidden toxic cause, and for each voter how often it fires with that cause
    and without. Given the cause, voters still correlate (ten spellings of one word); a voter's weight is one over the sum of these correlations.
 3. *Classifier.* A logistic regression on the terms, taught the label model's posteriors (as weighted rows of either
-   class), of at most ``TAUGHT`` documents drawn by hash.
+   class), of the distinct sets of votes of all documents and how many have each.
 4. *Score.* Each whole text once, by the terms it holds.
 
 Words are split at ASCII white space, lower-cased, and stripped of punctuation at both ends.
 
 Scale: counting terms and every EM step are aggregates, combined before the shuffle; only the parameters
-(``VOTERS`` squared numbers at most) come to the driver. A document's terms are distinct, so a term in every document costs one row a
+(the square of the number of voters at most) come to the driver. A document's terms are distinct, so a term in every document costs one row a
 task. Texts are read for counting (labelled rows only), for votes and for scores, and are never shuffled but to meet their labels.
 
 Defined cases: null and empty texts hold no term and get the score of that; rows with a null id are scored but do
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-VOTERS, TAUGHT, THRESHOLD, ROUNDS = 256, 20_000, 0.3, 8
+THRESHOLD, ROUNDS = 0.3, 8
 #: A voter's toxic count must be so many standard deviations above what its frequency lets expect, and so large.
 LEAST_Z, LEAST_COUNT = 6.0, 3
 #: Voters that correlate so much form a group, such as those of one language.
@@ -130,14 +130,14 @@ def term_counts(taught: DataFrame) -> DataFrame:
     return held.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def choose_voters(taught: DataFrame, share: float, most: int = VOTERS) -> list[tuple[str, int, int]]:
+def choose_voters(taught: DataFrame, share: float) -> list[tuple[str, int, int]]:
     """Terms (and their toxic and other documents) of rows ``(text, toxic)`` of which a ``share`` is toxic, the most surprisingly toxic first."""
     if not 0 < share < 1:
         return []
     held = F.col("toxic") + F.col("other")
     z = (F.col("toxic") - held * share) / F.sqrt(held * share * (1 - share))
     good = (F.col("toxic") >= LEAST_COUNT) & (F.col("toxic") >= 3 * F.col("other")) & (z >= LEAST_Z)
-    chosen = term_counts(taught).where(good).orderBy(F.desc(z), "term").limit(most)
+    chosen = term_counts(taught).where(good).orderBy(F.desc(z), "term")
     return [(r["term"], r["toxic"], r["other"]) for r in chosen.collect()]
 
 
@@ -284,7 +284,7 @@ def fit_label_model(votes: DataFrame, hit: np.ndarray, false: np.ndarray, rounds
 def fit_classifier(votes: DataFrame, model: LabelModel, n: int) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on terms, taught posteriors; rows ``(votes, n)``."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import CountVectorizerModel
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,8 +294,8 @@ def fit_classifier(votes: DataFrame, model: LabelModel, n: int) -> tuple[np.ndar
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(p), label)), pa.array(weight)], ["votes", "label", "weight"])
 
     rows = votes.mapInArrow(taught, "votes array<int>, label double, weight double").where("weight > 1e-6")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains("votes", i).cast("double"))
-    data = rows.select(array_to_vector(dense).alias("features"), "label", "weight")
+    sparse = CountVectorizerModel.from_vocabulary([str(i) for i in range(n)], "votes", "features", minTF=1.0)
+    data = sparse.transform(rows.withColumn("votes", F.col("votes").cast("array<string>"))).select("features", "label", "weight")
     fitted = LogisticRegression(weightCol="weight", regParam=1e-6, maxIter=100, standardization=False).fit(data)
     return fitted.coefficients.toArray(), float(fitted.intercept)
 
@@ -318,7 +318,7 @@ class Scorer:
         return of
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_voters: int = VOTERS, most_taught: int = TAUGHT, id_col="doc_id", text_col="text") -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Scorer:
     """Learn from ``labels`` (doc_id, toxic) of the rows that may teach, and from the texts of all ``docs``."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     may = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_voters: int = VOTERS, most_taug
     known = stage(known, "labels")
     total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share")).first()
     known = F.broadcast(known) if total["n"] <= LABELS_SENT else known
-    voters = choose_voters(plain.join(known, "doc_id").select("text", "toxic"), total["share"] or 0.0, most_voters)
+    voters = choose_voters(plain.join(known, "doc_id").select("text", "toxic"), total["share"] or 0.0)
     if not voters:
         return Scorer([], np.empty(0), 0.0)
     toxic = total["share"] * total["n"]
@@ -340,12 +340,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_voters: int = VOTERS, most_taug
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([find(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "votes"])
 
-    every = stage(plain.mapInArrow(vote, "doc_id long, votes array<int>"), "votes")
+    every = plain.mapInArrow(vote, "doc_id long, votes array<int>")
     sets = stage(every.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "vote-sets")
     model = fit_label_model(sets, hit, false)
-    n = every.count()
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, most_taught / max(n, 1)) * (1 << 20))
-    return Scorer(terms, *fit_classifier(every.where(drawn).groupBy("votes").agg(F.count(F.lit(1)).alias("n")), model, len(terms)))
+    return Scorer(terms, *fit_classifier(sets, model, len(terms)))
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
