@@ -49,3 +49,35 @@ def running(df: DataFrame, groups: list[str], order: list[str], values: dict[str
 def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
     """``df`` with the row's place, from 1, in its group."""
     return running(df, groups, order, {name: ("sum", F.lit(1).cast("long"))})
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles of each column (linear between neighbours); None for a column without values.
+
+    Values of each column are counted by distinct value, ranked through :func:`running` by ranges, and only the two order statistics around each
+    quantile are read: no buffer holds a column's values.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("x")
+    counts = df.select(pairs).select("x.c", "x.v").where("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = checkpointed(running(counts.withColumn("own", F.col("n")), ["c"], ["v"], {"upto": ("sum", F.col("n"))}))
+    sizes = {r["c"]: r["n"] for r in placed.groupBy("c").agg(F.max("upto").alias("n")).collect()}
+    wanted = [(i, r) for i, n in sizes.items() for q in shares for r in {int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1)}]
+    if not wanted:
+        return dict.fromkeys(columns)
+    hit = F.lit(False)
+    for i, r in wanted:
+        hit = hit | ((F.col("c") == i) & (F.col("upto") > r) & (F.col("upto") - F.col("own") <= r))
+    rows = [(r["c"], r["upto"] - r["own"], r["upto"], r["v"]) for r in placed.where(hit).collect()]
+    at = lambda i, r: next(v for c, low, high, v in rows if c == i and low <= r < high)
+    out: dict[str, list[float] | None] = {}
+    for i, c in enumerate(columns):
+        if i not in sizes:
+            out[c] = None
+            continue
+        n, found = sizes[i], []
+        for q in shares:
+            low = int(q * (n - 1))
+            a, b = at(i, low), at(i, min(low + 1, n - 1))
+            found.append(a + (b - a) * (q * (n - 1) - low))
+        out[c] = found
+    return out

@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import quantiles, ranked, running
+
 BOUND = 1e12
-OUTLIERS, MISSING = ("boxplot", "zscore", "clip", "none"), ("remove_rows", "remove_cols", "interpolate", "mean", "zero")
+OUTLIERS, MISSING = ("boxplot", "zscore", "clip", "none"), ("remove_rows", "remove_cols", "interpolate", "mean", "zero", "none")
 
 
 def clean_name(name: str) -> str:
@@ -68,12 +70,18 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 # --- outliers ---
 
 def fit_boxplot(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str, tuple[float, float]]:
-    """Limits 1.5 interquartile ranges outside the quartiles; ``exact=False`` takes approximate quartiles, for very large tables."""
-    quartiles = (lambda c: F.percentile(c, [0.25, 0.75])) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.75], 100_000))
-    row = df.agg(*[quartiles(F.col(c)).alias(c) for c in columns]).first()
+    """Limits 1.5 interquartile ranges outside the quartiles; ``exact=False`` takes approximate quartiles in a single pass.
+
+    Exact quartiles are order statistics of ranges of values (:func:`millrace.functions.ordered.quantiles`), so no task holds a column.
+    """
+    if exact:
+        found = quantiles(df, columns, [0.25, 0.75])
+    else:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 100_000).alias(c) for c in columns]).first()
+        found = {c: row[c] for c in columns}
     out = {}
     for c in columns:
-        low, high = row[c] or (float("-inf"), float("inf"))
+        low, high = found[c] or (float("-inf"), float("inf"))
         out[c] = (low - 1.5 * (high - low), high + 1.5 * (high - low))
     return out
 
@@ -106,14 +114,23 @@ def drop_incomplete_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def interpolate(df: DataFrame, columns: list[str], order: list[str], by: list[str] = ()) -> DataFrame:
-    """Linear by position among the rows of each ``by``; ends take the nearest value, and 0 where there is none."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    place = F.row_number().over(w)
-    out = df.withColumn("_at", place)
-    for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.struct("_at", F.col(c).alias("v")))
-        out = out.withColumn(f"_p_{c}", F.last(known, ignorenulls=True).over(back)).withColumn(f"_n_{c}", F.first(known, ignorenulls=True).over(ahead))
+    """Linear by position among the rows of each ``by``; ends take the nearest value, and 0 where there is none.
+
+    With ``by``, windows over each group. Without, the table is cut into ranges of ``order`` and known values are carried from range to
+    range, so no task sees the whole of it; ``order`` then has to be total.
+    """
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct("_at", F.col(c).cast("double").alias("v")))
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        out = df.withColumn("_at", F.row_number().over(w).cast("long"))
+        for c in columns:
+            out = out.withColumn(f"_p_{c}", F.last(known(c), ignorenulls=True).over(back)).withColumn(f"_n_{c}", F.first(known(c), ignorenulls=True).over(ahead))
+    else:
+        out = ranked(df, [], list(order), "_at")
+        # places differ, so the largest (place, value) so far is the last one known
+        out = running(out, [], ["_at"], {f"_p_{c}": ("max", known(c)) for c in columns})
+        out = running(out, [], ["_at"], {f"_n_{c}": ("min", known(c)) for c in columns}, reverse=True)
     filled = {}
     for c in columns:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
@@ -138,6 +155,17 @@ def not_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(finite(F.col(c).cast("double")).isNull()).alias(c) for c in columns])
 
 
+def class_labels(df: DataFrame, target: str, most: int = 1000) -> list:
+    """The classes of ``target`` in order. Numeric classes have to be 0, 1, 2, ... without a gap, else this is an error; nulls do not count."""
+    rows = df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy(target).limit(most + 1).collect()
+    found = [r[0] for r in rows]
+    if len(found) > most:
+        raise ValueError(f"{target} has more than {most} classes")
+    if found and not isinstance(found[0], str) and [int(v) for v in found] != list(range(len(found))):
+        raise ValueError(f"the classes of {target} are not 0 to {len(found) - 1}")
+    return found
+
+
 # --- all steps ---
 
 @dataclass
@@ -153,9 +181,12 @@ class CleanPlan:
     dropped: list[str] = field(default_factory=list)
     order: list[str] = field(default_factory=list)
     by: list[str] = field(default_factory=list)
+    clipped: list[float] = field(default_factory=list)
 
     def apply(self, df: DataFrame) -> DataFrame:
         df = _typed(df, self.numbers, self.dates, self.categories)
+        if self.clipped:
+            df = df.withColumns({c: clip(F.col(c), *self.clipped) for c in self.numbers})
         df = null_outside(df, self.limits)
         if self.missing == "interpolate":
             df = interpolate(df, self.numbers, self.order, self.by)
@@ -175,18 +206,24 @@ def _typed(df: DataFrame, numbers: list[str], dates: list[str], categories: dict
     return df
 
 
-def fit(df: DataFrame, numbers: list[str], dates: list[str] = (), categories: list[str] = (), outliers: str = "clip", missing: str = "interpolate", order: list[str] = (), by: list[str] = (), target: str | None = None, threshold: float = 4.0) -> CleanPlan:
+def fit(df: DataFrame, numbers: list[str], dates: list[str] = (), categories: list[str] = (), outliers: str = "clip", missing: str = "interpolate", order: list[str] = (), by: list[str] = (), target: str | None = None, threshold: float = 4.0, bounds: tuple[float, float] = (-BOUND, BOUND), keep_constants: bool = False) -> CleanPlan:
+    """Learn what cleaning needs. ``bounds`` are those of the outlier rule ``clip``; infinite values count as missing before it.
+
+    Numbers that are constant (but for the target) are dropped unless ``keep_constants``.
+    """
     if outliers not in OUTLIERS or missing not in MISSING:
         raise ValueError(f"outliers is one of {OUTLIERS}, missing one of {MISSING}")
     numbers, dates = list(numbers), list(dates)
     known = {c: levels(df, c) for c in categories}
     typed = _typed(df, numbers, dates, known)
     limits = {"boxplot": lambda: fit_boxplot(typed, numbers), "zscore": lambda: fit_zscore(typed, numbers, threshold), "clip": dict, "none": dict}[outliers]()
-    kept = null_outside(typed, limits)
-    plan = CleanPlan(numbers, dates, known, limits, missing, order=list(order), by=list(by))
+    clipped = list(bounds) if outliers == "clip" else []
+    kept = null_outside(typed.withColumns({c: clip(F.col(c), *bounds) for c in numbers}) if clipped and numbers else typed, limits)
+    plan = CleanPlan(numbers, dates, known, limits, missing, order=list(order), by=list(by), clipped=clipped)
     if missing == "mean":
         plan.means = fit_means(kept, numbers)
     if missing == "remove_cols":
         plan.dropped = [c for c in numbers if c not in drop_incomplete_columns(kept, numbers)]
-    plan.dropped += [c for c in constants(kept, numbers, target) if c not in plan.dropped]
+    if not keep_constants:
+        plan.dropped += [c for c in constants(kept, numbers, target) if c not in plan.dropped]
     return plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import combinations, permutations
@@ -147,3 +148,8 @@ def centre_distances(vector: Column, centres: list[list[float]]) -> list[Column]
         square = F.aggregate(F.zip_with(vector, F.array(*map(F.lit, centre)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
         out.append(F.sqrt(square).alias(f"dist__{i}_{len(centres)}"))
     return out
+
+
+def centre_count(rows: int, features: int) -> int:
+    """How many k-means centres serve as features: eight for each power of ten of rows, eight at least, no more than there are features."""
+    return min(max(int(8 * math.log10(max(rows, 1))), 8), features)

@@ -9,60 +9,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def moments(df: DataFrame, vector: str, label: str | None = None) -> dict[float, tuple[int, np.ndarray, np.ndarray]]:
-    """By label (or 0): number of rows, sum and Gram matrix. Each partition gives one row a label; sums combine in the shuffle."""
+    """By label (or 0): number of rows, sum and Gram matrix. Each partition gives one row a label; sums combine in the shuffle.
+
+    Rows with a null label, vector or component, and vectors of another length than most of the table, are left out; no rows give no labels.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[float, list] = {}
+        held: dict[tuple[int, float], list] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             labels = batch.column(0).to_numpy(zero_copy_only=False)
-            for v in np.unique(labels):
-                own = x[labels == v]
-                old = held.setdefault(float(v), [0, 0.0, 0.0])
-                held[float(v)] = [old[0] + len(own), old[1] + own.sum(0), old[2] + own.T @ own]
-        rows = [(v, i, float(a)) for v, (n, s, g) in held.items() for i, a in enumerate([n, *np.ravel(s), *np.ravel(g)])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.float64()))], ["label", "i", "a"])
-
-    plain = df.where(F.col(vector).isNotNull()).select((F.col(label) if label else F.lit(0)).cast("double").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    sums = plain.mapInArrow(partial, "label double, i long, a double").groupBy("label", "i").agg(F.sum("a").alias("a")).collect()
-    out = {}
-    for v in {r["label"] for r in sums}:
-        values = np.zeros(1 + max(r["i"] for r in sums if r["label"] == v))
-        for r in sums:
-            if r["label"] == v:
-                values[r["i"]] = r["a"]
-        m = int(round((-1 + np.sqrt(1 + 4 * (len(values) - 1))) / 2))
-        out[v] = int(values[0]), values[1 : m + 1], values[m + 1 :].reshape(m, m)
-    return out
+            for size in np.unique(sizes).tolist():
+                x = batch.column(1).filter(pa.array(sizes == size)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                own_labels = labels[sizes == size]
+                for v in np.unique(own_labels).tolist():
+                    own = x[own_labels == v]
+                    old = held.setdefault((size, v), [0, 0.0, 0.0])
+                    held[size, v] = [old[0] + len(own), old[1] + own.sum(0), old[2] + own.T @ own]
+        rows = [(size, v, i, float(a)) for (size, v), (n, s, g) in held.items() for i, a in enumerate([n, *np.ravel(s), *np.ravel(g)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.float64()))], ["size", "label", "i", "a"])
+
+    plain = df.select((F.col(label) if label else F.lit(0)).cast("double").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    plain = plain.where("label is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    sums = plain.mapInArrow(partial, "size long, label double, i long, a double").groupBy("size", "label", "i").agg(F.sum("a").alias("a")).collect()
+    rows_of: dict[int, float] = {}
+    for r in sums:
+        if r["i"] == 0:
+            rows_of[r["size"]] = rows_of.get(r["size"], 0.0) + r["a"]
+    if not rows_of:
+        return {}
+    m = max(rows_of, key=lambda size: (rows_of[size], -size))
+    values: dict[float, np.ndarray] = {}
+    for r in sums:
+        if r["size"] == m:
+            values.setdefault(r["label"], np.zeros(1 + m + m * m))[r["i"]] = r["a"]
+    return {v: (int(own[0]), own[1 : m + 1], own[m + 1 :].reshape(m, m)) for v, own in values.items()}
+
+
+def gram(df: DataFrame, vector: str) -> np.ndarray:
+    """The Gram matrix of the components; 0 x 0 without rows."""
+    found = moments(df, vector)
+    return next(iter(found.values()))[2] if found else np.zeros((0, 0))
 
 
 def _signed(vectors: np.ndarray) -> np.ndarray:
     """Columns turned so that their largest component is positive."""
+    if not vectors.size:
+        return vectors
     return vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
 
 
 def svd(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest singular values and right vectors, from the Gram matrix."""
-    (_, _, gram), = moments(df, vector).values()
-    values, vectors = np.linalg.eigh(gram)
+    """The k largest singular values and right vectors, from the Gram matrix; none without rows."""
+    values, vectors = np.linalg.eigh(gram(df, vector))
     order = np.argsort(values)[::-1][:k]
     return np.sqrt(np.maximum(values[order], 0)), _signed(vectors[:, order])
 
 
-def randomised_svd(df: DataFrame, vector: str, k: int, power: int = 2, over: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def randomised_svd(df: DataFrame, vector: str, k: int, power: int = 8, over: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`svd`, by a Gaussian sketch with power iterations on the Gram matrix."""
-    (_, _, gram), = moments(df, vector).values()
-    q = np.random.default_rng(seed).normal(size=(len(gram), min(k + over, len(gram))))
+    square = gram(df, vector)
+    q = np.random.default_rng(seed).normal(size=(len(square), min(k + over, len(square))))
     for _ in range(power + 1):
-        q, _ = np.linalg.qr(gram @ q)
-    values, vectors = np.linalg.eigh(q.T @ gram @ q)
+        q, _ = np.linalg.qr(square @ q)
+    values, vectors = np.linalg.eigh(q.T @ square @ q)
     order = np.argsort(values)[::-1][:k]
     return np.sqrt(np.maximum(values[order], 0)), _signed(q @ vectors[:, order])
 
@@ -70,8 +85,10 @@ def randomised_svd(df: DataFrame, vector: str, k: int, power: int = 2, over: int
 def discriminant(df: DataFrame, vector: str, label: str, method: str = "eig") -> np.ndarray:
     """The unit direction that separates labels +1 and -1.
 
-    ``eig`` and ``twostage`` solve with the within-class scatter, ``svd`` and ``qrsvd`` with the total scatter, ``srda`` by least squares on
-    class indicators; for two classes all give the same direction but for length.
+    ``eig`` solves with the within-class scatter. ``twostage`` first whitens by the within-class scatter's own axes (those without variance
+    go), then takes the leading axis of the between-class scatter there. ``svd`` does the second stage in the axes of the total
+    scatter. ``qrsvd`` goes there from a basis of the total scatter's leading axis and a pivoted QR of what it leaves of the class means.
+    ``srda`` solves least squares on class indicators. For two classes all give the same direction, but for axes without variance.
     """
     found = moments(df, vector, label)
     if set(found) != {1.0, -1.0}:
@@ -80,14 +97,48 @@ def discriminant(df: DataFrame, vector: str, label: str, method: str = "eig") ->
     within = g1 + g0 - np.outer(s1, s1) / n1 - np.outer(s0, s0) / n0
     between = s1 / n1 - s0 / n0
     total = within + n1 * n0 / (n1 + n0) * np.outer(between, between)
-    if method in ("eig", "twostage"):
+    if method == "eig":
         w = np.linalg.solve(within + 1e-12 * np.trace(within) * np.eye(len(within)), between)
-    elif method in ("svd", "qrsvd"):
-        values, vectors = np.linalg.eigh(total)
-        good = values > 1e-12 * values.max()
-        w = vectors[:, good] @ ((vectors[:, good].T @ between) / values[good])
+    elif method == "twostage":
+        w = _second_stage(within, between)
+    elif method == "svd":
+        w = _second_stage(total, between)
+    elif method == "qrsvd":
+        basis = _pivoted_basis(np.linalg.eigh(total)[1][:, -1], np.column_stack([s1 / n1, s0 / n0]) - ((s1 + s0) / (n1 + n0))[:, None])
+        w = basis @ _second_stage(basis.T @ total @ basis, basis.T @ between)
     elif method == "srda":
         w = np.linalg.lstsq(total, between * n1 * n0 / (n1 + n0), rcond=None)[0]
     else:
         raise ValueError("method is one of eig, twostage, svd, qrsvd, srda")
     return w / np.linalg.norm(w)
+
+
+def _second_stage(scatter: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """The leading direction of the between-class scatter once ``scatter`` is whitened, in the vectors' own space; turned along ``between``."""
+    values, axes = np.linalg.eigh(scatter)
+    good = values > 1e-12 * values.max()
+    whiten = axes[:, good] / np.sqrt(values[good])
+    moved = whiten.T @ between
+    lead = np.linalg.eigh(np.outer(moved, moved))[1][:, -1]
+    return whiten @ lead * (1 if lead @ moved >= 0 else -1)
+
+
+def _pivoted_basis(lead: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """An orthonormal basis: ``lead``, then the columns of ``means`` and of the identity less what comes before, longest remainder first."""
+    basis = [lead]
+    for group in (means, np.eye(len(lead))):
+        rest = group - np.column_stack(basis) @ (np.column_stack(basis).T @ group)
+        while rest.size and len(basis) < len(lead):
+            longest = int(np.argmax((rest**2).sum(0)))
+            if (rest[:, longest] ** 2).sum() <= 1e-16 * max((group**2).sum(), 1e-300):
+                break
+            axis = rest[:, longest] / np.linalg.norm(rest[:, longest])
+            basis.append(axis)
+            rest = rest - np.outer(axis, axis @ rest)
+    return np.column_stack(basis)
+
+
+def transform(vector: Column, directions: list[list[float]]) -> Column:
+    """``vector`` projected to each of ``directions``: an array with one number a direction, as expressions of the plan."""
+    dot = lambda w: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.array(*map(dot, directions))

@@ -179,12 +179,28 @@ def leaf_boxes(leaves: DataFrame, points: list[str]) -> DataFrame:
     return leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[f(p).alias(f"{p}_{n}") for p in points for n, f in (("low", F.min), ("high", F.max))])
 
 
+#: Leaves whose boxes :func:`tree_radius` sends to every task.
+BOXES_SENT = 4096
+
+
+def _cell_radius(rows: DataFrame, queries: DataFrame, key: str, query: str, points: list[str], eps: float) -> DataFrame:
+    placed = rows.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*[F.floor(F.col(p) / eps).cast("long") for p in points]).alias("cell")).alias("r")
+    asked = queries.select(F.col(query).alias("_q"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*[F.floor(F.col(p) / eps).cast("long") for p in points]).alias("cell"))
+    shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(points))])
+    asked = asked.withColumn("cell", F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d)))).alias("l")
+    met = asked.join(placed, (F.col("l.cell") == F.col("r.cell")) & (_square(points, "l", "r") < eps * eps))
+    return met.select(F.col("_q").alias("query"), F.col("_key").alias(key), F.sqrt(_square(points, "l", "r")).alias("distance"))
+
+
 def tree_radius(leaves: DataFrame, queries: DataFrame, key: str, query: str, points: list[str], eps: float) -> DataFrame:
     """``(query, key, distance)`` of rows nearer than eps to each query: leaves whose boxes the ball may touch are visited, others are not.
 
-    There are 2^depth boxes, few enough to be broadcast; visits then meet the rows of their leaf by equality.
+    Up to ``BOXES_SENT`` boxes are broadcast; visits then meet the rows of their leaf by equality. For more boxes than that rows and queries
+    meet in cells of width eps instead, which gives the same pairs.
     """
-    boxes = leaf_boxes(leaves, points).drop("n")
+    boxes = checkpointed(leaf_boxes(leaves, points).drop("n"))
+    if boxes.count() > BOXES_SENT:
+        return _cell_radius(leaves, queries, key, query, points, eps)
     asked = queries.select(F.col(query).alias("_q"), *[F.col(p).cast("double").alias(f"_q_{p}") for p in points])
     gap, far = F.lit(0.0), F.lit(0.0)
     for p in points:
@@ -195,6 +211,19 @@ def tree_radius(leaves: DataFrame, queries: DataFrame, key: str, query: str, poi
     return visits.join(leaves, "node").where(far < eps * eps).select(F.col("_q").alias("query"), key, F.sqrt(far).alias("distance"))
 
 
+def leaf_radius(leaves: DataFrame, key: str, points: list[str], eps: float) -> DataFrame:
+    """``(query, key, distance)``: for each row the rows of its own leaf nearer than eps, itself included; other leaves are not visited.
+
+    Within a leaf rows meet in cells of width eps, so a leaf's pairs are those of neighbouring cells only.
+    """
+    placed = leaves.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], F.col("node").cast("long").alias("node"), F.array(*[F.floor(F.col(p) / eps).cast("long") for p in points]).alias("cell"))
+    shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(points))])
+    wide = placed.withColumn("cell", F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d)))).alias("r")
+    near = _square(points, "l", "r") < eps * eps
+    met = placed.alias("l").join(wide, (F.col("l.node") == F.col("r.node")) & (F.col("l.cell") == F.col("r.cell")) & near)
+    return met.select(F.col("l._key").alias("query"), F.col("r._key").alias(key), F.sqrt(_square(points, "l", "r")).alias("distance"))
+
+
 def square_distance(vector: Column, centre: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
 
@@ -215,6 +244,23 @@ def lloyd(df: DataFrame, vector: str, centres: list[list[float]], rounds: int) -
     return centres
 
 
+def kmeans(df: DataFrame, vector: str, key: str, k: int, rounds: int = 100, least: float = 1e-6, seed: int = 42) -> list[list[float]]:
+    """Centres of k-means: from ``k`` distinct vectors with the lowest hashes of ``key``, rounds until no centre moves further than ``least``.
+
+    Fewer distinct vectors than ``k`` give as many centres; null vectors are left out. The driver holds the centres.
+    """
+    known = checkpointed(df.where(F.col(vector).isNotNull()).select(F.xxhash64(F.lit(seed), key).alias("h"), F.col(vector).cast("array<double>").alias(vector)))
+    first = known.groupBy(vector).agg(F.min("h").alias("h")).orderBy("h", vector).limit(k)
+    centres = [list(r[vector]) for r in first.collect()]
+    for _ in range(rounds if centres else 0):
+        new = lloyd(known, vector, centres, 1)
+        moved = max(sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5 for x, y in zip(centres, new))
+        centres = new
+        if moved <= least:
+            break
+    return centres
+
+
 def som_round(df: DataFrame, vector: str, weights: list[list[float]], width: int, sigma: float) -> list[list[float]]:
     """One batch round of a self-organising map: each neuron becomes the mean of all vectors, weighted by grid distance to their neuron.
 

@@ -11,10 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATE = "c array<array<double>>, l array<double>, w array<double>, alpha array<double>, grad array<double>, u array<array<double>>"
+from .linalg import moments
+
+STATE = "c array<array<double>>, l array<double>, w array<double>, alpha array<double>, grad array<double>, u array<array<double>>, rx array<array<double>>, ry array<double>"
+STATE_COLUMNS = [c.split(" ")[0] for c in STATE.split(", ")]
 
 
 def fold_ordered(df: DataFrame, key: str, order: str, columns: dict[str, Column], begin: Callable, step: Callable, end: Callable | None, schema: str) -> DataFrame:
@@ -47,7 +51,7 @@ def fold_ordered(df: DataFrame, key: str, order: str, columns: dict[str, Column]
 
 
 def linear_fold(df: DataFrame, key: str, order: str, y: str, x: str, size: int, eta: float) -> DataFrame:
-    """``(key, w)`` of the linear online SVM: w += eta y x where y w.x < 1."""
+    """``(key, w)`` of the linear online SVM: w += eta y x where y w.x < 1. Rows without key, label or vector are left out."""
 
     def step(w: np.ndarray, row) -> None:
         v = np.asarray(row.x, float)
@@ -56,7 +60,8 @@ def linear_fold(df: DataFrame, key: str, order: str, y: str, x: str, size: int,
 
     kind = dict(df.dtypes)[key]
     columns = {"y": F.col(y).cast("double"), "x": F.col(x).cast("array<double>")}
-    return fold_ordered(df, key, order, columns, lambda row: np.zeros(size), step, lambda k, w: {key: k, "w": w.tolist()}, f"{key} {kind}, w array<double>")
+    known = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    return fold_ordered(known, key, order, columns, lambda row: np.zeros(size), step, lambda k, w: {key: k, "w": w.tolist()}, f"{key} {kind}, w array<double>")
 
 
 def hinge_fit(df: DataFrame, y: str, x: str, size: int, rounds: int = 50, reg: float = 1e-3, eta: float = 1.0) -> list[float]:
@@ -102,33 +107,39 @@ def map_fold(df: DataFrame, key: str, order: str, x: str, start: list[list[float
 
 @dataclass
 class Params:
-    """radius of the cover; C bounds multipliers; eps bounds the ambiguity; eta learning rate; sigma kernel width."""
+    """radius of the cover; C bounds multipliers; eps bounds the ambiguity; eta learning rate; sigma kernel width; window of the smooth rule."""
 
     radius: float = 0.0
     C: float = 1.0
     eps: float = 0.0
     eta: float = 0.1
     sigma: float = 1.0
-    most: int = 2000
+    window: int = 20
 
 
 class State:
-    """Centres with label, weight, multiplier, gradient and ambiguity."""
+    """Centres with label, weight, multiplier, gradient and ambiguity, and the last samples that the smooth rule looks back on.
+
+    It grows by a centre for each sample that no centre of its label is near; the radius bounds it, nothing else does.
+    """
 
     def __init__(self, m: int) -> None:
         self.c, self.u = np.empty((0, m)), np.empty((0, m))
         self.l, self.w, self.alpha, self.grad = np.empty(0), np.empty(0), np.empty(0), np.empty(0)
-        self.recent: list[tuple[np.ndarray, float]] = []
+        self.rx, self.ry = np.empty((0, m)), np.empty(0)
 
     @classmethod
     def load(cls, row) -> "State":
         s = cls(len(row["c"][0]) if len(row["c"]) else 0)
-        s.c, s.u = np.array([list(v) for v in row["c"]], float), np.array([list(v) for v in row["u"]], float)
-        s.l, s.w, s.alpha, s.grad = (np.array(row[k], float) for k in ("l", "w", "alpha", "grad"))
+        for k in ("c", "u", "rx"):
+            if len(row[k]):
+                setattr(s, k, np.array([list(v) for v in row[k]], float))
+        for k in ("l", "w", "alpha", "grad", "ry"):
+            setattr(s, k, np.array(row[k], float))
         return s
 
     def row(self) -> dict:
-        return {"c": self.c.tolist(), "l": self.l.tolist(), "w": self.w.tolist(), "alpha": self.alpha.tolist(), "grad": self.grad.tolist(), "u": self.u.tolist()}
+        return {k: getattr(self, k).tolist() for k in STATE_COLUMNS}
 
 
 def kernel(a: np.ndarray, x: np.ndarray, sigma: float) -> np.ndarray:
@@ -137,12 +148,11 @@ def kernel(a: np.ndarray, x: np.ndarray, sigma: float) -> np.ndarray:
 
 def cover(s: State, x: np.ndarray, y: float, p: Params) -> None:
     """A sample near centres of its label shares a weight among them, else it becomes a centre."""
-    near = (s.l == y) & (np.sqrt(((s.c - x) ** 2).sum(1)) < p.radius)
-    if near.any():
-        s.w[near] += 1 / near.sum()
-        return
-    if len(s.c) >= p.most:
-        raise ValueError(f"more than {p.most} centres: a larger radius is needed")
+    if p.radius > 0:
+        near = (s.l == y) & (np.sqrt(((s.c - x) ** 2).sum(1)) < p.radius)
+        if near.any():
+            s.w[near] += 1 / near.sum()
+            return
     s.c, s.u = np.vstack([s.c, x]), np.vstack([s.u, np.zeros_like(x)])
     s.l, s.w, s.alpha, s.grad = np.append(s.l, y), np.append(s.w, 1.0), np.append(s.alpha, 0.0), np.append(s.grad, 0.0)
 
@@ -152,45 +162,65 @@ def moved(s: State) -> np.ndarray:
     return s.c - s.u / s.w[:, None]
 
 
+def lengths(u: np.ndarray) -> np.ndarray:
+    return np.sqrt((u**2).sum(1))
+
+
+# An ambiguity rule moves the centres and gives the kernel for the hinge, or None where that is taken after the move.
+# Moves go towards samples of the other label: a robust learner expects its centres where they hurt it most.
+
 def ambiguity_dro(s: State, x: np.ndarray, y: float, p: Params) -> None:
-    """A gradient step for every centre, its ambiguity then clipped to length eps."""
+    """A step for every centre, away from samples of its label; its ambiguity is then clipped to length eps."""
     k = kernel(moved(s), x, p.sigma)
-    s.u = s.u + (p.eta / p.sigma**2 * y * s.alpha * s.l * k)[:, None] * (moved(s) - x)
-    length = np.sqrt((s.u**2).sum(1))
-    s.u = s.u * np.where(length > p.eps, p.eps / np.maximum(length, 1e-300), 1.0)[:, None]
+    s.u = s.u - (p.eta / p.sigma**2 * y * s.alpha * s.l * k)[:, None] * (moved(s) - x)
+    s.u = s.u * np.minimum(1.0, p.eps / np.maximum(lengths(s.u), 1e-300))[:, None]
+
+
+def _bounded(s: State, p: Params) -> None:
+    """Ambiguity scaled to a mean length of at most eps."""
+    mean = lengths(s.u).mean()
+    if mean > p.eps:
+        s.u = s.u * (p.eps / mean)
+
+
+def _pull(s: State, x: np.ndarray, y: float, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The kernel with the sample, 0 for centres of its label, and how it draws the others."""
+    at = moved(s)
+    k = kernel(at, x, p.sigma) * (s.l != y)
+    return k, (s.alpha * k / p.sigma**2)[:, None] * (x - at)
 
 
 def ambiguity_mean(s: State, x: np.ndarray, y: float, p: Params) -> None:
-    """A step of the centres of the other label; their mean length is scaled to at most eps."""
-    k = kernel(moved(s), x, p.sigma) * (s.l != y)
-    s.u = s.u + (1 / p.sigma**2 * s.alpha * k)[:, None] * (x - s.c + s.u / s.w[:, None])
-    length = np.sqrt((s.u**2).sum(1)).mean()
-    if length > p.eps:
-        s.u = s.u * (p.eps / length)
+    """A step of the centres of the other label."""
+    s.u = s.u - _pull(s, x, y, p)[1]
+    _bounded(s, p)
 
 
 def ambiguity_unit(s: State, x: np.ndarray, y: float, p: Params) -> None:
-    """As the mean rule, with steps of length eta where the gradient is longer than 0.01."""
-    k = kernel(moved(s), x, p.sigma) * (s.l != y)
-    g = (1 / p.sigma**2 * s.alpha * k)[:, None] * (x - s.c + s.u / s.w[:, None])
-    length = np.sqrt((g**2).sum(1))
-    s.u = s.u + np.where((length > 0.01)[:, None], p.eta * g / np.maximum(length, 1e-300)[:, None], 0.0)
-    mean = np.sqrt((s.u**2).sum(1)).mean()
-    if mean > p.eps:
-        s.u = s.u * (p.eps / mean)
+    """As the mean rule with a step of length eta, where the pull as a matrix has a 2-norm above 0.01."""
+    _, pull = _pull(s, x, y, p)
+    size = np.linalg.norm(pull, 2)
+    if size > 0.01:
+        s.u = s.u - p.eta * pull / size
+        _bounded(s, p)
+
 
+def ambiguity_unit_before(s: State, x: np.ndarray, y: float, p: Params) -> np.ndarray:
+    """As the unit rule; the hinge sees the kernel of before the move, in which centres of the sample's label have no part."""
+    k, _ = _pull(s, x, y, p)
+    ambiguity_unit(s, x, y, p)
+    return k
 
-def ambiguity_smooth(s: State, x: np.ndarray, y: float, p: Params) -> None:
-    """A step of each centre over the last 20 samples of the other label; total length is scaled to at most eps times the centres."""
-    s.recent = [*s.recent, (x, y)][-20:]
-    at, total = moved(s), np.zeros_like(s.u)
-    for z, label in s.recent:
-        k = kernel(at, z, p.sigma) * (s.l != label)
-        total += k[:, None] * (z - at)
-    s.u = s.u + p.eta * s.alpha[:, None] * total
-    length = np.sqrt((s.u**2).sum())
-    if length > p.eps * len(s.c):
-        s.u = s.u * (p.eps * len(s.c) / length)
+
+def ambiguity_smooth(s: State, x: np.ndarray, y: float, p: Params) -> np.ndarray:
+    """A step of each centre over the last samples of the other label; the hinge sees the kernel of before the move."""
+    at = moved(s)
+    before, total = kernel(at, x, p.sigma), np.zeros_like(s.u)
+    for z, label in zip(s.rx, s.ry):
+        total += (kernel(at, z, p.sigma) * (s.l * label == -1))[:, None] * (z - at)
+    s.u = s.u - p.eta * s.alpha[:, None] * total
+    _bounded(s, p)
+    return before
 
 
 def rescale(s: State, weighted: bool, signed: bool) -> None:
@@ -210,43 +240,102 @@ LEARNERS: dict[str, tuple[Callable | None, bool, bool, bool]] = {
     "svm_weighted": (None, True, True, True),
     "dro": (ambiguity_dro, True, False, False),
     "robust": (ambiguity_mean, True, True, False),
-    "robust_norm": (ambiguity_unit, True, True, False),
+    "robust_norm": (ambiguity_unit_before, True, True, False),
     "robust_smooth": (ambiguity_smooth, True, True, False),
     "robust_combined": (ambiguity_unit, True, True, True),
 }
 
 
 def update(s: State, x: np.ndarray, y: float, p: Params, learner: str) -> None:
-    """One sample: cover, ambiguity, hinge, multipliers, rescale. The kernel is that after the ambiguity step."""
+    """One sample: cover, ambiguity (if eps is positive), hinge, multipliers, rescale.
+
+    The hinge's weights are those of the cover where the learner has them; gradients always have them.
+    """
     ambiguity, weights, weighted, signed = LEARNERS[learner]
     cover(s, x, y, p)
-    if ambiguity is not None and p.eps > 0:
-        ambiguity(s, x, y, p)
-    k = kernel(moved(s) if ambiguity else s.c, x, p.sigma)
-    w = s.w if weights else 1.0
-    if y * (w * k * s.alpha * s.l).sum() < 1:
-        s.grad = s.grad - y * w * s.l * k
+    if ambiguity is ambiguity_smooth:
+        s.rx, s.ry = np.vstack([s.rx, x])[-p.window :], np.append(s.ry, y)[-p.window :]
+    k = ambiguity(s, x, y, p) if ambiguity is not None and p.eps > 0 else None
+    if k is None:
+        k = kernel(moved(s), x, p.sigma)
+    if y * ((s.w if weights else 1.0) * k * s.alpha * s.l).sum() < 1:
+        s.grad = s.grad - y * s.w * s.l * k
         s.alpha = np.minimum(np.exp(-p.eta * s.grad - 1), p.C)
         rescale(s, weighted, signed)
 
 
-def fit(df: DataFrame, key: str, order: str, y: str, x: str, learner: str, params: Params = Params()) -> DataFrame:
-    """A row of state for each key; a key's rows stream through one task in order, its memory is the centres."""
+def fit(df: DataFrame, key: str, order: str, y: str, x: str, learner: str, params: Params = Params(), start: DataFrame | None = None) -> DataFrame:
+    """A row of state for each key; a key's rows stream through one task in order, its memory is the centres.
+
+    ``start`` has rows of state that keys go on from; its keys without rows stay as they are. Rows without key, label or vector are left out.
+    """
+
+    def begin(row) -> State:
+        return State(len(row.x)) if row.s is None else State.load(row.s if isinstance(row.s, dict) else row.s.asDict())
 
     def step(s: State, row) -> None:
-        update(s, np.asarray(row.x, float), row.y, params, learner)
+        if row.s is None:
+            update(s, np.asarray(row.x, float), row.y, params, learner)
+
+    kind = dict(df.dtypes)
+    state = ", ".join(f"{n}: {t}" for n, t in (c.split(" ", 1) for c in STATE.split(", ")))
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x")).where("y is not null and x is not null")
+    rows = rows.withColumn("s", F.lit(None).cast(f"struct<{state}>")).withColumn("first", F.lit(1))
+    if start is not None:
+        held = F.struct(*[F.col(c) for c in STATE_COLUMNS]).alias("s")
+        rows = rows.union(start.select(F.col("key").alias("k"), F.lit(None).alias("o"), F.lit(None).alias("y"), F.lit(None).alias("x"), held, F.lit(0)))
+    rows = rows.withColumn("o", F.struct("first", "o"))
+    columns = {n: F.col(n) for n in ("y", "x", "s")}
+    return fold_ordered(rows, "k", "o", columns, begin, step, lambda k, s: {"key": k, **s.row()}, f"key {kind[key]}, {STATE}")
+
+
+def fit_scaling(df: DataFrame, x: str) -> tuple[list[float], list[float]]:
+    """Mean and variance (of the population) of each component, from one aggregate; components without variance count as having 1."""
+    found = moments(df, x)
+    if not found:
+        return [], []
+    ((n, total, gram),) = found.values()
+    variance = np.maximum(np.diag(gram) / n - (total / n) ** 2, 0.0)
+    return (total / n).tolist(), np.where(variance > 1e-12 * np.diag(gram) / n, variance, 1.0).tolist()
 
-    kind = dict(df.dtypes)[key]
-    columns = {"y": F.col(y).cast("double"), "x": F.col(x).cast("array<double>")}
-    return fold_ordered(df, key, order, columns, lambda row: State(len(row.x)), step, lambda k, s: {"key": k, **s.row()}, f"key {kind}, {STATE}")
 
+def scaled(x: Column, scaling: tuple[list[float], list[float]]) -> Column:
+    """A vector less the means, by the roots of the variances: what learners of stored scaling are given."""
+    means, variances = (F.array(*map(F.lit, v)) for v in scaling)
+    centred = F.zip_with(x, means, lambda a, b: a - b)
+    return F.zip_with(centred, variances, lambda a, v: a / F.sqrt(v))
 
-def margins(df: DataFrame, states: DataFrame, key: str, x: str, sigma: float) -> DataFrame:
-    """``df`` with ``margin``: the sum over a key's centres of alpha w l k, as array expressions; states are one row a key."""
-    held = states.select(F.col("key").alias(key), F.arrays_zip("c", "l", "w", "alpha", "u").alias("_z"))
-    gap = lambda z: F.aggregate(F.zip_with(F.zip_with(z["c"], z["u"], lambda c, u: c - u / z["w"]), F.col(x), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    margin = F.aggregate("_z", F.lit(0.0), lambda s, z: s + z["alpha"] * z["w"] * z["l"] * F.exp(-gap(z) / (2 * sigma * sigma)))
-    return df.join(held, key, "left").withColumn("margin", margin).drop("_z")
+
+def linear_margins(df: DataFrame, x: str, w: list[float]) -> Column:
+    """The linear learner's prediction: w.x."""
+    return F.aggregate(F.zip_with(F.col(x), F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def margins(df: DataFrame, states: DataFrame, key: str, x: str, sigma: float, spread: int = 8) -> DataFrame:
+    """``df`` with ``margin``: the sum over a key's centres of alpha w l k. Null where the key has no state, or the vector is null.
+
+    Rows of a key are dealt to ``spread`` groups, and each meets the key's state there: matrix products in place of a loop over centres.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(x)), F.lit(spread)).cast("int"))
+    held = states.select("key", "c", "l", "w", "alpha", "u", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt"))
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = np.full(left.num_rows, np.nan)
+        vectors = left[x].to_pylist()
+        if right.num_rows:
+            s = {n: np.array(right[n][0].as_py(), float) for n in ("c", "l", "w", "alpha", "u")}
+            at, weight = s["c"] - s["u"] / s["w"][:, None] if len(s["w"]) else s["c"], s["alpha"] * s["w"] * s["l"]
+            known = [i for i, v in enumerate(vectors) if v is not None and None not in v]
+            for lo in range(0, len(known), 256):
+                some = known[lo : lo + 256]
+                v = np.array([vectors[i] for i in some], float)
+                gap = (v**2).sum(1)[:, None] + (at**2).sum(1)[None] - 2 * v @ at.T if len(weight) else np.zeros((len(some), 0))
+                out[some] = np.exp(-np.maximum(gap, 0) / (2 * sigma * sigma)) @ weight
+        return left.drop_columns(["_salt"]).append_column("margin", pa.array(out, from_pandas=True))
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", margin double"
+    return rows.groupBy(key, "_salt").cogroup(held.groupBy("key", "_salt")).applyInArrow(scored, schema)
 
 
 def surface(states: DataFrame, sigma: float, steps: int = 100, reach: float = 1.5) -> DataFrame:
@@ -264,6 +353,12 @@ def rbf(a: Column, b: Column, sigma: float) -> Column:
     return F.exp(-F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v) / (2 * sigma * sigma))
 
 
+def kernel_rows(df: DataFrame, key: str, x: str, centres: list[list[float]], sigma: float) -> DataFrame:
+    """``(key, i, k)``: the kernel of each row's vector with each of ``centres``; rows of the Gram matrix. Centres are constants of the plan."""
+    values = F.array(*[rbf(F.col(x), F.array(*map(F.lit, c)), sigma) for c in centres])
+    return df.where(F.col(x).isNotNull()).select(key, F.posexplode(values).alias("i", "k"))
+
+
 def one_class_scores(df: DataFrame, x: str, centres: list[list[float]], alpha: list[float], sigma: float) -> Column:
     """alpha.k(x) - 1 over constant centres."""
     total = F.lit(-1.0)

@@ -235,3 +235,10 @@ def stl(df: DataFrame, column: str, period: int, order: str, by: str) -> DataFra
     dealt = df.where(F.col(column).isNotNull()).select(F.col(by).alias("by"), F.col(order).alias("order"), F.col(column).cast("double").alias("value"))
     made = dealt.groupBy("by").applyInPandas(split, f"by {kinds[by]}, `order` {kinds[order]}, value double, trend double, season double, remainder double")
     return made.withColumnsRenamed({"by": by, "order": order})
+
+
+def scatter_rows(df: DataFrame, key: str, features: list[str], target: str, most: int = 10_000) -> DataFrame:
+    """``(key, feature, x, target)``: the points of each feature's plot against the target, of at most ``most`` evenly spaced rows."""
+    rows = plot_rows(df.select(key, *features, target), key, target, most)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("f")
+    return rows.select(key, pairs, F.col(target).alias("target")).select(key, "f.feature", "f.x", "target")

@@ -91,3 +91,8 @@ def predictive_power(long: DataFrame, folds: int = 4) -> DataFrame:
     judged = known.join(model, ["feature", "x"]).join(median, "feature")
     error = judged.groupBy("feature").agg(F.avg(F.abs(F.col("y") - F.get("_p", F.col("fold")))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("_median"))).alias("naive"))
     return error.withColumn("score", F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("mae"), F.col("naive"))))
+
+
+def select_by_power(power: DataFrame, least: float) -> DataFrame:
+    """``(feature, score)`` of the features whose predictive power exceeds ``least``."""
+    return power.where(F.col("score") > least).select("feature", "score")

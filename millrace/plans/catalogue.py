@@ -97,7 +97,8 @@ def clean_outlier_zscore(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN value IS NOT NULL THEN greatest(least(value, CAST(300 AS DOUBLE)), CAST(5 AS DOUBLE)) END AS value FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)")
 def clean_outlier_clip(spark, sf_dir):
-    return _gappy(spark, sf_dir).select("event_id", C.clip(F.col("value"), 5.0, 300.0).alias("value"))
+    t = _gappy(spark, sf_dir).select("event_id", "value")
+    return C.fit(t, ["value"], outliers="clip", missing="none", bounds=(5.0, 300.0)).apply(t)
 
 
 @query(f"""WITH {_GAPPY}, n AS (SELECT *, row_number() OVER w AS r FROM gappy WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -113,29 +114,31 @@ def clean_fill_interpolate(spark, sf_dir):
 @query(f"WITH {_GAPPY} SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM gappy)), 6) AS value FROM gappy")
 def clean_fill_mean(spark, sf_dir):
     t = _gappy(spark, sf_dir).select("event_id", "value")
-    return t.na.fill(C.fit_means(t, ["value"])).select("event_id", _r("value").alias("value"))
+    return C.fit(t, ["value"], outliers="none", missing="mean").apply(t).select("event_id", _r("value").alias("value"))
 
 
 @query(f"WITH {_GAPPY} SELECT event_id, coalesce(value, 0) AS value, coalesce(k, 0) AS k FROM gappy")
 def clean_fill_zero(spark, sf_dir):
-    return _gappy(spark, sf_dir).select("event_id", "value", "k").na.fill(0.0, subset=["value", "k"])
+    t = _gappy(spark, sf_dir).select("event_id", "value", "k")
+    return C.fit(t, ["value", "k"], outliers="none", missing="zero").apply(t)
 
 
 @query(f"WITH {_GAPPY} SELECT event_id, value, k FROM gappy WHERE value IS NOT NULL AND k IS NOT NULL")
 def clean_drop_rows(spark, sf_dir):
-    return _gappy(spark, sf_dir).select("event_id", "value", "k").na.drop("any")
+    t = _gappy(spark, sf_dir).select("event_id", "value", "k")
+    return C.fit(t, ["value", "k"], outliers="none", missing="remove_rows").apply(t)
 
 
 @query(f"WITH {_GAPPY} SELECT event_id, user_id, one FROM gappy")
 def clean_drop_cols(spark, sf_dir):
     t = _gappy(spark, sf_dir)
-    return t.select(*C.drop_incomplete_columns(t, t.columns))
+    return C.fit(t, ["value", "k", "one"], outliers="none", missing="remove_cols", keep_constants=True).apply(t)
 
 
 @query(f"WITH {_GAPPY} SELECT event_id, user_id, value, k FROM gappy")
 def clean_drop_constants(spark, sf_dir):
     t = _gappy(spark, sf_dir)
-    return t.drop(*C.constants(t, ["value", "k", "one"]))
+    return C.fit(t, ["value", "k", "one"], outliers="none", missing="none").apply(t)
 
 
 @query(f"WITH {_GAPPY} SELECT count(*) FILTER (value IS NULL)::BIGINT AS value, count(*) FILTER (k IS NULL)::BIGINT AS k, 0::BIGINT AS one FROM gappy")
@@ -152,6 +155,17 @@ def clean_pipeline(spark, sf_dir):
     return plan.apply(t).select("event_id", _r("value").alias("value"), _r("k").alias("k"))
 
 
+@query(f"""WITH {_GAPPY}, n AS (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM gappy),
+    p AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN r END IGNORE NULLS) OVER b AS pr, last_value(value IGNORE NULLS) OVER b AS pv,
+          first_value(CASE WHEN value IS NOT NULL THEN r END IGNORE NULLS) OVER a AS nr, first_value(value IGNORE NULLS) OVER a AS nv FROM n
+          WINDOW b AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, round(coalesce(value, pv + (nv - pv) * (r - pr)::DOUBLE / greatest(nr - pr, 1)::DOUBLE, pv, nv, 0), 6) AS value FROM p""")
+def clean_fill_interpolate_table(spark, sf_dir):
+    """The default plan: one series, interpolated along the whole table."""
+    t = _gappy(spark, sf_dir).select("event_id", "value")
+    return C.fit(t, ["value"], order=["event_id"]).apply(t).select("event_id", _r("value").alias("value"))
+
+
 # --- features ---
 
 def _prices(spark, sf_dir):
@@ -203,21 +217,19 @@ def feat_lag(spark, sf_dir):
     return X.apply_specs(_table(spark, sf_dir, "events").select("event_id", "user_id", "value"), specs, ["event_id"], ["user_id"]).select("event_id", *[s.name for s in specs])
 
 
-def _seeds(t: DataFrame, k: int, m: int) -> list[list[float]]:
-    """The first m elements of the k vectors with the lowest ids."""
-    return [r[0][:m] for r in t.orderBy("vec_id").select("embedding").limit(k).collect()]
+def _seeds(t: DataFrame, k: int) -> list[list[float]]:
+    """The k vectors with the lowest ids."""
+    return [list(map(float, r[0])) for r in t.orderBy("vec_id").select("embedding").limit(k).collect()]
 
 
-_DIST = "sqrt(list_sum([power(embedding[i]::DOUBLE - e[i]::DOUBLE, 2) for i in range(1, 5)]))"
-
-
-@query(f"""WITH c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding AS e FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 2)),
-    d AS (SELECT vec_id, i, {_DIST} AS x FROM embeddings, c)
-    SELECT vec_id, round(max(x) FILTER (i = 0), 5) AS dist__0_2, round(max(x) FILTER (i = 1), 5) AS dist__1_2 FROM d GROUP BY vec_id""")
+@query()
 def feat_kmeans_dist(spark, sf_dir):
-    t = _table(spark, sf_dir, "embeddings")
-    made = t.select("vec_id", *X.centre_distances(F.slice(F.col("embedding").cast("array<double>"), 1, 4), _seeds(t, 2, 4)))
-    return made.select("vec_id", *[_r(c, 5).alias(c) for c in made.columns[1:]])
+    """Distances to the centres of a k-means fitted to all standardised components, as many as the rule for the number of rows says."""
+    t = _vectors(spark, sf_dir)
+    scaling = O.fit_scaling(t, "e")
+    scaled = t.select("vec_id", O.scaled(F.col("e"), scaling).alias("e"))
+    centres = N.kmeans(scaled, "e", "vec_id", X.centre_count(t.count(), len(scaling[0])))
+    return scaled.select("vec_id", *X.centre_distances(F.col("e"), centres))
 
 
 @query("""SELECT a, b, round(r, 6) AS r FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem
@@ -465,44 +477,54 @@ def nn_leaf_profile(spark, sf_dir):
     return N.leaf_profile(N.kd_leaves(_points(spark, sf_dir), "c_custkey", ["x", "y"], 2), ["x", "y"]).withColumn("mean_square", _r("mean_square", 4))
 
 
-_V4 = "v AS (SELECT vec_id, [embedding[i]::DOUBLE for i in range(1, 5)] AS e FROM embeddings)"
-_SQ = "list_sum([power(v.e[i] - c.e[i], 2) for i in range(1, 5)])"
+_V = "v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings)"
+_SQ = "list_sum([power(v.e[i] - c.e[i], 2) for i in range(1, 65)])"
 
 
 def _vectors(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("e"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
 
 
-@query(f"""WITH {_V4}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3)),
+@query(f"""WITH {_V}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3)),
     near AS (SELECT vec_id, v.e, min(struct_pack(d := {_SQ}, i := c.i)).i AS k FROM v, c GROUP BY vec_id, v.e)
-    SELECT k::INT AS k, round(avg(e[1]), 5) AS c0, round(avg(e[2]), 5) AS c1, round(avg(e[3]), 5) AS c2, round(avg(e[4]), 5) AS c3 FROM near GROUP BY k""")
+    SELECT k::INT AS k, j::INT AS j, round(avg(e[j + 1]), 5) AS c FROM near, range(0, 64) r(j) GROUP BY k, j""")
 def cluster_lloyd(spark, sf_dir):
-    t = _vectors(spark, sf_dir)
-    centres = N.lloyd(t, "e", _seeds(_table(spark, sf_dir, "embeddings"), 3, 4), 1)
-    return spark.createDataFrame([(i, *[round(x, 5) for x in c]) for i, c in enumerate(centres)], "k int, c0 double, c1 double, c2 double, c3 double")
+    """One round from given centres."""
+    centres = N.lloyd(_vectors(spark, sf_dir), "e", _seeds(_table(spark, sf_dir, "embeddings"), 3), 1)
+    return spark.createDataFrame([(i, j, round(x, 5)) for i, c in enumerate(centres) for j, x in enumerate(c)], "k int, j int, c double")
 
 
-@query(f"""WITH {_V4}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 9)),
+@query(f"""WITH {_V}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 9)),
     near AS (SELECT vec_id, min(struct_pack(d := {_SQ}, i := c.i)).i AS k FROM v, c GROUP BY vec_id)
     SELECT vec_id, (k // 3)::INT AS grid_row, (k % 3)::INT AS grid_col FROM near""")
 def som_map(spark, sf_dir):
-    t = _vectors(spark, sf_dir).withColumn("k", N.nearest_centre(F.col("e"), _seeds(_table(spark, sf_dir, "embeddings"), 9, 4)))
+    t = _vectors(spark, sf_dir).withColumn("k", N.nearest_centre(F.col("e"), _seeds(_table(spark, sf_dir, "embeddings"), 9)))
     return t.select("vec_id", F.floor(F.col("k") / 3).cast("int").alias("grid_row"), (F.col("k") % 3).alias("grid_col"))
 
 
 @query()
 def som_batch(spark, sf_dir):
-    weights = _seeds(_table(spark, sf_dir, "embeddings"), 9, 4)
+    weights = _seeds(_table(spark, sf_dir, "embeddings"), 9)
     for t in range(3):
         weights = N.som_round(_vectors(spark, sf_dir), "e", weights, 3, 1.5 * (1 - t / 3))
     return spark.createDataFrame([(i // 3, i % 3, w) for i, w in enumerate(weights)], "grid_row int, grid_col int, weights array<double>")
 
 
-@query(f"""WITH {_V4}, c AS (SELECT e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3))
+@query(f"""WITH {_V}, c AS (SELECT e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3))
     SELECT vec_id, round(sum(0.5::DOUBLE * exp(-{_SQ} / 0.5::DOUBLE)) - 1, 6) AS score FROM v, c GROUP BY vec_id""")
 def oneclass_score(spark, sf_dir):
     t = _vectors(spark, sf_dir)
-    return t.select("vec_id", _r(O.one_class_scores(t, "e", _seeds(_table(spark, sf_dir, "embeddings"), 3, 4), [0.5] * 3, 0.5)).alias("score"))
+    return t.select("vec_id", _r(O.one_class_scores(t, "e", _seeds(_table(spark, sf_dir, "embeddings"), 3), [0.5] * 3, 0.5)).alias("score"))
+
+
+@query(f"""WITH {_V}, c AS (SELECT vec_id, e FROM v ORDER BY vec_id LIMIT 20)
+    SELECT v.vec_id, c.vec_id AS centre, round(exp(-{_SQ} / 0.5::DOUBLE), 6) AS k FROM v, c""")
+def kernel_gram(spark, sf_dir):
+    """The kernel of every vector with each of the 20 first."""
+    t = _vectors(spark, sf_dir)
+    centres = [(r.vec_id, list(r.e)) for r in t.orderBy("vec_id").limit(20).collect()]
+    made = O.kernel_rows(t, "vec_id", "e", [c for _, c in centres], 0.5)
+    return made.select("vec_id", F.get(F.array(*[F.lit(i) for i, _ in centres]), F.col("i")).alias("centre"), _r("k").alias("k"))
 
 
 # --- online learners ---
@@ -511,20 +533,32 @@ def _labelled(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("y"), "e", (F.col("label") % 5).alias("model"))
 
 
-@query("""WITH RECURSIVE v AS (SELECT (label % 5)::INT AS model, row_number() OVER (PARTITION BY label % 5 ORDER BY vec_id) AS r, CASE WHEN label < 5 THEN 1::DOUBLE ELSE -1::DOUBLE END AS y, [embedding[i]::DOUBLE for i in range(1, 5)] AS e FROM embeddings),
-    f(model, r, w) AS (SELECT DISTINCT model, 0::BIGINT, [0::DOUBLE, 0, 0, 0] FROM v UNION ALL
-    SELECT f.model, v.r, CASE WHEN v.y * (w[1] * e[1] + w[2] * e[2] + w[3] * e[3] + w[4] * e[4]) < 1 THEN [w[1] + 0.1::DOUBLE * y * e[1], w[2] + 0.1::DOUBLE * y * e[2], w[3] + 0.1::DOUBLE * y * e[3], w[4] + 0.1::DOUBLE * y * e[4]] ELSE w END
-    FROM f JOIN v ON v.model = f.model AND v.r = f.r + 1)
-    SELECT model, round(w[1], 6) AS w0, round(w[2], 6) AS w1, round(w[3], 6) AS w2, round(w[4], 6) AS w3 FROM f WHERE (model, r) IN (SELECT (model, max(r)) FROM v GROUP BY model)""")
+_FOLDED = "v AS (SELECT (label % 5)::INT AS model, vec_id, row_number() OVER (PARTITION BY label % 5 ORDER BY vec_id) AS r, CASE WHEN label < 5 THEN 1::DOUBLE ELSE -1::DOUBLE END AS y, [x::DOUBLE for x in embedding] AS e FROM embeddings)"
+_LINEAR = f"""WITH RECURSIVE {_FOLDED},
+    f(model, r, w) AS (SELECT DISTINCT model, 0::BIGINT, [0::DOUBLE for i in range(1, 65)] FROM v UNION ALL
+    SELECT f.model, v.r, CASE WHEN v.y * list_sum([w[i] * e[i] for i in range(1, 65)]) < 1 THEN [w[i] + 0.1::DOUBLE * y * e[i] for i in range(1, 65)] ELSE w END
+    FROM f JOIN v ON v.model = f.model AND v.r = f.r + 1),
+    last AS (SELECT model, w FROM f WHERE (model, r) IN (SELECT (model, max(r)) FROM v GROUP BY model))"""
+
+
+@query(f"{_LINEAR} SELECT model, j::INT AS j, round(w[j + 1], 6) AS w FROM last, range(0, 64) r(j)")
 def linear_svm_online(spark, sf_dir):
-    t = O.linear_fold(_labelled(spark, sf_dir), "model", "vec_id", "y", "e", 4, 0.1)
-    return t.select("model", *[_r(F.col("w")[i]).alias(f"w{i}") for i in range(4)])
+    t = O.linear_fold(_labelled(spark, sf_dir), "model", "vec_id", "y", "e", 64, 0.1)
+    return t.select("model", F.posexplode("w").alias("j", "w")).withColumn("w", _r("w"))
+
+
+@query(f"{_LINEAR} SELECT vec_id, round(list_sum([w[i] * e[i] for i in range(1, 65)]), 6) AS margin FROM v JOIN last USING (model)")
+def linear_svm_predict(spark, sf_dir):
+    """Each vector by its model's weights."""
+    t = _labelled(spark, sf_dir)
+    models = O.linear_fold(t, "model", "vec_id", "y", "e", 64, 0.1)
+    return t.join(models, "model").select("vec_id", _r(F.aggregate(F.zip_with("e", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("margin"))
 
 
 def _learner(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = _labelled(spark, sf_dir)
-        p = O.Params(radius=0.1, eps=0.05, sigma=0.5)
+        p = O.Params(radius=0.9, eps=0.05, sigma=0.5)
         scored = O.margins(t, O.fit(t, "model", "vec_id", "y", "e", name, p), "model", "e", p.sigma)
         return scored.groupBy("model").agg(F.avg((F.signum("margin") == F.col("y")).cast("double")).alias("accuracy"), F.avg("margin").alias("mean_margin"))
 
@@ -544,18 +578,25 @@ def spectral_filter(spark, sf_dir):
 
 # --- linear algebra ---
 
-@query("""WITH v AS (SELECT [embedding[i]::DOUBLE for i in range(1, 5)] AS e FROM embeddings), ij AS (SELECT i::INT AS i, j::INT AS j FROM range(0, 4) a(i), range(0, 4) b(j))
+@query(f"""WITH {_V}, ij AS (SELECT i::INT AS i, j::INT AS j FROM range(0, 64) a(i), range(0, 64) b(j))
     SELECT i, j, round(sum(e[i + 1] * e[j + 1]), 5) AS g FROM v, ij GROUP BY i, j""")
 def linalg_gram(spark, sf_dir):
-    (_, _, gram), = L.moments(_vectors(spark, sf_dir), "e").values()
-    return spark.createDataFrame([(i, j, round(float(gram[i, j]), 5)) for i in range(4) for j in range(4)], "i int, j int, g double")
+    gram = L.gram(_vectors(spark, sf_dir), "e")
+    return spark.createDataFrame([(i, j, round(float(g), 5)) for i, row in enumerate(gram) for j, g in enumerate(row)], "i int, j int, g double")
 
 
-@query("""WITH g AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS c FROM (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings))
-    SELECT i::INT AS i, round(sqrt((a + c) / 2 + (1 - 2 * i) * sqrt(power((a - c) / 2, 2) + b * b)), 5) AS s FROM g, range(0, 2) r(i)""")
+@query()
 def linalg_svd(spark, sf_dir):
-    values, _ = L.svd(_vectors(spark, sf_dir).select(F.slice("e", 1, 2).alias("e")), "e", 2)
-    return spark.createDataFrame([(i, round(float(s), 5)) for i, s in enumerate(values)], "i int, s double")
+    values, vectors = L.svd(_vectors(spark, sf_dir), "e", 64)
+    return spark.createDataFrame([(i, float(s), vectors[:, i].tolist()) for i, s in enumerate(values)], "i int, s double, v array<double>")
+
+
+@query(f"""WITH {_V}, g AS (SELECT i, j, sum(e[i] * e[j]) AS g FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j)
+    SELECT round(sum(g) FILTER (i = j), 4) AS squares, round(sqrt(sum(g * g)), 4) AS fourth_root FROM g""")
+def linalg_svd_norms(spark, sf_dir):
+    """What all singular values have to add up to: their squares to the trace of the Gram matrix, their fourth powers to its squared norm."""
+    values, _ = L.svd(_vectors(spark, sf_dir), "e", 64)
+    return spark.createDataFrame([(round(float((values**2).sum()), 4), round(float((values**4).sum() ** 0.5), 4))], "squares double, fourth_root double")
 
 
 @query()
@@ -564,26 +605,44 @@ def linalg_rsvd(spark, sf_dir):
     return spark.createDataFrame([(i, float(s), vectors[:, i].tolist()) for i, s in enumerate(values)], "i int, s double, v array<double>")
 
 
-_LDA = """WITH v AS (SELECT CASE WHEN label < 5 THEN 1 ELSE -1 END AS l, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-    m AS (SELECT l, avg(x) AS mx, avg(y) AS my FROM v GROUP BY l), s AS (SELECT sum(power(x - mx, 2)) AS a, sum((x - mx) * (y - my)) AS b, sum(power(y - my, 2)) AS c FROM v JOIN m USING (l)),
-    d AS (SELECT p.mx - n.mx AS dx, p.my - n.my AS dy FROM m p, m n WHERE p.l = 1 AND n.l = -1), w AS (SELECT (c * dx - b * dy) / (a * c - b * b) AS u, (a * dy - b * dx) / (a * c - b * b) AS v FROM s, d)
-    SELECT round(u / sqrt(u * u + v * v), 5) AS w0, round(v / sqrt(u * u + v * v), 5) AS w1 FROM w"""
+#: within-class scatter as a list of rows, the means' difference, and the system solved by 100 steps of conjugate gradients
+_SOLVED = f"""WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE -1 END AS l, [x::DOUBLE for x in embedding] AS e FROM embeddings),
+    means AS (SELECT l, i, avg(e[i]) AS m FROM v, range(1, 65) a(i) GROUP BY l, i), lists AS (SELECT l, list(m ORDER BY i) AS m FROM means GROUP BY l),
+    c AS (SELECT [e[i] - m[i] for i in range(1, 65)] AS e FROM v JOIN lists USING (l)),
+    cells AS (SELECT i, j, sum(e[i] * e[j]) AS s FROM c, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j), rows_ AS (SELECT i, list(s ORDER BY j) AS s FROM cells GROUP BY i),
+    matrix AS MATERIALIZED (SELECT list(s ORDER BY i) AS a FROM rows_), d AS (SELECT [p.m[i] - n.m[i] for i in range(1, 65)] AS d FROM lists p, lists n WHERE p.l = 1 AND n.l = -1),
+    cg(k, x, r, p) AS (SELECT 0, [0::DOUBLE for i in range(1, 65)], d, d FROM d UNION ALL
+        SELECT k + 1, x2, r2, [r2[i] + p[i] * list_sum([y * y for y in r2]) / rr for i in range(1, 65)] FROM (
+            SELECT k, p, rr, [x[i] + p[i] * step for i in range(1, 65)] AS x2, [r[i] - ap[i] * step for i in range(1, 65)] AS r2 FROM (
+                SELECT *, rr / list_sum([p[i] * ap[i] for i in range(1, 65)]) AS step FROM (
+                    SELECT cg.*, [list_sum([row_[i] * p[i] for i in range(1, 65)]) for row_ in a] AS ap, list_sum([y * y for y in r]) AS rr FROM cg, matrix WHERE k < 100)))
+        WHERE rr > 1e-24::DOUBLE),
+    w AS (SELECT [y / sqrt(list_sum([z * z for z in x])) for y in x] AS w FROM cg WHERE k = (SELECT max(k) FROM cg))"""
+
+
+def _direction(spark, sf_dir, method: str) -> list[float]:
+    return [float(x) for x in L.discriminant(_labelled(spark, sf_dir), "e", "y", method)]
 
 
 def _lda(method: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = _labelled(spark, sf_dir).select("y", F.slice("e", 1, 2).alias("e"))
-        w = L.discriminant(t, "e", "y", method)
-        return spark.createDataFrame([tuple(round(float(x), 5) for x in w)], "w0 double, w1 double")
+        return spark.createDataFrame([(j, round(x, 5)) for j, x in enumerate(_direction(spark, sf_dir, method))], "j int, w double")
 
     run.__name__ = f"lda_{method}"
-    query(_LDA)(run)
+    query(f"{_SOLVED} SELECT j::INT AS j, round(w[j + 1], 5) AS w FROM w, range(0, 64) r(j)")(run)
 
 
 for _name in ("eig", "twostage", "svd", "qrsvd", "srda"):
     _lda(_name)
 
 
+@query(f"{_SOLVED} SELECT vec_id, round(list_sum([e[i] * w[i] for i in range(1, 65)]), 5) AS along FROM v, w")
+def lda_transform(spark, sf_dir):
+    """Each vector's place along the direction that separates the labels."""
+    t = _labelled(spark, sf_dir)
+    return t.select("vec_id", _r(L.transform(F.col("e"), [_direction(spark, sf_dir, "eig")])[0], 5).alias("along"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events``, gaps interpolated along each user, outliers removed, standardised, with differences and lags."""
     t = C.interpolate(_gappy(spark, sf_dir).select("event_id", "user_id", "value", "k"), ["value", "k"], ["event_id"], ["user_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import shared_folder
 from ..operators import cleaning as C
 from ..operators import features as X
+from ..operators import linalg as L
 from ..operators import mixtures as G
 from ..operators import models as M
 from ..operators import neighbours as N
@@ -17,7 +18,7 @@ from ..operators import series as S
 from ..operators import trees as T
 from ..operators.series import hash_folds
 from ..sources import artifacts as A
-from .catalogue import _POINTS, _SQ, _V4, ORACLE_SQL, QUERIES, _gappy, _labelled, _points, _r, _seeds, _table, _vectors, flagship, query
+from .catalogue import _KD, _POINTS, _SQ, _V, ORACLE_SQL, QUERIES, _gappy, _labelled, _points, _r, _seeds, _table, _vectors, flagship, query
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -126,34 +127,62 @@ def eda_time_plot(spark, sf_dir):
 @query()
 def som_online(spark, sf_dir):
     t = _vectors(spark, sf_dir).withColumn("model", F.col("label") % 5)
-    return O.map_fold(t, "model", "vec_id", "e", _seeds(_table(spark, sf_dir, "embeddings"), 9, 4), 3)
+    return O.map_fold(t, "model", "vec_id", "e", _seeds(_table(spark, sf_dir, "embeddings"), 9), 3)
 
 
 @query()
 def linear_svm_fit(spark, sf_dir):
-    w = O.hinge_fit(_labelled(spark, sf_dir), "y", "e", 4, 20)
-    return spark.createDataFrame([tuple(w)], "w0 double, w1 double, w2 double, w3 double")
+    w = O.hinge_fit(_labelled(spark, sf_dir), "y", "e", 64, 20)
+    return spark.createDataFrame(list(enumerate(w)), "j int, w double")
 
 
 @query()
 def online_surface(spark, sf_dir):
-    t = _labelled(spark, sf_dir).withColumn("e", F.slice("e", 1, 2))
+    """The robust learner on all components' projection to their two leading axes."""
+    t = _labelled(spark, sf_dir)
+    t = t.withColumn("e", L.transform(F.col("e"), L.svd(t, "e", 2)[1].T.tolist()))
     return O.surface(O.fit(t, "model", "vec_id", "y", "e", "robust", O.Params(radius=0.1, eps=0.05, sigma=0.5)), 0.5, 20)
 
 
+@query(f"""WITH {_KD} SELECT l.c_custkey AS query, r.c_custkey, round(sqrt(power(l.x - r.x, 2) + power(l.y - r.y, 2)), 6) AS distance
+    FROM b l JOIN b r ON l.node = r.node WHERE power(l.x - r.x, 2) + power(l.y - r.y, 2) < 0.25""")
+def nn_kd_leaf_search(spark, sf_dir):
+    """Each row's neighbours within 0.5 among the rows of its own leaf."""
+    found = N.leaf_radius(N.kd_leaves(_points(spark, sf_dir), "c_custkey", ["x", "y"], 2), "c_custkey", ["x", "y"], 0.5)
+    return found.withColumn("distance", _r("distance"))
+
+
+@query("""WITH e AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, user_id::DOUBLE AS user_id, row_number() OVER (ORDER BY event_id) - 1 AS i, greatest(count(*) OVER () / 200::DOUBLE, 1) AS step FROM events),
+    m AS (SELECT event_id, value AS target, unnest([{'feature': 'k', 'x': k}, {'feature': 'user_id', 'x': user_id}]) AS f FROM e WHERE i = 0 OR floor(i / step) <> floor((i - 1) / step))
+    SELECT event_id, f.feature AS feature, f.x AS x, target FROM m""")
+def eda_scatter(spark, sf_dir):
+    """Points of each feature against the target: evenly spaced rows, as many as a plot shows."""
+    e = _table(spark, sf_dir, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"), F.col("user_id").cast("double").alias("user_id"))
+    return S.scatter_rows(e, "event_id", ["k", "user_id"], "value", 200)
+
+
+@query(_pps_sql().replace("SELECT feature, round(mae, 6) AS mae, round(naive, 6) AS naive, round(greatest(0::DOUBLE, 1 - mae / naive), 6) AS score FROM e", "SELECT feature, round(greatest(0::DOUBLE, 1 - mae / naive), 6) AS score FROM e WHERE greatest(0::DOUBLE, 1 - mae / naive) > 0.01"))
+def select_pps(spark, sf_dir):
+    """The features whose predictive power exceeds a threshold."""
+    e = _table(spark, sf_dir, "events").select(F.col("value").alias("y"), (F.col("event_id") % 4).cast("int").alias("fold"), F.get_json_object("props", "$.k").cast("double").alias("k"), "user_id")
+    found = T.select_by_power(T.predictive_power(X.melt(e, ["k", "user_id"], ["fold", "y"])), 0.01)
+    return found.select("feature", _r("score").alias("score"))
+
+
 # --- mixtures ---
 
 def _mixture(spark, sf_dir):
-    return [(1 / 3, c, [1.0] * 4) for c in _seeds(_table(spark, sf_dir, "embeddings"), 3, 4)]
+    return [(1 / 3, c, [1.0] * 64) for c in _seeds(_table(spark, sf_dir, "embeddings"), 3)]
 
 
-@query(f"""WITH {_V4}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3)),
+@query(f"""WITH {_V}, c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM (SELECT * FROM v ORDER BY vec_id LIMIT 3)),
     p AS (SELECT vec_id, v.e, k, exp(-{_SQ} / 2) AS p FROM v, c), r AS (SELECT k, e, p / sum(p) OVER (PARTITION BY vec_id) AS r FROM p),
-    m AS (SELECT k, sum(r) AS n, sum(r * e[1]) / sum(r) AS m, sum(r * e[1] * e[1]) / sum(r) AS q FROM r GROUP BY k)
-    SELECT k::INT AS k, round(n / sum(n) OVER (), 5) AS weight, round(m, 5) AS mean_0, round(q - m * m + 1e-6::DOUBLE, 5) AS variance_0 FROM m""")
+    m AS (SELECT k, j, sum(r) AS n, sum(r * e[j + 1]) / sum(r) AS m, sum(r * e[j + 1] * e[j + 1]) / sum(r) AS q FROM r, range(0, 64) d(j) GROUP BY k, j)
+    SELECT k::INT AS k, j::INT AS j, round(n / sum(n) OVER (PARTITION BY j), 5) AS weight, round(m, 5) AS mean, round(q - m * m + 1e-6::DOUBLE, 5) AS variance FROM m""")
 def mixture_round(spark, sf_dir):
     made = G.em_round(_vectors(spark, sf_dir), "e", _mixture(spark, sf_dir))
-    return spark.createDataFrame([(k, round(w, 5), round(m[0], 5), round(v[0], 5)) for k, (w, m, v) in enumerate(made)], "k int, weight double, mean_0 double, variance_0 double")
+    rows = [(k, j, round(w, 5), round(a, 5), round(b, 5)) for k, (w, m, v) in enumerate(made) for j, (a, b) in enumerate(zip(m, v))]
+    return spark.createDataFrame(rows, "k int, j int, weight double, mean double, variance double")
 
 
 @query()
@@ -175,9 +204,17 @@ def _modelled(spark, sf_dir):
 
 @query()
 def model_compare(spark, sf_dir):
-    """Two models of the registry, cross-validated."""
-    models = {n: m for n, m in M.registry(2).items() if n in ("ridge", "tree")}
-    return M.ledger(spark, M.compare(_modelled(spark, sf_dir), "lineitem", models, 3, "accuracy")).drop("mean_time", "std_time")
+    """Every family of the registry, cross-validated: whether a customer's balance is above the middle, by nation, segment and key."""
+    t = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("nation"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("building"), (F.col("c_custkey") % 7).cast("double").alias("rest"), (F.col("c_acctbal") > 4500).cast("double").alias("y"))
+    rows = M.prepare(hash_folds(t, 3, "c_custkey"), ["nation", "building", "rest"], "y")
+    return M.ledger(spark, M.compare(rows, "customer", M.registry(2), 3, "accuracy")).drop("mean_time", "std_time")
+
+
+@query()
+def search_grid(spark, sf_dir):
+    """Every configuration of a small grid, cross-validated."""
+    grid = M.grid({"maxDepth": [2, 4], "maxBins": [16, 32]})
+    return M.ledger(spark, M.compare(_modelled(spark, sf_dir), "lineitem", {"tree": M.registry(2)["tree"]}, 3, "accuracy", {"tree": grid})).drop("mean_time", "std_time")
 
 
 @query()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.online import STATE, Params, State, kernel, moved, update
+from ..operators.online import STATE, STATE_COLUMNS, Params, State, kernel, moved, update
 
 
 def margin(s: State, x: np.ndarray, sigma: float) -> float:
@@ -20,20 +20,20 @@ def learn(stream: DataFrame, key: str, order: str, y: str, x: str, learner: str,
     """``(key, at, margin)`` of every row of ``stream``, by the key's learner as it was before this row.
 
     Rows of a micro-batch are taken by ``order``; rows that arrive in a later micro-batch are learned later, whatever their order.
-    Rows without key, label or vector are left out. The last samples of the smooth rule are not kept between micro-batches.
+    Rows without key, label or vector are left out. The last samples of the smooth rule are part of the state.
     """
     kinds = dict(stream.dtypes)
 
     def run(k: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("o", kind="stable")
-        s = State.load(dict(zip(("c", "l", "w", "alpha", "grad", "u"), state.get))) if state.exists else State(len(rows["x"].iloc[0]))
+        s = State.load(dict(zip(STATE_COLUMNS, state.get))) if state.exists else State(len(rows["x"].iloc[0]))
         margins = []
         for vector, label in zip(rows["x"], rows["y"]):
             v = np.asarray(vector, float)
             margins.append(margin(s, v, params.sigma))
             update(s, v, float(label), params, learner)
         held = s.row()
-        state.update(tuple(held[n] for n in ("c", "l", "w", "alpha", "grad", "u")))
+        state.update(tuple(held[n] for n in STATE_COLUMNS))
         yield pd.DataFrame({"key": k[0], "at": rows["o"].to_numpy(), "margin": margins})
 
     dealt = stream.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(y).cast("double").alias("y"), F.col(x).cast("array<double>").alias("x")).where("k is not null and y is not null and x is not null")
