@@ -6,7 +6,8 @@ completions, each with the spans of code points that a loss counts (text and end
 A turn is rendered ``<|role|>\\n`` text ``<|end|>\\n``. Spans are ``start-end`` of the completion, joined by commas.
 
 Defined cases: null roles and texts are empty; turns are ordered by number, then role, then text (null numbers first), and
-repeated turns stay; conversations without a differing turn have equal, empty completions; a null conversation id is one conversation;
+repeated turns stay; conversations without a differing turn have equal, empty completions; each turn without a conversation id is a conversation of its own;
+texts that hold a mark such as ``<|end|>`` are rendered as they are, not escaped (spans tell what counts);
 an empty table gives no rows; other columns are ignored.
 
 Scale: one shuffle, by conversation; a group is one conversation.
@@ -25,7 +26,8 @@ def conversations(turns: DataFrame) -> DataFrame:
     """``(conv_id, turns)`` from rows ``(conv_id, turn, role, text)``."""
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = F.array_sort(F.collect_list(one), lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0))
-    return turns.groupBy("conv_id").agg(F.transform(sorted_turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    return turns.withColumn("_alone", alone).groupBy("conv_id", "_alone").agg(F.transform(sorted_turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).drop("_alone")
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -40,12 +42,17 @@ def rendered(turns: Column) -> Column:
 
 
 def loss_spans(turns: Column) -> Column:
-    """``start-end`` of what counts in ``rendered(turns)``."""
+    """``start-end`` of what counts in ``rendered(turns)``: one pass that carries the place and the spans so far."""
     fixed = len("<||>\n") + len(END + "\n")
-    width = lambda t: F.length(t["role"]) + F.length(t["text"]) + fixed
-    starts = F.transform(turns, lambda t, i: F.aggregate(F.slice(turns, 1, i), F.lit(0), lambda s, x: s + width(x)))
-    spans = F.zip_with(turns, starts, lambda t, s: F.when(t["role"] == "assistant", F.concat_ws("-", s + F.length(t["role"]) + len("<||>\n"), s + width(t) - 1)))
-    return F.array_join(F.filter(spans, lambda x: x.isNotNull()), ",")
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))
+
+    def step(s: Column, t: Column) -> Column:
+        end = s["at"] + F.length(t["role"]) + F.length(t["text"]) + fixed
+        span = F.concat_ws("-", s["at"] + F.length(t["role"]) + len("<||>\n"), end - 1)
+        joined = F.when(s["spans"] == "", span).otherwise(F.concat_ws(",", s["spans"], span))
+        return F.struct(end.alias("at"), F.when(t["role"] == "assistant", joined).otherwise(s["spans"]).alias("spans"))
+
+    return F.aggregate(turns, none, step)["spans"]
 
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import stage, unstage
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,12 @@ def connected(edges: DataFrame) -> DataFrame:
     while total is not None:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root")
         up = labels.select("node", F.col("root").alias("at")).join(labels.select(F.col("node").alias("at"), "root"), "at").select("node", "root")
-        labels = stage(near.union(up).groupBy("node").agg(F.min("root").alias("root")), "labels")
+        old, labels = labels, stage(near.union(up).groupBy("node").agg(F.min("root").alias("root")), "labels")
+        unstage(old)
         before, total = total, _total(labels)
         if total == before:
             break
+    unstage(both)
     return labels
 
 

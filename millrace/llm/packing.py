@@ -1,13 +1,14 @@
 """Sequence packing: best-fit decreasing over a segment tree of remaining capacities.
 
 A document's ids are cut into full windows first; what is left over (shorter than a window) is
-packed best-fit decreasing with the rest of its shard. Shards are a hash of the document, of about
-:data:`SHARD_DOCS` documents each, so no task packs more than that, however large the table is;
-each shard leaves a few open windows at its end.
+packed best-fit decreasing with the rest of its shard. Shards are a hash of the row (not of its id alone, which
+a third of all rows may share), of about :data:`SHARD_DOCS` documents each, so no task packs more than that, however large the
+table is; each shard leaves a few open windows at its end.
 
 Defined cases: a null text is an empty one and holds only the end id; a null id is packed like any
 other; repeated rows are packed once each; an empty table gives no pieces; other columns of the
-input are ignored, whatever their names; ties in length go to the smaller id.
+input are ignored, whatever their names; ties in length go to the smaller id. A text that holds a special token of the vocabulary
+literally gets that token's id, as the library gives it.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     """
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     cut = cut_pieces(docs, tokenizer, window, end_id, id_col, text_col, with_ids)
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([(name, "ascending") for name in ("doc_id", "copy", "start")])

@@ -37,9 +37,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    parts = max(1, docs.count() // 4000)
-    shards = token_store.write_tokens(docs, new_path(spark, "tokens"), _vocabulary("word_bpe_49k.json"), 2, parts)
+    shards = token_store.write_tokens(documents(spark, sf_dir), new_path(spark, "tokens"), _vocabulary("word_bpe_49k.json"), 2)
     return token_store.read_documents(shards)
 
 
@@ -65,8 +63,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.learn_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -94,20 +91,21 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
         FROM firsts""",
     "op6_chat": """
-        WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations),
-        marked AS (SELECT *, max(pos) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM turns),
+        WITH raw AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+        turns AS (SELECT conv_id, alone, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM raw),
+        marked AS (SELECT *, max(pos) FILTER (role = 'assistant') OVER (PARTITION BY conv_id, alone) AS last FROM turns),
         other AS (SELECT *, CASE WHEN pos = last THEN left(text, length(text) // 2) ELSE text END AS other_text FROM marked),
-        cut AS (SELECT *, min(CASE WHEN text <> other_text THEN pos END) OVER (PARTITION BY conv_id) AS differs FROM other),
+        cut AS (SELECT *, min(CASE WHEN text <> other_text THEN pos END) OVER (PARTITION BY conv_id, alone) AS differs FROM other),
         sized AS (SELECT *, differs IS NULL OR pos < differs AS shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS a,
                  '<|' || role || '|>' || chr(10) || other_text || '<|end|>' || chr(10) AS b FROM cut),
         placed AS (SELECT *, sum(CASE WHEN shared THEN 0 ELSE length(a) END) OVER w AS a_end, sum(CASE WHEN shared THEN 0 ELSE length(b) END) OVER w AS b_end
-                 FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY pos))
+                 FROM sized WINDOW w AS (PARTITION BY conv_id, alone ORDER BY pos))
         SELECT conv_id, count(*) FILTER (shared)::BIGINT AS prompt_turns,
                sha256(coalesce(string_agg(a, '' ORDER BY pos) FILTER (shared), '')) AS prompt_sha256,
                sha256(coalesce(string_agg(a, '' ORDER BY pos) FILTER (NOT shared), '')) AS chosen_sha256,
                sha256(coalesce(string_agg(b, '' ORDER BY pos) FILTER (NOT shared), '')) AS rejected_sha256,
                coalesce(string_agg((a_end - length(a) + 14)::BIGINT || '-' || (a_end - 1)::BIGINT, ',' ORDER BY pos) FILTER (NOT shared AND role = 'assistant'), '') AS chosen_loss,
                coalesce(string_agg((b_end - length(b) + 14)::BIGINT || '-' || (b_end - 1)::BIGINT, ',' ORDER BY pos) FILTER (NOT shared AND role = 'assistant'), '') AS rejected_loss
-        FROM placed GROUP BY conv_id""",
+        FROM placed GROUP BY conv_id, alone""",
 }

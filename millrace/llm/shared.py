@@ -19,7 +19,8 @@ _serial = itertools.count()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests, a laptop) one is made and set.
+    Only where the session has none and runs on one machine (tests, a laptop) one is made and set; a cluster without one is an error,
+    since its executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = context._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(found)
         return context._jsc.sc().getCheckpointDir().get()
@@ -45,6 +48,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stage` that nothing reads any more: what came of them has to be written already."""
+    for df in tables:
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`new_path` named, through Spark's own file system."""
     jvm = spark.sparkContext._jvm

@@ -13,8 +13,8 @@ side are found under the whole segment). Trees have few children a node, so no n
 
 Scale: exact copies are one fingerprint from the first aggregate on. A bucket of more than ``BLOCK``
 fingerprints is cut into blocks; each pair of blocks is a group of its own of at most ``2 * BLOCK`` rows
-on average. Which buckets are large follows from counts of whole segments; there are at most ``3 *
-2**22`` of these whatever the corpus, and only those above ``BLOCK / 2`` go to the driver and the tasks.
+on average, for buckets of up to a thousand million. Which buckets are large follows from counts of whole segments, those above ``BLOCK /
+2`` only; these are sent to the tasks up to ``LARGE_SENT`` and joined beyond.
 
 Defined cases: a text without words (null, empty) has fingerprint 0, linked like any other; fewer
 words than a shingle give one shingle; repeated rows are alike; a null id gets its group's component but is
@@ -28,16 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import stage
+from .shared import stage, unstage
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
 BLOCK, SMALL = 4096, 8
-#: Node numbers of fingerprints that no document with an id has start here.
-_NAMELESS = 1 << 62
+#: Values of segments that make large buckets, sent to every task up to this number (16 MB); beyond it buckets learn their blocks in a join.
+LARGE_SENT = 1 << 20
 _U = np.uint64
 
 
@@ -74,80 +74,99 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col="
 
 
 class Segments:
-    """The segments of a fingerprint and the keys of its variants.
+    """The segments of a fingerprint, and their variants: each whole segment, and each with one bit left out.
 
-    A key: variant (7 bits), value (22), number of blocks (12), and the two blocks (11 each).
+    A row of the index is ``(x, fp)``; x holds the kind of fingerprint and the variant (9 bits together), and for a bucket that is cut into blocks
+    their number and the two blocks that meet (18 bits each). ``masks`` of a variant keep the bits of a fingerprint that make its bucket.
     """
 
-    def __init__(self, max_bits: int) -> None:
-        self.max_bits, n = max_bits, max(3, max_bits // 2 + 1)
+    def __init__(self, max_bits: int, count: int | None = None, kinds: int = 1) -> None:
+        self.max_bits, self.kinds, n = max_bits, kinds, count or max(3, max_bits // 2 + 1)
         edges = [64 * i // n for i in range(n + 1)]
         self.spans = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
         self.variants = [(s, None) for s in range(n)] + [(s, bit) for s, (_, width) in enumerate(self.spans) for bit in range(width)]
-        self.masks = np.array([((1 << w) - 1) << lo for lo, w in self.spans], _U)
-        # for each variant: its segment, and the bit of the fingerprint that it leaves out
+        if len(self.variants) * kinds > 512:
+            raise ValueError("more than 512 variants")
+        self.whole = np.array([((1 << w) - 1) << lo for lo, w in self.spans], _U)
+        # for each variant: its segment, the bit of the fingerprint that it leaves out, and the bits that it keeps
         self.segment_of = np.array([s for s, _ in self.variants])
         self.bit_of = np.array([0 if b is None else 1 << self.spans[s][0] + b for s, b in self.variants], _U)
+        self.masks = self.whole[self.segment_of] & ~self.bit_of
 
     def value(self, fps: np.ndarray, segment: int) -> np.ndarray:
         lo, width = self.spans[segment]
         return fps >> _U(lo) & _U((1 << width) - 1)
 
+    def bucket(self, x: Column, fp: Column) -> Column:
+        """The bits that, with x, name a row's bucket."""
+        masks = F.array(*[F.lit(int(m)) for m in self.masks.view(np.int64)])
+        variant = F.pmod(F.shiftrightunsigned(x, 54), F.lit(len(self.variants))).cast("int")
+        return fp.bitwiseAND(F.get(masks, variant))
+
 
 def _block(fps: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ((fps * _U(0x9E3779B97F4A7C15)) >> _U(33)) % n.astype(_U)
 
 
-def _keys(fps: np.ndarray, segments: Segments, large: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, row) arrays, a pair for each variant. large: by segment, sorted values and counts of the large ones."""
+def _dealt(x: np.ndarray, fps: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the index with their blocks: a fingerprint of a bucket of n blocks meets each block once, n rows in all."""
+    if not (blocks > 1).any():
+        return x, fps
+    one, split = blocks <= 1, np.flatnonzero(blocks > 1)
+    n = blocks[split]
+    rows, own = np.repeat(split, n), np.repeat(_block(fps[split], n), n)
+    other = (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)).astype(_U)
+    pairs = x[rows] | np.repeat(n, n).astype(_U) << _U(36) | np.minimum(own, other) << _U(18) | np.maximum(own, other)
+    return np.concatenate([x[one], pairs]), np.concatenate([fps[one], fps[rows]])
+
+
+Counts = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+
+
+def _index(kind: int, fps: np.ndarray, segments: Segments, large: Counts | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, fp) rows of each variant. large: by kind and segment, sorted values and counts of those that make large buckets; None deals no blocks."""
 
     def count(segment: int, value: np.ndarray) -> np.ndarray:
-        values, counts = large[segment]
+        values, counts = large.get((kind, segment), ((), ()))
         if not len(values):
             return np.full(len(value), BLOCK // 2)
         at = np.minimum(np.searchsorted(values, value), len(values) - 1)
         return np.where(values[at] == value, counts[at], BLOCK // 2)
 
     for number, (segment, bit) in enumerate(segments.variants):
+        x = np.full(len(fps), _U(kind * len(segments.variants) + number) << _U(54))
+        if large is None:
+            yield x, fps
+            continue
         value = segments.value(fps, segment)
         members = count(segment, value)
         if bit is not None:
             members = members + count(segment, value ^ _U(1 << bit))
-            value = value & ~_U(1 << bit)
-        blocks = np.clip(-(-members // BLOCK), 1, 2047)
-        key = _U(number) << _U(56) | value << _U(34) | blocks.astype(_U) << _U(22)
-        rows = np.arange(len(fps))
-        if (blocks > 1).any():
-            split = np.flatnonzero(blocks > 1)
-            yield key[blocks == 1], rows[blocks == 1]
-            n = blocks[split]
-            rows, own = np.repeat(split, n), np.repeat(_block(fps[split], n), n)
-            other = (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)).astype(_U)
-            yield key[rows] | np.minimum(own, other) << _U(11) | np.maximum(own, other), rows
-        else:
-            yield key, rows
+        yield _dealt(x, fps, -(-members // BLOCK))
 
 
-def _sets(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """Places of the fingerprints, by linked set; breadth first, over those not yet reached."""
+def _sets(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the fingerprints and of those that they were reached from, by linked set; breadth first, over those not yet reached."""
     left, found = np.arange(len(fps)), []
     while len(left):
-        reached, queue, left = [int(left[0])], [int(left[0])], left[1:]
+        reached, came, queue, left = [int(left[0])], [-1], [int(left[0])], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(fps[left] ^ fps[queue.pop()]) <= max_bits
+            at = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]) <= max_bits
             if near.any():
                 new = left[near].tolist()
                 left = left[~near]
                 reached += new
+                came += [at] * len(new)
                 queue += new
-        found.append(np.array(reached))
+        found.append((np.array(reached), np.array(came)))
     return found
 
 
-def _tree(fps: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
-    for some in _sets(fps, max_bits):
+def _tree(fps: np.ndarray, max_bits: int, direct: bool) -> Iterator[tuple[int, int]]:
+    for some, came in _sets(fps, max_bits):
         for i in range(1, len(some)):
-            yield int(some[i]), int(some[(i - 1) // 8])
+            yield int(some[i]), int(came[i] if direct else some[(i - 1) // 8])
 
 
 def _across(fps: np.ndarray, side: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
@@ -156,9 +175,9 @@ def _across(fps: np.ndarray, side: np.ndarray, max_bits: int) -> Iterator[tuple[
     if not len(a) or not len(b):
         return
     of = np.empty(len(b), np.int64)
-    for number, some in enumerate(_sets(fps[b], max_bits)):
+    for number, (some, _) in enumerate(_sets(fps[b], max_bits)):
         of[some] = number
-    for some in _sets(fps[a], max_bits):
+    for some, _ in _sets(fps[a], max_bits):
         open_b = np.arange(len(b))
         for one in a[some].tolist():
             near = open_b[np.bitwise_count(fps[b[open_b]] ^ fps[one]) <= max_bits]
@@ -170,108 +189,145 @@ def _across(fps: np.ndarray, side: np.ndarray, max_bits: int) -> Iterator[tuple[
                 break
 
 
-def _linked(key: np.ndarray, fps: np.ndarray, segments: Segments) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links as arrays of places, from rows sorted by key that hold whole buckets."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    blocks = key[starts] >> _U(22) & _U(4095)
-    small = (sizes > 1) & (sizes <= SMALL) & (blocks == 1)
-    variant = (key >> _U(56)).astype(np.int64)
+def _linked(x: np.ndarray, fps: np.ndarray, segments: Segments, direct: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links as arrays of places, from rows sorted by bucket that hold whole buckets."""
+    variant = (x >> _U(54)).astype(np.int64) % len(segments.variants)
+    bucket = fps & segments.masks[variant]
+    starts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (bucket[1:] != bucket[:-1])]))
+    sizes = np.diff(np.append(starts, len(x)))
+    blocks = x[starts] >> _U(36) & _U((1 << 18) - 1)
+    small = (sizes > 1) & (sizes <= SMALL) & (blocks == 0)
     size_at = np.repeat(np.where(small, sizes, 0), sizes)
-    place = np.arange(len(key)) - np.repeat(starts, sizes)
+    place = np.arange(len(x)) - np.repeat(starts, sizes)
     for step in range(1, SMALL):
         i = np.flatnonzero(place + step < size_at)
         if not len(i):
             break
         i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= segments.max_bits]
-        x = fps[i] ^ fps[i + step]
-        near = np.bitwise_count(x[:, None] & segments.masks[None, :]) <= 1
+        gap = fps[i] ^ fps[i + step]
+        near = np.bitwise_count(gap[:, None] & segments.whole[None, :]) <= 1
         own = variant[i]
+        # of the buckets in which two fingerprints meet, one gives their link
         good = near.argmax(1) == segments.segment_of[own] if len(i) else np.zeros(0, bool)
-        good = good & ((x & segments.masks[segments.segment_of[own]]) == segments.bit_of[own])
+        good = good & ((gap & segments.whole[segments.segment_of[own]]) == segments.bit_of[own])
         yield i[good], i[good] + step
     for run in np.flatnonzero((sizes > 1) & ~small).tolist():
         at, n = int(starts[run]), int(sizes[run])
         some, bit = fps[at : at + n], segments.bit_of[variant[at]]
-        first, second = int(key[at] >> _U(11) & _U(2047)), int(key[at] & _U(2047))
+        first, second = int(x[at] >> _U(18) & _U((1 << 18) - 1)), int(x[at] & _U((1 << 18) - 1))
         if first != second:
             own = _block(some, np.full(n, int(blocks[run])))
             links = list(_across(some, own == _U(second), segments.max_bits))
         elif bit:
             links = list(_across(some, (some & bit) != 0, segments.max_bits))
         else:
-            links = list(_tree(some, segments.max_bits))
+            links = list(_tree(some, segments.max_bits, direct))
         if links:
             found = np.array(links) + at
             yield found[:, 0], found[:, 1]
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of all links between the rows ``(fp, node)``; fp is unique."""
-    segments = Segments(max_bits)
+def _large(prints: DataFrame, segments: Segments) -> DataFrame:
+    """``(kind, segment, value, n)`` of the values of whole segments that more than half a block of fingerprints have."""
+    values = [F.struct(F.lit(s).alias("segment"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for s, (lo, width) in enumerate(segments.spans)]
+    each = prints.select("kind", F.explode(F.array(*values)).alias("v")).select("kind", "v.segment", "v.value")
+    return each.groupBy("kind", "segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // 2)
+
+
+def _bucket_blocks(large: DataFrame, segments: Segments) -> DataFrame:
+    """``(x, bucket, blocks)`` of the buckets of more than one block: a value's own, and those that leave out one of its bits."""
+    n = len(segments.variants)
+    shapes = [F.struct(F.lit(number).cast("long").alias("number"), F.lit(s).alias("segment"), F.lit(int(segments.masks.view(np.int64)[number])).alias("mask"), F.lit(segments.spans[s][0]).alias("lo"), F.lit(bit is None).alias("whole")) for number, (s, bit) in enumerate(segments.variants)]
+    each = large.withColumn("v", F.explode(F.array(*shapes))).where("v.segment = segment")
+    x = F.shiftleft(F.col("kind").cast("long") * n + F.col("v.number"), 54)
+    bucket = F.expr("shiftleft(value, v.lo)").bitwiseAND(F.col("v.mask"))
+    met = each.groupBy(x.alias("x"), bucket.alias("bucket"), "v.whole").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sides"))
+    members = F.col("n") + F.when(F.col("whole"), 0).otherwise((2 - F.col("sides")) * (BLOCK // 2))
+    return met.select("x", "bucket", F.ceil(members / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None, kinds: int = 1, direct: bool = False) -> DataFrame:
+    """Edges ``(kind, a, b)`` between fingerprints whose components are those of all links of a kind; rows ``(kind, fp)``, distinct.
+
+    Edges of large buckets make shallow trees; with ``direct`` each edge is itself a link of at most ``max_bits``.
+    ``count`` segments instead of ``max_bits // 2 + 1`` find only fingerprints that are within one bit in some segment.
+    """
+    segments = Segments(max_bits, count, kinds)
     spark = prints.sparkSession
-    counted = None
-    for s, (lo, width) in enumerate(segments.spans):
-        value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1))
-        one = prints.select(F.lit(s).alias("segment"), value.alias("value"))
-        counted = one if counted is None else counted.union(one)
-    often = counted.groupBy("segment", "value").count().where(F.col("count") > BLOCK // 2).collect()
-    large = []
-    for s in range(len(segments.spans)):
-        rows = sorted((r["value"], r["count"]) for r in often if r["segment"] == s)
-        large.append((np.array([v for v, _ in rows], _U), np.array([n for _, n in rows], np.int64)))
-    sent = spark.sparkContext.broadcast(large)
+    large = stage(_large(prints, segments), "large")
+    if large.count() <= LARGE_SENT:
+        often = large.orderBy("kind", "segment", "value").toArrow().to_pandas()
+        sent = spark.sparkContext.broadcast({k: (g["value"].to_numpy(_U), g["n"].to_numpy(np.int64)) for k, g in often.groupby(["kind", "segment"])})
+    else:
+        sent = None
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                fps = some.column(0).to_numpy().view(_U)
-                keys, rows = map(np.concatenate, zip(*_keys(fps, segments, sent.value)))
-                rows = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), some.column(0).take(rows), some.column(1).take(rows)], ["key", "fp", "node"])
+                kind, fps = (c.to_numpy() for c in batch.slice(at, 2000).columns)
+                for k in np.unique(kind).tolist():
+                    own = fps[kind == k].view(_U)
+                    x, held = map(np.concatenate, zip(*_index(k, own, segments, sent.value if sent else None)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(held.view(np.int64))], ["x", "fp"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-            key, fp, node = columns
-            pairs = list(_linked(key.view(_U), fp.view(_U), segments))
-            a, b = (np.concatenate([node[p[i]] for p in pairs] or [np.empty(0, np.int64)]) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, fps, blocks = (c.to_numpy() for c in batch.columns)
+            for at in range(0, len(x), 64):
+                a, b = _dealt(*(v[at : at + 64].view(t) for v, t in ((x, _U), (fps, _U), (blocks, np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["x", "fp"])
 
-        held: list[list[np.ndarray]] = []
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(x: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            pairs = list(_linked(x, fps, segments, direct))
+            at = np.concatenate([p[0] for p in pairs] or [np.empty(0, np.int64)])
+            to = np.concatenate([p[1] for p in pairs] or [np.empty(0, np.int64)])
+            kind = (x[at] >> _U(54)).astype(np.int32) // len(segments.variants)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(fps[at].view(np.int64)), pa.array(fps[to].view(np.int64))], ["kind", "a", "b"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            new = [c.to_numpy() for c in batch.columns]
-            if not len(new[0]):
-                continue
-            if held and held[0][0][0] == new[0][-1]:  # still inside one bucket
-                held.append(new)
+            x, fps = (c.to_numpy().view(_U) for c in batch.columns)
+            if not len(x):
                 continue
-            cut = int(np.searchsorted(new[0], new[0][-1]))
-            whole = [np.concatenate(c) for c in zip(*held, [c[:cut] for c in new])]
-            held = [[c[cut:] for c in new]]
-            if len(whole[0]):
-                yield found(whole)
+            bucket = fps & segments.masks[(x >> _U(54)).astype(np.int64) % len(segments.variants)]
+            new = np.flatnonzero((x != x[-1]) | (bucket != bucket[-1]))
+            cut = int(new[-1]) + 1 if len(new) else 0  # where the last bucket of the batch starts
+            if cut:
+                whole = [np.concatenate(c) for c in zip(*held, (x[:cut], fps[:cut]))]
+                held = []
+                yield found(*whole)
+            elif held and (held[-1][0][-1] != x[0] or (held[-1][1][-1] & segments.masks[int(x[0] >> _U(54)) % len(segments.variants)]) != bucket[0]):
+                yield found(*[np.concatenate(c) for c in zip(*held)])
+                held = []
+            held.append((x[cut:], fps[cut:]))
         if held:
-            yield found([np.concatenate(c) for c in zip(*held)])
+            yield found(*[np.concatenate(c) for c in zip(*held)])
 
-    parts = _index_parts(prints)
-    keyed = prints.select("fp", "node").mapInArrow(index, "key long, fp long, node long")
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long")
+    parts = _index_parts(prints, len(segments.variants))
+    keyed = prints.select(F.col("kind").cast("int"), "fp").mapInArrow(index, "x long, fp long")
+    if sent is None:  # too many large values to send: buckets meet their number of blocks in a join
+        blocks = stage(_bucket_blocks(large, segments), "blocks")
+        keyed = keyed.withColumn("bucket", segments.bucket(F.col("x"), F.col("fp"))).join(blocks, ["x", "bucket"], "left")
+        keyed = keyed.select("x", "fp", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")).mapInArrow(deal, "x long, fp long")
+    bucket = segments.bucket(F.col("x"), F.col("fp"))
+    return keyed.repartition(parts, F.col("x"), bucket).sortWithinPartitions("x", bucket).mapInArrow(scan, "kind int, a long, b long")
 
 
-def _index_parts(prints: DataFrame) -> int:
-    """Partitions for the index: it has some 67 rows of 24 bytes for each fingerprint."""
-    rows = prints.count()
+def _index_parts(prints: DataFrame, variants: int) -> int:
+    """Partitions for the index, of some 1.3 million rows of 16 bytes."""
+    rows = prints.count() * variants
     least = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // 20_000))
+    return max(least, -(-rows // 1_300_000))
 
 
 def components(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs``."""
     found = stage(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
-    nameless = F.lit(_NAMELESS).bitwiseOR(F.col("fp").bitwiseAND(F.lit(_NAMELESS - 1)))
-    nodes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", nameless).alias("node")), "nodes")
-    roots = connected(stage(links(nodes, max_bits), "links"))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    named = stage(named.select("fp", F.when(F.col("root") < _NAMELESS, F.col("root")).alias("component_id")), "components")
+    least = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    edges = stage(links(least.select(F.lit(0).alias("kind"), "fp"), max_bits).select("a", "b"), "links")
+    roots = connected(edges)
+    rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")).join(rooted, "root").select("fp", "component_id"), "components")
+    unstage(edges, roots)
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,14 +19,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bounds, part_of
 from .simhash import shingle_hashes
 
 WORDS, SEED, SCALE, LEAST = 5, 42, 8, 64
+#: Rows of a range in :func:`compare_with_next`, and the most ranges (16 bytes each are sent to every task).
+RANGE_DOCS, MOST_RANGES = 4000, 1 << 20
 _ALL = (1 << 64) - 1
 
 
@@ -84,30 +86,35 @@ def fingerprint_documents(docs: DataFrame, words: int = WORDS, seed: int = SEED,
 def compare_with_next(docs: DataFrame, parts: int | None = None, words: int = WORDS, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
     """Each document against its edited text and against the next document, by descending id.
 
-    The next document of the last is the first. Rows are dealt to ``parts`` ranges of ids and sorted
-    there; the first row of a range is also sent to the range before, so each range has the row that
-    comes after its last. The driver holds one id for each range. Equal ids are ordered by their text, null ids come last.
+    The next document of the last is the first. Rows are dealt to ranges of (id, hash of the text), of about ``RANGE_DOCS`` rows each unless ``parts`` says
+    how many, and sorted there; the first row of a range is also sent to the range before, so each range has the row that
+    comes after its last. Spark's range partitioning of the narrow keys finds the ranges, and each task is sent where
+    they start: two numbers a range, of at most ``MOST_RANGES``. Equal ids are ordered by the hash of their text, null ids come last.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = id_bounds(plain, "doc_id", parts)
-    ranged = plain.withColumn("part", part_of(F.col("doc_id"), bounds).cast("int"))
-    # the first row of each range, by descending id; ranges in use are linked in a ring
-    firsts = {r["part"]: r["first"] for r in ranged.groupBy("part").agg(F.max("doc_id").alias("first")).collect()}
-    ring = sorted(firsts, reverse=True)
-    before = {p: ring[i - 1] for i, p in enumerate(ring)}
-    empty = F.array().cast("array<int>")
-    also, first = empty, F.lit(None).cast("long")
-    if ring:
-        last = max(ring)
-        also = F.array(*[F.lit(before.get(p)) for p in range(last + 1)])[F.col("part")]
-        first = F.array(*[F.lit(firsts.get(p)).cast("long") for p in range(last + 1)])[F.col("part")]
-        also = F.when(F.col("doc_id").eqNullSafe(first), F.array(also)).otherwise(empty)
-    own = F.array(F.struct(F.col("part").alias("to"), F.lit(True).alias("own")))
-    guests = F.transform(also, lambda p: F.struct(p.alias("to"), F.lit(False).alias("own")))
-    sent = ranged.select("doc_id", "text", F.explode(F.concat(own, guests)).alias("x")).select(F.col("x.to").alias("to"), F.col("x.own").alias("own"), "doc_id", "text")
-    dealt = sent.repartition(parts, "to").sortWithinPartitions("to", F.col("own").desc(), F.col("doc_id").desc_nulls_last(), "text")
+    if parts is None:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_DOCS))
+    parts = min(parts, MOST_RANGES)
+    # ascending (at, tie) is descending ids, nulls last
+    at = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
+    plain = docs.select(at.alias("at"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ranges = plain.select("at", "tie").repartitionByRange(parts, "at", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("at", "tie")).alias("first"))
+    starts = ranges.select("first.at", "first.tie").toArrow().to_pandas().sort_values(["at", "tie"]).to_records(index=False)
+    sent = spark.sparkContext.broadcast(np.array(starts.tolist(), [("at", "<i8"), ("tie", "<i8")]))
+
+    @F.pandas_udf("array<struct<to:int,own:boolean>>")
+    def dealt_to(at: pd.Series, tie: pd.Series) -> pd.Series:
+        firsts, keys = sent.value, np.empty(len(at), sent.value.dtype)
+        keys["at"], keys["tie"] = at.to_numpy(), tie.to_numpy()
+        part = np.searchsorted(firsts, keys, "right") - 1
+        lead = firsts[part] == keys
+        own = [[{"to": p, "own": True}] for p in part.tolist()]
+        for i in np.flatnonzero(lead).tolist():
+            own[i].append({"to": (int(part[i]) - 1) % len(firsts), "own": False})
+        return pd.Series(own)
+
+    sent_to = plain.withColumn("x", F.explode(dealt_to("at", "tie"))).select("x.to", "x.own", "at", "tie", "doc_id", "text")
+    dealt = sent_to.repartition(parts, "to").sortWithinPartitions("to", F.col("own").desc(), "at", "tie", "text").select("to", "own", "doc_id", "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(7)]

@@ -4,8 +4,8 @@ A shard is two Arrow IPC files: ``shard-N.arrow`` with record batches of ``input
 (fixed-size lists of ``length`` ids) and ``mask`` (which places hold ids; only a shard's last row
 can have holes), and ``shard-N.docs.arrow`` with the documents of the shard (id, place of its first
 id in the shard, number of ids). Each row of a batch is the same number of bytes, so row ``i`` is
-read from a memory map without copying. Shards are ranges of document ids, in ascending order. A
-task writes under a name of its own and then renames, so a task that is run again, or twice, leaves one whole file.
+read from a memory map without copying. Shards are ranges of document ids, in ascending order; rows
+of one id are ordered by a hash of their texts. A task writes under a name of its own and then renames, so a task that is run again, or twice, leaves one whole file.
 
 Defined cases: null and empty texts hold just the end id; null ids come first and, like repeated
 ids, are kept as rows of their own; an empty table gives no shard; columns other than the id and
@@ -20,24 +20,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_bounds, local_path, part_of
+from .shared import local_path, stage
 from .tokens import WordEncoder
 
 #: Ids of a row, and rows of a record batch.
 LENGTH, BATCH_ROWS = 2048, 256
-
-
-def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, width: str) -> DataFrame:
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder.load(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            found = [np.frombuffer(ids + end, "<u4").astype(width).tobytes() for ids in map(encoder.encode, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["part", "doc_id", "ids"])
-
-    return docs.mapInArrow(ids, "part int, doc_id long, ids binary")
+#: Documents of a shard, and shards of a group whose ids are summed together.
+SHARD_DOCS, BUNDLE = 4000, 1024
 
 
 class ShardWriter:
@@ -97,38 +89,41 @@ def open_shard(path: str) -> pa.NativeFile:
     return pa.memory_map(at) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(at)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int, length: int = LENGTH, width: str = "<u2", id_col="doc_id", text_col="text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None, length: int = LENGTH, width: str = "<u2", id_col="doc_id", text_col="text") -> DataFrame:
     """Write ``docs`` to ``folder`` in ascending id order; returns one row per shard.
 
     ``width`` is the ids' type in the files: two bytes for vocabularies of up to 65,536 ids, else
-    ``<u4``. ``parts`` is the number of id ranges, each a shard. The result's ``base`` is the
-    number of ids in all shards before; it has one row per shard, so the driver holds ``parts`` rows.
+    ``<u4``. ``parts`` is the number of shards, one for each ``SHARD_DOCS`` documents unless given. Shards are ranges of (id, hash of the text), dealt by
+    Spark's range partitioning, so rows of one id or none spread over shards too. The result's ``base`` is the number of ids in all shards before.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = id_bounds(plain, "doc_id", parts)
-    ranged = plain.select(part_of(F.col("doc_id"), bounds).cast("int").alias("part"), "doc_id", "text")
-    dealt = _tokenised(ranged, tokenizer, end_id, width).repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    parts = parts or max(1, -(-docs.count() // SHARD_DOCS))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    dealt = plain.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_shard, done = None, []
+        from pyspark import TaskContext
+
+        encoder, end = WordEncoder.load(tokenizer), np.array([end_id], "<u4").tobytes()
+        shard, done = None, []
         for batch in batches:
-            for part, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if open_shard is None or open_shard.part != part:
-                    if open_shard is not None:
-                        done.append(open_shard.close())
-                    open_shard = ShardWriter(folder, part, length, width)
-                open_shard.add(doc_id, raw.as_py())
-        if open_shard is not None:
-            done.append(open_shard.close())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(2).to_pylist())):
+                if shard is None:
+                    shard = ShardWriter(folder, TaskContext.get().partitionId(), length, width)
+                shard.add(doc_id, np.frombuffer(ids + end, "<u4").astype(width).tobytes())
+        if shard is not None:
+            done.append(shard.close())
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "path", "docs", "tokens"), x)) for x in done], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    shards = sorted(dealt.mapInArrow(write, "part int, path string, docs long, tokens long").collect())
-    rows, base = [], 0
-    for part, path, n, tokens in shards:
-        rows.append((part, path, n, tokens, base))
-        base += tokens
-    return spark.createDataFrame(rows, "part int, path string, docs long, tokens long, base long")
+    shards = stage(dealt.mapInArrow(write, "part int, path string, docs long, tokens long"), "shards")
+    # running sums by groups of shards, then over the groups: no window sees all shards
+    grouped = shards.withColumn("bundle", F.floor(F.col("part") / BUNDLE))
+    before = Window.orderBy("bundle").rowsBetween(Window.unboundedPreceding, -1)
+    bundles = grouped.groupBy("bundle").agg(F.sum("tokens").alias("sum")).select("bundle", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("low"))
+    inside = F.sum("tokens").over(Window.partitionBy("bundle").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    based = grouped.withColumn("inside", F.coalesce(inside, F.lit(0))).join(bundles, "bundle")
+    return stage(based.select("part", "path", "docs", "tokens", (F.col("low") + F.col("inside")).alias("base")), "shards")
 
 
 def read_documents(shards: DataFrame, length: int = LENGTH, width: str = "<u2", with_ids: bool = False) -> DataFrame:

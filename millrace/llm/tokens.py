@@ -26,12 +26,13 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         # for words that are normalised and split already
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # tokens that the library takes out of a text before it is split: such texts go to it whole
+        added = sorted({t.content for t in self.library.get_added_tokens_decoder().values()})
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.words: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -52,7 +53,7 @@ class WordEncoder:
         """The ids of ``text`` (null: empty) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _SEPARATORS.search(text):
+        if _SEPARATORS.search(text) or self.added is not None and self.added.search(text):
             return self._library_ids([text])[0]
         words, known = text.split(), self.words
         new = set(words).difference(known)

@@ -8,12 +8,12 @@ A payload of ``MIN_PAYLOAD`` bytes or more that an earlier page has is a ``revis
 Reading parses each archive by itself. Whole records are taken as they come; segments are grouped by origin, put in
 order of their numbers, checked against the total length and against missing numbers, and then unframed like the others.
 
-Scale: pages are shuffled once, by id, to the tasks that write archives; in reading only segments are grouped. Which page is first is an aggregate by digest, combined before the shuffle.
+Scale: pages are shuffled once, by id and digest, to the tasks that write archives; in reading only segments are grouped. Which page is first is an aggregate by digest, combined before the shuffle.
 A task writes an archive under a name of its own, and only the names of finished tasks are read; a task that runs twice leaves a file that nobody reads.
 
 Defined cases: null html is an empty payload; empty payloads are responses; a null id is written as
 an empty one and read back as null, after all other ids; repeated ids are records of their own; urls that are null are
-written as ``urn:page``; an empty table gives no rows; a record with missing segments or a wrong total length gives an error.
+written as ``urn:page``, and those with line breaks or other control characters percent-encoded, to be decoded when read; an empty table gives no rows; a record with missing segments or a wrong total length gives an error.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,10 +92,19 @@ def payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+def header_url(url: str | None) -> list[tuple[str, object]]:
+    """The fields of a url. One with control characters or outer spaces, which would end or change a header, is written percent-encoded and marked so."""
+    if not url:
+        return [("WARC-Target-URI", "urn:page")]
+    if url != url.strip(" ") or any(c < " " or c in "\x7f\x85\u2028\u2029" for c in url):
+        return [("WARC-Target-URI", quote(url, safe="")), ("WARC-Page-URI-Encoding", "percent")]
+    return [("WARC-Target-URI", url)]
+
+
 def page_records(page_id, url: str | None, html: bytes, digest: str, refers_to, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page."""
     own = f"<urn:uuid:{uuid.uuid4()}>"
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", own), ("WARC-Date", _DATE), ("WARC-Target-URI", url or "urn:page"), ("WARC-Page-ID", "" if page_id is None else page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Bytes", len(html)), ("Content-Type", "application/http;msgtype=response")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", own), ("WARC-Date", _DATE), *header_url(url), ("WARC-Page-ID", "" if page_id is None else page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Bytes", len(html)), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
         yield record(fields + [("WARC-Profile", PROFILE), ("WARC-Refers-To-Page", refers_to)], b"HTTP/1.1 200 OK\r\n\r\n")
         return
@@ -111,21 +121,12 @@ def page_records(page_id, url: str | None, html: bytes, digest: str, refers_to,
 
 # --- tables ---
 
-def _digests(pages: DataFrame) -> DataFrame:
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(hashlib.sha256(raw := (x or "").encode()).hexdigest(), len(raw)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["page_id", "digest", "bytes"])
-
-    return pages.select("page_id", "html").mapInArrow(digest, "page_id long, digest string, bytes long")
-
-
 def revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """``(page_id, digest, refers_to)`` of the pages whose payload a smaller id has."""
-    known = stage(_digests(pages).where(F.col("bytes") >= min_payload), "digests")
+    """``(page_id, digest, refers_to)``, distinct, of the pages whose payload a smaller id has; rows ``(page_id, digest, bytes)``."""
+    known = stage(pages.where(F.col("bytes") >= min_payload).select("page_id", "digest"), "digests")
     first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = stage(first.select("digest", "refers_to"), "first-pages")
-    return known.join(first, "digest").where("not page_id <=> refers_to").select("page_id", "digest", "refers_to")
+    return known.distinct().join(first, "digest").where("not page_id <=> refers_to").select("page_id", "digest", "refers_to")
 
 
 class ArchiveWriter:
@@ -156,18 +157,17 @@ class ArchiveWriter:
 def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD, segment: int = SEGMENT) -> DataFrame:
     """Write ``(page_id, url, html)`` to archives in ``folder``; one row ``(path, bytes)`` for each archive."""
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # rows that repeat an id may hold payloads of their own
-    again = revisits(plain, min_payload).groupBy(F.col("page_id").alias("again")).agg(F.collect_set(F.struct("digest", "refers_to")).alias("refers_to"))
-    joined = plain.join(again, plain["page_id"].eqNullSafe(again["again"]), "left").select("page_id", "url", "html", "refers_to")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    sized = plain.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    # a row meets its own payload's first page, whatever other rows have its id or none
+    again = revisits(sized, min_payload).select(F.col("page_id").alias("again"), F.col("digest").alias("same"), "refers_to")
+    joined = sized.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = ArchiveWriter(folder)
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = (html or "").encode()
-                digest = hashlib.sha256(raw).hexdigest()
-                first = next((x["refers_to"] for x in refers_to or () if x["digest"] == digest), None)
-                for data in page_records(page_id, url, raw, digest, first, segment):
+            for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
+                for data in page_records(page_id, url, (html or "").encode(), digest, first, segment):
                     writer.add(data)
         writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in writer.done], pa.string()), pa.array([x[1] for x in writer.done], pa.int64())], ["path", "bytes"])
@@ -207,7 +207,7 @@ def _record_rows(path: str, with_payload: bool) -> Iterator[tuple]:
     """A row for each record; segments keep their number and block, whole records are read here."""
     number = lambda x: int(x) if x else None
     for f, block in records(_stream(path)):
-        row = (f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number(f.get("WARC-Segment-Number")), number(f.get("WARC-Segment-Total-Length")), f["WARC-Type"], number(f.get("WARC-Page-ID")), f.get("WARC-Target-URI"), f.get("WARC-Payload-Digest", "").removeprefix("sha256:"), number(f.get("WARC-Payload-Bytes")), number(f.get("WARC-Refers-To-Page")))
+        row = (f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number(f.get("WARC-Segment-Number")), number(f.get("WARC-Segment-Total-Length")), f["WARC-Type"], number(f.get("WARC-Page-ID")), unquote(f["WARC-Target-URI"]) if "WARC-Page-URI-Encoding" in f else f.get("WARC-Target-URI"), f.get("WARC-Payload-Digest", "").removeprefix("sha256:"), number(f.get("WARC-Payload-Bytes")), number(f.get("WARC-Refers-To-Page")))
         if row[1] is None:
             block = None if row[3] == "revisit" else _body(row, block)
             block = block if with_payload else None
