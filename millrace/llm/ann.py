@@ -9,15 +9,17 @@ the ``confidence`` quantile: each true neighbour has been met by then with that
 
 Rows are dealt to the cells of a kd-tree over projections. Its split values come from a sample of at most
 ``SAMPLE`` rows; every row is indexed, and cells' boxes are computed from all rows. Inside a cell's block of rows, a kd-tree of
-leaves of ``LEAF`` rows orders the search. Queries search their own cell first; the score of their k-th best so far
+leaves of ``LEAF`` rows orders the search in every round. Queries search their own cell first; the score of their k-th best so far
 then tells, by the same test against cells' boxes, which other cells they visit. These are visited in rounds, each of ``GROWTH`` times
 the cells seen so far, nearest first: so the k-th score improves between rounds, and a round returns only what improves it.
 
 Scale: a block is a cell's rows by hash, of about ``BLOCK`` rows; a task holds one block and one chunk of about ``CHUNK``
-queries, so a vector that a third of the rows share fills blocks, not one task. The driver holds boxes and counts of the cells, at most ``2 ** DEEPEST``.
+queries, so a vector that a third of the rows share fills blocks, not one task. The driver holds boxes and counts of the cells, at most ``2 **
+DEEPEST``; beyond some 30 million rows cells have several blocks and a visit reads all of its cell's.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
-components take no part; repeated ids are rows of their own, and a query does not meet any row of its own id; fewer
+components take no part; repeated ids are rows of their own, and a query does not meet any row of its own id; an id that asks with several
+vectors asks with the least of them; fewer
 candidates than k give all of them; no rows give no rows.
 """
 
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import stage, unstage
 
 K, DIMS, CONFIDENCE, SEED = 20, 8, 0.96, 42
-SAMPLE, BLOCK, CHUNK, LEAF = 20_000, 2048, 512, 64
+SAMPLE, BLOCK, CHUNK, LEAF = 200_000, 2048, 512, 64
 #: Cells at most, as a power of two, and how many times the cells seen so far a round of visits adds.
-DEEPEST, GROWTH = 12, 8
+DEEPEST, GROWTH = 14, 8
+#: Blocks that many queries visit, broadcast up to this number and joined by a shuffle beyond it.
+OFTEN_SENT = 100_000
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -105,66 +109,55 @@ def _box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(ids) > k:
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= kth
-        ids, scores = ids[near], scores[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def search_block(rows: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, ...], k: int, norm2: float, quantile: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(place of the query, id, score) of what each query finds in a block, and how many rows were verified.
 
-
-def search_block(rows: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, ...], k: int, norm2: float, quantile: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of the query, ids, scores) over a block; rows: ids, vectors, projections; queries: ids, vectors, projections, k-th score so far."""
+    rows: ids, vectors, projections; queries: ids, vectors, projections, k-th score so far (minus infinity where there is none). Every query takes
+    the block's leaves in order of projected distance; in a step, queries that have come to the same leaf are served together. A query ends
+    when its next leaf is further than the chi-square test lets a better neighbour be, given its k-th score up to then.
+    """
     ids, vectors, points = rows
+    q_ids, q_vectors, q_points, kth = queries[0], queries[1], queries[2], queries[3].copy()
     parts = leaves(points)
     low, high = (np.array([f(points[p], axis=0) for p in parts]) for f in (np.min, np.max))
-    q_ids, q_vectors, q_points, q_kth = queries
-    boxes = _box_distance(q_points, low, high)
-    for i in range(len(q_ids)):
-        q, own, kth = q_vectors[i], norm2 + float(q_vectors[i] @ q_vectors[i]), q_kth[i]
-        order = np.argsort(boxes[i])
-        bounds = boxes[i][order]
-        found_ids, found, at, step = np.empty(0, np.int64), np.empty(0), 0, 1
-        while at < len(order):
-            # squared distance of the augmented vectors: M^2 + |q|^2 - 2 q.x
-            limit = np.inf if kth == -np.inf else max(own - 2 * kth, 0.0) * quantile
-            upto = min(at + step, int(np.searchsorted(bounds, limit, "right")))
-            if upto <= at:
-                break
-            some = np.concatenate([parts[j] for j in order[at:upto]])
-            if limit < np.inf:
-                gap = points[some] - q_points[i]
-                some = some[(gap * gap).sum(1) <= limit]
-            some = some[ids[some] != q_ids[i]]
-            scores = (vectors[some] * q).sum(1)
-            found_ids, found = _best(np.concatenate([found_ids, ids[some]]), np.concatenate([found, scores]), k)
-            if len(found) == k:
-                kth = max(kth, found[-1])
-            at, step = upto, min(2 * step, 32)
-        yield i, found_ids, found
-
-
-def verify_block(rows: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, ...], k: int, norm2: float, quantile: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """As :func:`search_block` for queries that know a k-th score: all rows that pass the test at that score, many queries at a time.
-
-    Matrix products sort out what is clearly below the k-th score; scores themselves are always summed in the same way.
-    """
-    ids, vectors, points = rows
-    q_ids, q_vectors, q_points, q_kth = queries
-    square = (points * points).sum(1)
-    for at in range(0, len(q_ids), 128):
-        part = slice(at, at + 128)
-        asks, kth = q_vectors[part], q_kth[part]
-        limit = np.maximum(norm2 + (asks * asks).sum(1) - 2 * kth, 0) * quantile * (1 + 1e-9)
-        gap = square[None, :] + (q_points[part] ** 2).sum(1)[:, None] - 2 * (q_points[part] @ points.T)
-        good = (gap <= limit[:, None]) & (asks @ vectors.T >= (kth - 1e-9 * (1 + abs(kth)))[:, None]) & (ids[None, :] != q_ids[part, None])
-        q, r = np.nonzero(good)
-        scores = (vectors[r] * asks[q]).sum(1)
-        keep = scores >= kth[q]
-        q, r, scores = q[keep], r[keep], scores[keep]
-        for i, x, y in zip(*(v.tolist() for v in _runs(q))):
-            yield (at + i, *_best(ids[r[x:y]], scores[x:y], k))
+    gaps = _box_distance(q_points, low, high)
+    order = np.argsort(gaps, axis=1, kind="stable")
+    own = norm2 + (q_vectors * q_vectors).sum(1)
+    floor = kth.copy()  # what a query had before this block: only better or equal ones are of use
+    found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    active, verified = np.arange(len(q_ids)), 0
+    for step in range(len(parts)):
+        # squared distance of the augmented vectors: M^2 + |q|^2 - 2 q.x
+        limit = np.where(kth[active] == -np.inf, np.inf, np.maximum(own[active] - 2 * kth[active], 0) * quantile)
+        near = order[active, step]
+        stay = gaps[active, near] <= limit
+        active, near, limit = active[stay], near[stay], limit[stay]
+        if not len(active):
+            break
+        new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        by_leaf = np.argsort(near, kind="stable")
+        for leaf, x, y in zip(*(v.tolist() for v in _runs(near[by_leaf]))):
+            some, part = by_leaf[x:y], parts[leaf]
+            asks, at = active[some], points[part]
+            gap = (at * at).sum(1)[None, :] + (q_points[asks] ** 2).sum(1)[:, None] - 2 * (q_points[asks] @ at.T)
+            good = (gap <= limit[some, None] * (1 + 1e-9)) & (ids[part][None, :] != q_ids[asks, None])
+            verified += int(good.sum())
+            # products sort out what is clearly below the k-th score; scores themselves are always summed in the same way
+            good &= q_vectors[asks] @ vectors[part].T >= (kth[asks] - 1e-9 * (1 + np.abs(np.where(kth[asks] == -np.inf, 0, kth[asks]))))[:, None]
+            q, r = np.nonzero(good)
+            q, r = asks[q], part[r]
+            new.append((q, ids[r], (vectors[r] * q_vectors[q]).sum(1)))
+        q, i, score = (np.concatenate([f, *c]) for f, c in zip(found, zip(*new)))
+        keep = score >= floor[q]
+        q, i, score = q[keep], i[keep], score[keep]
+        sort = np.lexsort((i, -score, q))
+        q, i, score = q[sort], i[sort], score[sort]
+        groups, starts, ends = _runs(q)
+        rank = np.arange(len(q)) - np.repeat(starts, ends - starts)
+        found = [v[rank < k] for v in (q, i, score)]
+        full = ends - starts >= k
+        kth[groups[full]] = np.maximum(kth[groups[full]], score[starts[full] + k - 1])
+    return (*found, verified)
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,11 +204,18 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
             out += np.sqrt(np.maximum(norm2 - (vectors * vectors).sum(1), 0))[:, None] * weights[-1]
         return out
 
-    # sampled by hash: at most about SAMPLE rows, whatever the number of rows
+    # sampled by hash: projections of at most about SAMPLE rows (13 MB), whatever the number of rows
     share = min(1.0, SAMPLE / n)
     drawn = usable.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * SAMPLE) if depth else usable.select("v").limit(1)
-    sample = _matrix(drawn.toArrow()["v"].combine_chunks())
-    tree = split_tree(projected(sample, True) if len(sample) else np.zeros((1, dims)), depth)
+
+    def shadows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(batch.column(0))
+            if len(vectors):
+                yield pa.RecordBatch.from_arrays([pa.array(list(projected(vectors, True)))], ["p"])
+
+    sample = _matrix(drawn.mapInArrow(shadows, "p array<double>").toArrow()["p"].combine_chunks())
+    tree = split_tree(sample if len(sample) else np.zeros((1, dims)), depth)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +231,6 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
     low, high = (np.array([[b[f"{x}{d}"] for d in range(dims)] for b in boxes]) for x in ("low", "high"))
     blocks = np.array([-(-b["n"] // BLOCK) for b in boxes])
 
-    # an id that asks with several vectors asks with the least of them
     asked = stage(usable.where("asks").groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
 
     def visits(start: int, stop: int):
@@ -270,30 +269,24 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
     held = located.mapInArrow(blocked, "cell long, block long, id long, v array<double>, p array<double>")
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if left.num_rows and right.num_rows:
             values = lambda t, c: _matrix(t[c].combine_chunks())
             vectors = values(right, "v")
             mine = left["id"].to_numpy(), values(left, "v"), values(left, "p")
-            asks = right["id"].to_numpy(), vectors, projected(vectors, False), right["kth"].to_numpy()
-            search = verify_block if (asks[3] > -np.inf).all() else search_block
-            for i, ids, scores in search(mine, asks, k, norm2, quantile):
-                out[0] += [int(asks[0][i])] * len(ids)
-                out[1] += ids.tolist()
-                out[2] += scores.tolist()
+            asks = right["id"].to_numpy(), vectors, projected(vectors, False), right["kth"].fill_null(-np.inf).to_numpy()
+            places, *rest, _ = search_block(mine, asks, k, norm2, quantile)
+            out = [asks[0][places], *rest]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     def round_(sent: DataFrame) -> DataFrame:
         sent = stage(sent, "ann-visits")
         # a block that many queries visit is searched in several chunks of them
-        often = {(r["cell"], r["block"]): -(-r["count"] // CHUNK) for r in sent.groupBy("cell", "block").count().where(F.col("count") > CHUNK).collect()}
-        chunk_rows, chunk_asks = F.array(F.lit(0)), F.lit(0)
-        if often:
-            keys = spark.createDataFrame([(c, b, m) for (c, b), m in often.items()], "cell long, block long, many long")
-            mine = held.join(F.broadcast(keys), ["cell", "block"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("many", F.lit(1)).cast("int") - 1))).drop("many")
-            asks = sent.join(F.broadcast(keys), ["cell", "block"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("many", F.lit(1))).cast("int")).drop("many")
-        else:
-            mine, asks = held.withColumn("chunk", F.explode(chunk_rows)), sent.withColumn("chunk", chunk_asks)
+        often = stage(sent.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("many")).where("many > 1"), "ann-often")
+        keys = F.broadcast(often) if often.count() <= OFTEN_SENT else often
+        many = F.coalesce("many", F.lit(1))
+        mine = held.join(keys, ["cell", "block"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), many - 1))).drop("many")
+        asks = sent.join(keys, ["cell", "block"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), many).cast("int")).drop("many")
         columns = ["cell", "block", "chunk"]
         return mine.groupBy(*columns).cogroup(asks.groupBy(*columns)).applyInArrow(searched, "query_id long, vec_id long, score double")
 
@@ -309,6 +302,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
             asks = asked.join(known_kth, "id", "left").select("id", "v", "kth")
         found = round_(asks.mapInArrow(visits(start, stop), sends))
         found = found if best is None else found.union(best.drop("rank"))
-        best = stage(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-best")
+        last, best = best, stage(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-best")
+        if last is not None:
+            unstage(last)
         start, stop = stop, stop * (1 + GROWTH)
     return best.select("query_id", "rank", "vec_id", "score")

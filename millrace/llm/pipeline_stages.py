@@ -15,8 +15,7 @@ WORDS, SHARE = 5, 0.8
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts to be toxic go; rows stay in place, no join is needed."""
-    scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.keep_clean(docs, scorer).select(*COLUMNS)
+    return toxicity.clean_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ Words are split at ASCII white space, lower-cased, and stripped of punctuation a
 
 Scale: counting terms and every EM step are aggregates, combined before the shuffle; only the parameters
 (the square of the number of voters at most) come to the driver. A document's terms are distinct, so a term in every document costs one row a
-task. Texts are read for counting (labelled rows only), for votes and for scores, and are never shuffled but to meet their labels.
+task. Texts are split for counting (labelled rows only) and for votes, which are staged and give the scores, and are never shuffled but to meet their labels.
 
 Defined cases: null and empty texts hold no term and get the score of that; rows with a null id are scored but do
 not teach; repeated labels of an id count as their largest; without any toxic label that may teach, every score is 0; other columns are ignored.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import stage, unstage
 
 THRESHOLD, ROUNDS = 0.3, 8
 #: A voter's toxic count must be so many standard deviations above what its frequency lets expect, and so large.
@@ -306,44 +306,86 @@ class Scorer:
     def __init__(self, terms: list[str], weights: np.ndarray, intercept: float) -> None:
         self.terms, self.weights, self.intercept = terms, weights, intercept
 
+    def of_votes(self, votes: list[np.ndarray]) -> np.ndarray:
+        """Scores of texts by the numbers of the terms that they hold."""
+        if not self.terms:
+            return np.zeros(len(votes))
+        odds = np.array([self.intercept + self.weights[v].sum() for v in votes])
+        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+
     def scores(self) -> Callable[[list[str | None]], np.ndarray]:
         find = TermFinder(self.terms)
 
         def of(texts: list[str | None]) -> np.ndarray:
-            if not self.terms:
-                return np.zeros(len(texts))
-            odds = np.array([self.intercept + self.weights[find(t)].sum() for t in texts])
-            return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+            return self.of_votes([np.array(find(t), np.int64) for t in texts])
 
         return of
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Scorer:
     """Learn from ``labels`` (doc_id, toxic) of the rows that may teach, and from the texts of all ``docs``."""
+    return fit_and_vote(docs, labels, (id_col,), id_col, text_col)[0]
+
+
+def fit_and_vote(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], id_col="doc_id", text_col="text") -> tuple[Scorer, DataFrame]:
+    """The scorer, and a staged table ``(row, votes)``: a struct of the columns ``keep`` of each row, and its votes, all that a score depends on."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     may = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & may).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stage(known, "labels")
     total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share")).first()
-    known = F.broadcast(known) if total["n"] <= LABELS_SENT else known
-    voters = choose_voters(plain.join(known, "doc_id").select("text", "toxic"), total["share"] or 0.0)
+    sent = F.broadcast(known) if total["n"] <= LABELS_SENT else known
+    voters = choose_voters(plain.join(sent, "doc_id").select("text", "toxic"), total["share"] or 0.0)
+    terms = [v[0] for v in voters]
+
+    @F.pandas_udf("array<int>")
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = TermFinder(terms)
+        for texts in batches:
+            yield pd.Series([find(t) for t in texts.tolist()])
+
+    row = F.struct(*[F.col(c) for c in keep]).alias("row")
+    voted = stage(docs.select(row, vote(F.col(text_col)).alias("votes")), "votes")
     if not voters:
-        return Scorer([], np.empty(0), 0.0)
+        return Scorer([], np.empty(0), 0.0), voted
     toxic = total["share"] * total["n"]
     hit, false = (np.array([v[i] for v in voters], float) for i in (1, 2))
     hit, false = hit / toxic, (false + 0.5) / (total["n"] - toxic + 1)
-    terms = [v[0] for v in voters]
+    sets = stage(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "vote-sets")
+    model = fit_label_model(sets, hit, false)
+    scorer = Scorer(terms, *fit_classifier(sets, model, len(terms)))
+    unstage(sets, known)
+    return scorer, voted
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = TermFinder(terms)
+
+def learn_and_score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
+    """:func:`score` of the rows of ``docs`` by what :func:`fit` learns from them, their texts read once for both."""
+    scorer, voted = fit_and_vote(docs, labels, (id_col,), id_col, text_col)
+    known = voted.select(F.col("row")[id_col].cast("long").alias("doc_id"), "votes")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([find(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "votes"])
+            found = scorer.of_votes(_ints(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return _with_fold(known.mapInArrow(scored, "doc_id long, score double, predicted int"))
+
+
+def _with_fold(done: DataFrame) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return done.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
-    every = plain.mapInArrow(vote, "doc_id long, votes array<int>")
-    sets = stage(every.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "vote-sets")
-    model = fit_label_model(sets, hit, false)
-    return Scorer(terms, *fit_classifier(sets, model, len(terms)))
+
+def clean_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold`` by what :func:`fit` learns from them, with all their columns."""
+    scorer, voted = fit_and_vote(docs, labels, tuple(docs.columns), id_col, text_col)
+
+    @F.pandas_udf("boolean")
+    def clean(votes: pd.Series) -> pd.Series:
+        return pd.Series(scorer.of_votes([np.asarray(v, np.int64) for v in votes]) < threshold)
+
+    return voted.where(clean("votes")).select("row.*")
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, id_col="doc_id", text_col="text") -> DataFrame:
@@ -357,8 +399,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, id_col=
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     done = plain.mapInArrow(scored, "doc_id long, score double, predicted int")
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
-    return done.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return _with_fold(done)
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col="text") -> DataFrame:

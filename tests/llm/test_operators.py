@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -313,6 +314,22 @@ def test_components(spark):
 
 # --- 8 fingerprints ---
 
+def brute_sketch(text):
+    """All shingle hashes below an eighth of their range, and the 64 smallest anyway."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+    hashes = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))}) if words else []
+    return [h for i, h in enumerate(hashes) if i < 64 or h <= ((1 << 64) - 1) // 8]
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    reach = lambda x: (1 << 64) - 1 if len(x) < 64 else max(((1 << 64) - 1) // 8, x[-1])
+    to = min(reach(a), reach(b))
+    a, b = {h for h in a if h <= to}, {h for h in b if h <= to}
+    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_fingerprints(spark, sf_dir, parts):
     rows = [r for r in EDGE if r[0] != 3] + [(3, "one")] + [(d + 100, t) for d, t in texts(sf_dir).items()]
@@ -324,8 +341,9 @@ def test_fingerprints(spark, sf_dir, parts):
     for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
         t, n = t or "", n or ""
         edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
-        a, b, c = (sketch.sketch(x) for x in (t, edited, n))
-        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), sketch.encode(a), sketch.encode(b), sketch.likeness(a, b), sketch.likeness(a, c)))
+        a, b, c = (brute_sketch(x) for x in (t, edited, n))
+        text = lambda x: base64.b64encode(b"".join(v.to_bytes(8, "big") for v in x)).decode()
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), brute_likeness(a, b), brute_likeness(a, c)))
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
     assert sketch.compare_with_next(docs(spark, [])).count() == 0
 
@@ -396,6 +414,24 @@ def test_nearest_many_blocks(spark, monkeypatch):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0 and ann.nearest(df.where("vec_id = 2000"), F.lit(True)).count() == 0
 
 
+def test_search_stops_early():
+    """On clustered vectors most rows of a block are never verified, and what is found is nearly all of the true neighbours."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32)) * 2
+    vectors = centres[rng.integers(0, 40, 2000)] + 0.3 * rng.normal(size=(2000, 32))
+    norm2 = (vectors**2).sum(1).max() * (1 + 1e-12)
+    weights = ann.projection(33)
+    points = vectors @ weights[:-1] + np.sqrt(np.maximum(norm2 - (vectors**2).sum(1), 0))[:, None] * weights[-1]
+    asks, ids = vectors[:200], np.arange(2000)
+    for kth in (-np.inf, None):
+        want = brute_nearest(ids, vectors, range(200), 20)
+        known = np.array([want[q][-1][1] for q in range(200)]) if kth is None else np.full(200, kth)
+        q, i, score, verified = ann.search_block((ids, vectors, points), (ids[:200], asks, asks @ weights[:-1], known), 20, norm2, ann.chi_square_quantile(ann.CONFIDENCE, ann.DIMS))
+        assert np.mean([len({v for v, _ in want[a]} & set(i[q == a].tolist())) / 20 for a in range(200)]) >= 0.9
+        assert verified < 0.6 * 200 * 2000 and np.allclose(score, (vectors[i] * asks[q]).sum(1))
+        print("verified", verified / (200 * 2000))
+
+
 def test_quantile():
     assert abs(ann.chi_square_quantile(0.9, 8) - 13.3616) < 1e-3
 
@@ -424,3 +460,48 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs(spark, []), toxicity.fit(docs(spark, []), labels)).count() == 0
     scorer = toxicity.fit(table, labels)
     assert toxicity.keep_clean(table, scorer).count() == sum(1 - r.predicted for r in got)
+    clean = toxicity.clean_rows(table.withColumn("row", F.lit(1)).withColumn("votes", F.lit(2)), labels)
+    assert clean.count() == sum(1 - r.predicted for r in got) and clean.columns == [*table.columns, "row", "votes"]
+    assert toxicity.clean_rows(table, labels.limit(0)).count() == len(rows)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    assert sorted(map(tuple, toxicity.learn_and_score(table, labels).collect()), key=str) == sorted(map(tuple, got), key=str) and sorted(got, key=key)
+
+
+def test_label_model(spark):
+    """EM on planted votes against a dense numpy version, and against what was planted."""
+    rng = np.random.default_rng(11)
+    n, hit, false = 4000, np.array([0.9, 0.6, 0.7, 0.5]), np.array([0.001, 0.004, 0.002, 0.01])
+    cause = np.stack([rng.random(n) < 0.05, rng.random(n) < 0.1], 1)
+    group = np.array([0, 0, 1, 1])
+    fired = np.where(cause[:, group], rng.random((n, 4)) < hit, rng.random((n, 4)) < false)
+    sets = {}
+    for f in fired:
+        sets[tuple(np.flatnonzero(f).tolist())] = sets.get(tuple(np.flatnonzero(f).tolist()), 0) + 1
+    votes = spark.createDataFrame([(list(v), m) for v, m in sets.items()], "votes array<int>, n long").repartition(3)
+    model = toxicity.fit_label_model(votes, hit, false)
+    assert model.group.tolist() == [0, 0, 1, 1]
+
+    # dense: every document in a row
+    f, weight = fired.astype(float), np.ones(4)
+    prior, h, w = np.array([f[:, group == g].sum(0).max() / n for g in range(2)]), hit.copy(), false.copy()
+    for step in range(toxicity.ROUNDS):
+        prior, h = np.clip(prior, 1e-5, 0.5), np.clip(h, 1e-4, 0.99)
+        w = np.clip(w, 1e-7, 0.9 * h)
+        ratio = weight * (f * np.log(h / w) + (1 - f) * np.log((1 - h) / (1 - w)))
+        odds = np.stack([np.log(prior[g] / (1 - prior[g])) + ratio[:, group == g].sum(1) for g in range(2)], 1)
+        p = (1 / (1 + np.exp(-np.clip(odds, -30, 30))))[:, group]
+        if step in (1, toxicity.ROUNDS // 2):
+            for j in range(4):
+                total = 0.0
+                for i in np.flatnonzero(group == group[j]):
+                    a, b = (p * f)[:, i].sum() / p[:, i].sum(), (p * f)[:, j].sum() / p[:, j].sum()
+                    c = (p[:, j] * f[:, i] * f[:, j]).sum() / p[:, j].sum()
+                    r = (c - a * b) / np.sqrt(a * (1 - a) * b * (1 - b)) if i != j else 1.0
+                    total += min(r, 1.0) if r >= 0.2 else 0.0
+                weight[j] = 1 / total
+        h, w = ((p * f).sum(0) + 0.1) / (p.sum(0) + 1), (((1 - p) * f).sum(0) + 0.01) / (n - p.sum(0) + 1)
+        prior = np.array([p[:, group == g][:, 0].sum() / n for g in range(2)])
+    assert np.allclose(model.hit, h, rtol=1e-6) and np.allclose(model.false, w, rtol=1e-6) and np.allclose(model.prior, prior, rtol=1e-6) and np.allclose(model.weight, weight, rtol=1e-6)
+    found = model.posterior([np.flatnonzero(x) for x in fired[:500]])
+    truth = cause[:500].any(1)
+    assert found[truth].mean() > 0.85 and found[~truth].mean() < 0.05

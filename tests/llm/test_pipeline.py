@@ -1,9 +1,10 @@
 """The pipeline's stages against brute-force versions, each on what the one before kept."""
 
 import corpus_pipeline
-from millrace.llm import packing, pipeline_stages, simhash, toxicity
+from millrace.llm import packing, pipeline_stages, toxicity
 from millrace.llm.shared import documents, stage
 from tests.llm.test_operators import brute_components, brute_lines
+from tests.llm.test_resemblance import alike, shingles
 
 
 def test_stages(spark, sf_dir):
@@ -24,8 +25,8 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in kept} == digest
     assert all(r.n_chars == len(r.text) for r in kept) and lines.columns == docs.columns
 
-    prints = {r.doc_id: simhash.simhash(simhash.shingle_hashes(r.text, 5)) & (1 << 64) - 1 for r in kept}
-    roots = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 7)
+    sets = {r.doc_id: shingles(r.text) for r in kept}
+    roots = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
     single = stage(pipeline_stages.drop_near_copies(spark, lines, sf_dir), "single")
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(roots.values())) and single.columns == docs.columns
 
