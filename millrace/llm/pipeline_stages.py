@@ -27,9 +27,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: of the smallest id (none counts as largest), and of such rows the first."""
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
-    found = resemblance.components(rows, SHARE, WORDS).join(rows.select("row", "doc_id"), "row")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
-    return rows.join(stage(found.groupBy("component").agg(least.alias("row")).select("row"), "single"), "row").select(*COLUMNS)
+    spare = resemblance.spare_rows(rows.select("row", "text", "doc_id"), [F.col("doc_id").isNull(), F.col("doc_id")], SHARE, WORDS)
+    spare = F.broadcast(spare) if spare.count() <= resemblance.ROWS_SENT else spare
+    return rows.join(spare, "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

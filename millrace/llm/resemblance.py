@@ -10,7 +10,7 @@
 
 Sets of more than a dozen shingles and similarity 0.8 meet with probability 0.95 (each segment: 0.13), of 0.85 with 0.99, of 0.9 with 0.9997; tests measure it.
 
-Scale: the index has 67 rows of 16 bytes for each fingerprint, its buckets are those of :mod:`.simhash`. Only sets that meet another
+Scale: the index has 67 entries of 8 bytes for each fingerprint, its buckets are those of :mod:`.simhash`. Only sets that meet another
 are read again, once each. A cluster of more than ``BLOCK`` weight (a node, or each ``HASHES`` hashes of it) is cut into blocks, and each
 pair of blocks is compared by itself: work there grows with the square of the cluster. Within a group, sets that
 are linked are reached breadth first, so a group of like texts costs one pass and only unlike ones cost a pass each.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -37,6 +37,8 @@ WORDS, SEED, SHARE = 5, 42, 0.8
 #: Fingerprints of a set; bits that one of them may differ in, and all of them together.
 PRINTS, NEAR, FAR = 7, 14, 110
 BLOCK, HASHES = 4096, 500
+#: Rows of candidates (24 bytes each) that are broadcast to where the texts are; more meet them in a shuffle.
+ROWS_SENT = 2_000_000
 _U = np.uint64
 _MASKS = np.random.default_rng(SEED).integers(0, 1 << 64, PRINTS, _U)
 
@@ -191,7 +193,18 @@ def components(rows: DataFrame, share: float = SHARE, words: int = WORDS, seed:
     large = loose.groupBy("root").agg(weight.alias("weight")).where(F.col("weight") > BLOCK)
     large = large.select("root", F.ceil(F.col("weight") / BLOCK).cast("long").alias("blocks"))  # a row for each BLOCK nodes at most
     cut = loose.join(F.broadcast(stage(large, "large")), "root", "left").select("node", "root", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
-    clustered = rows.select(F.col("row").alias("node"), "text").join(cut, "node")
+    cut = stage(cut, "cut")
+    sent = F.broadcast(cut) if cut.count() <= ROWS_SENT else cut
+    clustered = rows.select(F.col("row").alias("node"), "text").join(sent, "node")
     roots = stage(connected(stage(_links(clustered, words, seed, share), "links")), "roots")
     named = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
     return sketches.select("row", "key").join(stage(named, "named"), "key").select("row", "component")
+
+
+def spare_rows(rows: DataFrame, order: list[Column], share: float = SHARE, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """``(row)`` of all rows of each component but its first by ``order``: what goes if one row of a group of near copies stays."""
+    found = stage(components(rows.select("row", "text"), share, words, seed), "components")
+    large = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    met = found.join(large, "component").join(rows.drop("text"), "row")
+    first = met.groupBy("component").agg(F.min(F.struct(*order, "row"))["row"].alias("first"))
+    return stage(met.join(first, "component").where("row != first").select("row"), "spare")

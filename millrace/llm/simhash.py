@@ -11,7 +11,7 @@ gives each link in the one bucket that is responsible for it, a larger one a spa
 set (whole segments) or one link for each two sets it joins (a bit left out; links within either
 side are found under the whole segment). Trees have few children a node, so no node is a hub.
 
-Scale: exact copies are one fingerprint from the first aggregate on. A bucket of more than ``BLOCK``
+Scale: index entries are packed by the task that makes them, 8 bytes each, for each part and variant. Exact copies are one fingerprint from the first aggregate on. A bucket of more than ``BLOCK``
 fingerprints is cut into blocks; each pair of blocks is a group of its own of at most ``2 * BLOCK`` rows
 on average, for buckets of up to a thousand million. Which buckets are large follows from counts of whole segments, those above ``BLOCK /
 2`` only; these are sent to the tasks up to ``LARGE_SENT`` and joined beyond.
@@ -38,6 +38,8 @@ WORDS, SEED, MAX_BITS = 4, 42, 4
 BLOCK, SMALL = 4096, 8
 #: Values of segments that make large buckets, sent to every task up to this number (16 MB); beyond it buckets learn their blocks in a join.
 LARGE_SENT = 1 << 20
+#: Fingerprints of which a task packs the index at once.
+PACKED = 50_000
 _U = np.uint64
 
 
@@ -93,6 +95,14 @@ class Segments:
         self.bit_of = np.array([0 if b is None else 1 << self.spans[s][0] + b for s, b in self.variants], _U)
         self.masks = self.whole[self.segment_of] & ~self.bit_of
 
+    def variant(self, x: np.ndarray) -> np.ndarray:
+        return (x >> _U(54)).astype(np.int64) % len(self.variants)
+
+    def part(self, x: np.ndarray, fps: np.ndarray, parts: int) -> np.ndarray:
+        """Where a row's bucket is scanned, 0 to ``parts`` - 1."""
+        mixed = ((fps & self.masks[self.variant(x)]) ^ (x * _U(0xD6E8FEB86659FD93))) * _U(0x9E3779B97F4A7C15)
+        return ((mixed >> _U(32)) % _U(parts)).astype(np.int32)
+
     def value(self, fps: np.ndarray, segment: int) -> np.ndarray:
         lo, width = self.spans[segment]
         return fps >> _U(lo) & _U((1 << width) - 1)
@@ -190,8 +200,8 @@ def _across(fps: np.ndarray, side: np.ndarray, max_bits: int) -> Iterator[tuple[
 
 
 def _linked(x: np.ndarray, fps: np.ndarray, segments: Segments, direct: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links as arrays of places, from rows sorted by bucket that hold whole buckets."""
-    variant = (x >> _U(54)).astype(np.int64) % len(segments.variants)
+    """Links as arrays of places, from rows sorted by x and bucket that hold whole buckets."""
+    variant = segments.variant(x)
     bucket = fps & segments.masks[variant]
     starts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (bucket[1:] != bucket[:-1])]))
     sizes = np.diff(np.append(starts, len(x)))
@@ -261,61 +271,84 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None,
     else:
         sent = None
 
+    def packed(x: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows ``(part, x, fps)``: the fingerprints of one x that go to one part, end to end."""
+        part = segments.part(x, fps, parts)
+        order = np.lexsort((x, part))
+        x, fps, part = x[order], fps[order], part[order]
+        starts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (part[1:] != part[:-1])]))
+        ends = np.append(starts, len(x)).astype(np.int32) * 8
+        blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(fps.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(x[starts].view(np.int64)), blobs], ["part", "x", "fps"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of many rows: the more fingerprints are packed at once, the longer the runs."""
+        held, n = [], 0
+        for batch in batches:
+            held, n = held + [batch], n + batch.num_rows
+            if n >= PACKED:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    tasks = _index_parts(prints, len(segments.variants))
+    parts = 4 * tasks
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            kind, fps = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(kind).tolist():
+                for x, held in _index(k, fps[kind == k].view(_U), segments, sent.value):
+                    yield from packed(x, held)
+
+    def plain_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                kind, fps = (c.to_numpy() for c in batch.slice(at, 2000).columns)
-                for k in np.unique(kind).tolist():
-                    own = fps[kind == k].view(_U)
-                    x, held = map(np.concatenate, zip(*_index(k, own, segments, sent.value if sent else None)))
+            kind, fps = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(kind).tolist():
+                for x, held in _index(k, fps[kind == k].view(_U), segments, None):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(held.view(np.int64))], ["x", "fp"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, fps, blocks = (c.to_numpy() for c in batch.columns)
             for at in range(0, len(x), 64):
-                a, b = _dealt(*(v[at : at + 64].view(t) for v, t in ((x, _U), (fps, _U), (blocks, np.int64))))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["x", "fp"])
+                yield from packed(*_dealt(*(v[at : at + 64].view(t) for v, t in ((x, _U), (fps, _U), (blocks, np.int64)))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(x: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def found(key: tuple[int, int], blobs: list[bytes]) -> pa.RecordBatch:
+            fps = np.frombuffer(b"".join(blobs), _U)
+            x = np.full(len(fps), key[1], np.int64).view(_U)
+            fps = fps[np.argsort(fps & segments.masks[segments.variant(x[:1])[0]], kind="stable")]
             pairs = list(_linked(x, fps, segments, direct))
             at = np.concatenate([p[0] for p in pairs] or [np.empty(0, np.int64)])
             to = np.concatenate([p[1] for p in pairs] or [np.empty(0, np.int64)])
             kind = (x[at] >> _U(54)).astype(np.int32) // len(segments.variants)
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(fps[at].view(np.int64)), pa.array(fps[to].view(np.int64))], ["kind", "a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        key, blobs = None, []
         for batch in batches:
-            x, fps = (c.to_numpy().view(_U) for c in batch.columns)
-            if not len(x):
-                continue
-            bucket = fps & segments.masks[(x >> _U(54)).astype(np.int64) % len(segments.variants)]
-            new = np.flatnonzero((x != x[-1]) | (bucket != bucket[-1]))
-            cut = int(new[-1]) + 1 if len(new) else 0  # where the last bucket of the batch starts
-            if cut:
-                whole = [np.concatenate(c) for c in zip(*held, (x[:cut], fps[:cut]))]
-                held = []
-                yield found(*whole)
-            elif held and (held[-1][0][-1] != x[0] or (held[-1][1][-1] & segments.masks[int(x[0] >> _U(54)) % len(segments.variants)]) != bucket[0]):
-                yield found(*[np.concatenate(c) for c in zip(*held)])
-                held = []
-            held.append((x[cut:], fps[cut:]))
-        if held:
-            yield found(*[np.concatenate(c) for c in zip(*held)])
-
-    parts = _index_parts(prints, len(segments.variants))
-    keyed = prints.select(F.col("kind").cast("int"), "fp").mapInArrow(index, "x long, fp long")
-    if sent is None:  # too many large values to send: buckets meet their number of blocks in a join
+            for *new, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if new != key:
+                    if key is not None:
+                        yield found(key, blobs)
+                    key, blobs = new, []
+                blobs.append(blob)
+        if key is not None:
+            yield found(key, blobs)
+
+    if sent is not None:
+        rows = prints.select(F.col("kind").cast("int"), "fp").mapInArrow(index, "part int, x long, fps binary")
+    else:  # too many large values to send: buckets meet their number of blocks in a join
         blocks = stage(_bucket_blocks(large, segments), "blocks")
+        keyed = prints.select(F.col("kind").cast("int"), "fp").mapInArrow(plain_index, "x long, fp long")
         keyed = keyed.withColumn("bucket", segments.bucket(F.col("x"), F.col("fp"))).join(blocks, ["x", "bucket"], "left")
-        keyed = keyed.select("x", "fp", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")).mapInArrow(deal, "x long, fp long")
-    bucket = segments.bucket(F.col("x"), F.col("fp"))
-    return keyed.repartition(parts, F.col("x"), bucket).sortWithinPartitions("x", bucket).mapInArrow(scan, "kind int, a long, b long")
+        rows = keyed.select("x", "fp", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")).mapInArrow(deal, "part int, x long, fps binary")
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "x").mapInArrow(scan, "kind int, a long, b long")
 
 
 def _index_parts(prints: DataFrame, variants: int) -> int:
-    """Partitions for the index, of some 1.3 million rows of 16 bytes."""
+    """Tasks for the index, of some 1.3 million entries of 8 bytes."""
     rows = prints.count() * variants
     least = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-rows // 1_300_000))
