@@ -11,7 +11,7 @@ gives each link in the one bucket that is responsible for it, a larger one a spa
 set (whole segments) or one link for each two sets it joins (a bit left out; links within either
 side are found under the whole segment). Trees have few children a node, so no node is a hub.
 
-Scale: index entries are packed by the task that makes them, 8 bytes each, for each part and variant. Exact copies are one fingerprint from the first aggregate on. A bucket of more than ``BLOCK``
+Scale: index entries are packed by the task that makes them, a row for each part with 10 bytes an entry. Exact copies are one fingerprint from the first aggregate on. A bucket of more than ``BLOCK``
 fingerprints is cut into blocks; each pair of blocks is a group of its own of at most ``2 * BLOCK`` rows
 on average, for buckets of up to a thousand million. Which buckets are large follows from counts of whole segments, those above ``BLOCK /
 2`` only; these are sent to the tasks up to ``LARGE_SENT`` and joined beyond.
@@ -38,8 +38,8 @@ WORDS, SEED, MAX_BITS = 4, 42, 4
 BLOCK, SMALL = 4096, 8
 #: Values of segments that make large buckets, sent to every task up to this number (16 MB); beyond it buckets learn their blocks in a join.
 LARGE_SENT = 1 << 20
-#: Fingerprints of which a task packs the index at once.
-PACKED = 50_000
+#: Entries of the index that a task makes and packs at once, and that four parts hold.
+ENTRIES = 1_300_000
 _U = np.uint64
 
 
@@ -271,36 +271,37 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None,
     else:
         sent = None
 
-    def packed(x: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows ``(part, x, fps)``: the fingerprints of one x that go to one part, end to end."""
+    def packed(x: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        """A row ``(part, v, pairs, fps)`` for each part: its entries end to end, by x. v: kinds and variants; pairs: the rest of x, null without blocks."""
         part = segments.part(x, fps, parts)
         order = np.lexsort((x, part))
         x, fps, part = x[order], fps[order], part[order]
-        starts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (part[1:] != part[:-1])]))
-        ends = np.append(starts, len(x)).astype(np.int32) * 8
-        blobs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(fps.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(x[starts].view(np.int64)), blobs], ["part", "x", "fps"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of many rows: the more fingerprints are packed at once, the longer the runs."""
-        held, n = [], 0
-        for batch in batches:
-            held, n = held + [batch], n + batch.num_rows
-            if n >= PACKED:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, n = [], 0
-        if n:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    tasks = _index_parts(prints, len(segments.variants))
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(starts, len(x)).astype(np.int32)
+        blob = lambda v: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(v.tobytes())])
+        pair = x & _U((1 << 54) - 1)
+        pairs = blob(pair) if pair.any() else pa.nulls(len(starts), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), blob((x >> _U(54)).astype(np.uint16)), pairs, blob(fps)], ["part", "v", "pairs", "fps"])
+
+    tasks = -(-prints.count() * len(segments.variants) // ENTRIES)
     parts = 4 * tasks
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
-            kind, fps = (c.to_numpy() for c in batch.columns)
-            for k in np.unique(kind).tolist():
-                for x, held in _index(k, fps[kind == k].view(_U), segments, sent.value):
-                    yield from packed(x, held)
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            kind, fps = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+            made = [entry for k in np.unique(kind).tolist() for entry in _index(k, fps[kind == k].view(_U), segments, sent.value)]
+            held.clear()
+            return packed(*map(np.concatenate, zip(*made)))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                held.append(batch.slice(at, 5000))
+                if sum(b.num_rows for b in held) >= ENTRIES // len(segments.variants):
+                    yield done()
+        if any(b.num_rows for b in held):
+            yield done()
 
     def plain_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,45 +314,42 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None,
         for batch in batches:
             x, fps, blocks = (c.to_numpy() for c in batch.columns)
             for at in range(0, len(x), 64):
-                yield from packed(*_dealt(*(v[at : at + 64].view(t) for v, t in ((x, _U), (fps, _U), (blocks, np.int64)))))
+                yield packed(*_dealt(*(v[at : at + 64].view(t) for v, t in ((x, _U), (fps, _U), (blocks, np.int64)))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(key: tuple[int, int], blobs: list[bytes]) -> pa.RecordBatch:
-            fps = np.frombuffer(b"".join(blobs), _U)
-            x = np.full(len(fps), key[1], np.int64).view(_U)
-            fps = fps[np.argsort(fps & segments.masks[segments.variant(x[:1])[0]], kind="stable")]
+        def found(rows: list[tuple]) -> pa.RecordBatch:
+            fps = np.frombuffer(b"".join(r[2] for r in rows), _U)
+            x = np.frombuffer(b"".join(r[0] for r in rows), np.uint16).astype(_U) << _U(54)
+            x = x | np.frombuffer(b"".join(r[1] or bytes(len(r[2])) for r in rows), _U)
+            order = np.lexsort((fps & segments.masks[segments.variant(x)], x))
+            x, fps = x[order], fps[order]
             pairs = list(_linked(x, fps, segments, direct))
             at = np.concatenate([p[0] for p in pairs] or [np.empty(0, np.int64)])
             to = np.concatenate([p[1] for p in pairs] or [np.empty(0, np.int64)])
             kind = (x[at] >> _U(54)).astype(np.int32) // len(segments.variants)
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(fps[at].view(np.int64)), pa.array(fps[to].view(np.int64))], ["kind", "a", "b"])
 
-        key, blobs = None, []
+        now, rows = None, []
         for batch in batches:
-            for *new, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if new != key:
-                    if key is not None:
-                        yield found(key, blobs)
-                    key, blobs = new, []
-                blobs.append(blob)
-        if key is not None:
-            yield found(key, blobs)
-
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    if rows:
+                        yield found(rows)
+                    now, rows = part, []
+                rows.append(row)
+        if rows:
+            yield found(rows)
+
+    schema = "part int, v binary, pairs binary, fps binary"
     if sent is not None:
-        rows = prints.select(F.col("kind").cast("int"), "fp").mapInArrow(index, "part int, x long, fps binary")
+        # a task with few fingerprints would make short rows
+        rows = prints.select(F.col("kind").cast("int"), "fp").coalesce(max(tasks, 1)).mapInArrow(index, schema)
     else:  # too many large values to send: buckets meet their number of blocks in a join
         blocks = stage(_bucket_blocks(large, segments), "blocks")
         keyed = prints.select(F.col("kind").cast("int"), "fp").mapInArrow(plain_index, "x long, fp long")
         keyed = keyed.withColumn("bucket", segments.bucket(F.col("x"), F.col("fp"))).join(blocks, ["x", "bucket"], "left")
-        rows = keyed.select("x", "fp", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")).mapInArrow(deal, "part int, x long, fps binary")
-    return rows.repartition(tasks, "part").sortWithinPartitions("part", "x").mapInArrow(scan, "kind int, a long, b long")
-
-
-def _index_parts(prints: DataFrame, variants: int) -> int:
-    """Tasks for the index, of some 1.3 million entries of 8 bytes."""
-    rows = prints.count() * variants
-    least = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // 1_300_000))
+        rows = keyed.select("x", "fp", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")).mapInArrow(deal, schema)
+    return rows.repartition(max(parts, 1), "part").sortWithinPartitions("part").mapInArrow(scan, "kind int, a long, b long")
 
 
 def components(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
