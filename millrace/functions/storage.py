@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one is made and set only where the session has none (tests, a laptop)."""
+    """The folder in ``spark.checkpoint.dir``; one is made and set only where the session has none and runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         shared = known.get()
