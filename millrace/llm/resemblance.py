@@ -10,7 +10,7 @@
 
 Sets of more than a dozen shingles and similarity 0.8 meet with probability 0.95 (each segment: 0.13), of 0.85 with 0.99, of 0.9 with 0.9997; tests measure it.
 
-Scale: the index has 67 entries of 10 bytes for each fingerprint, its buckets are those of :mod:`.simhash`. Only sets that meet another
+Scale: the index has 21 entries of 10 bytes for each fingerprint, which stand for 67; its buckets are those of :mod:`.simhash`. Only sets that meet another
 are read again, once each. A cluster of more than ``BLOCK`` weight (a node, or each ``HASHES`` hashes of it) is cut into blocks, and each
 pair of blocks is compared by itself: work there grows with the square of the cluster. Within a group, sets that
 are linked are reached breadth first, so a group of like texts costs one pass and only unlike ones cost a pass each.

@@ -11,7 +11,8 @@ gives each link in the one bucket that is responsible for it, a larger one a spa
 set (whole segments) or one link for each two sets it joins (a bit left out; links within either
 side are found under the whole segment). Trees have few children a node, so no node is a hub.
 
-Scale: index entries are packed by the task that makes them, a row for each part with 10 bytes an entry. Exact copies are one fingerprint from the first aggregate on. A bucket of more than ``BLOCK``
+Scale: a fingerprint is sent once for each group of ``TOGETHER`` bits of a segment (21 times at three segments), to where all buckets are
+scanned that leave out one of these bits; they are made there. Entries are packed by the task that makes them, a row for each part with 10 bytes an entry. Exact copies are one fingerprint from the first aggregate on. A bucket of more than ``BLOCK``
 fingerprints is cut into blocks; each pair of blocks is a group of its own of at most ``2 * BLOCK`` rows
 on average, for buckets of up to a thousand million. Which buckets are large follows from counts of whole segments, those above ``BLOCK /
 2`` only; these are sent to the tasks up to ``LARGE_SENT`` and joined beyond.
@@ -36,6 +37,8 @@ from .shared import stage, unstage
 
 WORDS, SEED, MAX_BITS = 4, 42, 4
 BLOCK, SMALL = 4096, 8
+#: Bits of a segment whose variants are scanned in one place: buckets that agree in the segment's other bits.
+TOGETHER = 3
 #: Values of segments that make large buckets, sent to every task up to this number (16 MB); beyond it buckets learn their blocks in a join.
 LARGE_SENT = 1 << 20
 #: Entries of the index that a task makes and packs at once, and that four parts hold.
@@ -80,6 +83,8 @@ class Segments:
 
     A row of the index is ``(x, fp)``; x holds the kind of fingerprint and the variant (9 bits together), and for a bucket that is cut into blocks
     their number and the two blocks that meet (18 bits each). ``masks`` of a variant keep the bits of a fingerprint that make its bucket.
+
+    Sent are entries ``(v, pair, fp)``: v holds the kind and a code, that of a variant or (after those) of a group of variants; pair is the rest of x.
     """
 
     def __init__(self, max_bits: int, count: int | None = None, kinds: int = 1) -> None:
@@ -94,15 +99,46 @@ class Segments:
         self.segment_of = np.array([s for s, _ in self.variants])
         self.bit_of = np.array([0 if b is None else 1 << self.spans[s][0] + b for s, b in self.variants], _U)
         self.masks = self.whole[self.segment_of] & ~self.bit_of
+        # groups: variants that leave out neighbouring bits, a whole segment with its first; a group keeps the bits that none of them leaves out
+        self.group_of = np.empty(len(self.variants), np.int64)
+        self.groups: list[list[int]] = []
+        for s, (lo, width) in enumerate(self.spans):
+            first, n_groups = len(self.groups), max(1, width // TOGETHER)
+            self.groups += [[] for _ in range(n_groups)]
+            for number, (segment, bit) in enumerate(self.variants):
+                if segment == s:
+                    self.group_of[number] = first + ((bit or 0) * n_groups) // width
+                    self.groups[self.group_of[number]].append(number)
+        self.codes = len(self.variants) + len(self.groups)
+        self.group_masks = np.array([self.whole[self.segment_of[g[0]]] & ~np.bitwise_or.reduce(self.bit_of[g]) for g in self.groups], _U)
+        self.group_sizes = np.array([len(g) for g in self.groups])
+        self.group_starts = np.cumsum(self.group_sizes) - self.group_sizes
+        self.by_group = np.concatenate(self.groups)
 
     def variant(self, x: np.ndarray) -> np.ndarray:
         return (x >> _U(54)).astype(np.int64) % len(self.variants)
 
-    def part(self, x: np.ndarray, fps: np.ndarray, parts: int) -> np.ndarray:
-        """Where a row's bucket is scanned, 0 to ``parts`` - 1."""
-        mixed = ((fps & self.masks[self.variant(x)]) ^ (x * _U(0xD6E8FEB86659FD93))) * _U(0x9E3779B97F4A7C15)
+    def part(self, v: np.ndarray, pair: np.ndarray, fps: np.ndarray, parts: int) -> np.ndarray:
+        """Where an entry is scanned, 0 to ``parts`` - 1: a bucket with blocks by itself, all others with their group."""
+        code, n = v % self.codes, len(self.variants)
+        variant, blocks = np.minimum(code, n - 1), pair > 0
+        group = np.where(code < n, self.group_of[variant], code - n)
+        mask = np.where(blocks, self.masks[variant], self.group_masks[group])
+        place = (np.where(blocks, code, n + group) + (v - code)).astype(_U) << _U(48)
+        mixed = ((fps & mask) ^ ((place ^ pair) * _U(0xD6E8FEB86659FD93))) * _U(0x9E3779B97F4A7C15)
         return ((mixed >> _U(32)) % _U(parts)).astype(np.int32)
 
+    def rows(self, v: np.ndarray, pair: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows ``(x, fp)`` of the index that entries stand for."""
+        code, n = v % self.codes, len(self.variants)
+        first = (v // self.codes) * n
+        single, many = np.flatnonzero(code < n), np.flatnonzero(code >= n)
+        sizes = self.group_sizes[code[many] - n]
+        of = np.repeat(many, sizes)
+        at = np.repeat(self.group_starts[code[many] - n], sizes) + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        x = np.concatenate([(first[single] + code[single]).astype(_U) << _U(54) | pair[single], (first[of] + self.by_group[at]).astype(_U) << _U(54)])
+        return x, np.concatenate([fps[single], fps[of]])
+
     def value(self, fps: np.ndarray, segment: int) -> np.ndarray:
         lo, width = self.spans[segment]
         return fps >> _U(lo) & _U((1 << width) - 1)
@@ -133,26 +169,33 @@ def _dealt(x: np.ndarray, fps: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarr
 Counts = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def _index(kind: int, fps: np.ndarray, segments: Segments, large: Counts | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(x, fp) rows of each variant. large: by kind and segment, sorted values and counts of those that make large buckets; None deals no blocks."""
+def _index(kind: int, fps: np.ndarray, segments: Segments, large: Counts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Entries (v, pair, fp). large: by kind and segment, sorted values and counts of those that make large buckets.
+
+    A fingerprint of which no bucket of a group has blocks is sent with the group, others with each variant of it.
+    """
+    first = kind * segments.codes
 
     def count(segment: int, value: np.ndarray) -> np.ndarray:
-        values, counts = large.get((kind, segment), ((), ()))
-        if not len(values):
-            return np.full(len(value), BLOCK // 2)
+        values, counts = large[kind, segment]
         at = np.minimum(np.searchsorted(values, value), len(values) - 1)
         return np.where(values[at] == value, counts[at], BLOCK // 2)
 
-    for number, (segment, bit) in enumerate(segments.variants):
-        x = np.full(len(fps), _U(kind * len(segments.variants) + number) << _U(54))
-        if large is None:
-            yield x, fps
-            continue
-        value = segments.value(fps, segment)
-        members = count(segment, value)
-        if bit is not None:
-            members = members + count(segment, value ^ _U(1 << bit))
-        yield _dealt(x, fps, -(-members // BLOCK))
+    for group, numbers in enumerate(segments.groups):
+        segment, plain = int(segments.segment_of[numbers[0]]), np.ones(len(fps), bool)
+        if (kind, segment) in large:
+            value, blocks = segments.value(fps, segment), []
+            own = count(segment, value)
+            for number in numbers:
+                bit = segments.variants[number][1]
+                members = own if bit is None else own + count(segment, value ^ _U(1 << bit))
+                blocks.append(-(-members // BLOCK))
+            plain = np.max(blocks, axis=0) <= 1
+            for number, n in zip(numbers, blocks):
+                pair, held = _dealt(np.zeros(int((~plain).sum()), _U), fps[~plain], n[~plain])
+                yield np.full(len(held), first + number), pair, held
+        held = fps[plain]
+        yield np.full(len(held), first + len(segments.variants) + group), np.zeros(len(held), _U), held
 
 
 def _sets(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -271,17 +314,16 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None,
     else:
         sent = None
 
-    def packed(x: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        """A row ``(part, v, pairs, fps)`` for each part: its entries end to end, by x. v: kinds and variants; pairs: the rest of x, null without blocks."""
-        part = segments.part(x, fps, parts)
-        order = np.lexsort((x, part))
-        x, fps, part = x[order], fps[order], part[order]
+    def packed(v: np.ndarray, pair: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        """A row ``(part, v, pairs, fps)`` for each part: its entries end to end, by v. pairs is null where no bucket has blocks."""
+        part = segments.part(v, pair, fps, parts)
+        order = np.lexsort((pair, v, part))
+        v, pair, fps, part = v[order], pair[order], fps[order], part[order]
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        ends = np.append(starts, len(x)).astype(np.int32)
-        blob = lambda v: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(v.tobytes())])
-        pair = x & _U((1 << 54) - 1)
+        ends = np.append(starts, len(v)).astype(np.int32)
+        blob = lambda a: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * a.itemsize).astype(np.int32)), pa.py_buffer(a.tobytes())])
         pairs = blob(pair) if pair.any() else pa.nulls(len(starts), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(part[starts]), blob((x >> _U(54)).astype(np.uint16)), pairs, blob(fps)], ["part", "v", "pairs", "fps"])
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), blob(v.astype(np.uint16)), pairs, blob(fps)], ["part", "v", "pairs", "fps"])
 
     tasks = -(-prints.count() * len(segments.variants) // ENTRIES)
     parts = 4 * tasks
@@ -306,21 +348,23 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None,
     def plain_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind, fps = (c.to_numpy() for c in batch.columns)
-            for k in np.unique(kind).tolist():
-                for x, held in _index(k, fps[kind == k].view(_U), segments, None):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(held.view(np.int64))], ["x", "fp"])
+            for number in range(len(segments.variants)):
+                x = (kind.astype(_U) * _U(len(segments.variants)) + _U(number)) << _U(54)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(fps)], ["x", "fp"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, fps, blocks = (c.to_numpy() for c in batch.columns)
             for at in range(0, len(x), 64):
-                yield packed(*_dealt(*(v[at : at + 64].view(t) for v, t in ((x, _U), (fps, _U), (blocks, np.int64)))))
+                made, held = _dealt(*(v[at : at + 64].view(t) for v, t in ((x, _U), (fps, _U), (blocks, np.int64))))
+                kind, variant = np.divmod((made >> _U(54)).astype(np.int64), len(segments.variants))
+                yield packed(kind * segments.codes + variant, made & _U((1 << 54) - 1), held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list[tuple]) -> pa.RecordBatch:
             fps = np.frombuffer(b"".join(r[2] for r in rows), _U)
-            x = np.frombuffer(b"".join(r[0] for r in rows), np.uint16).astype(_U) << _U(54)
-            x = x | np.frombuffer(b"".join(r[1] or bytes(len(r[2])) for r in rows), _U)
+            v = np.frombuffer(b"".join(r[0] for r in rows), np.uint16).astype(np.int64)
+            x, fps = segments.rows(v, np.frombuffer(b"".join(r[1] or bytes(len(r[2])) for r in rows), _U), fps)
             order = np.lexsort((fps & segments.masks[segments.variant(x)], x))
             x, fps = x[order], fps[order]
             pairs = list(_linked(x, fps, segments, direct))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from millrace.llm import pipeline_stages, resemblance, simhash
 from tests.llm.test_operators import brute_components
@@ -86,3 +87,46 @@ def test_one_row_of_a_group_stays(spark):
     one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
     texts = [(5, one), (5, one), (7, one), (None, two), (None, two), (None, three), (9, three), (7, four), (3, four), (7, "alone here")]
     assert kept(spark, texts) == sorted([(5, one), (None, two), (9, three), (3, four), (7, "alone here")], key=str)
+
+
+@pytest.mark.parametrize("block,max_bits,count", [(4096, 4, None), (8, 4, None), (8, 14, 3)])
+def test_groups_of_variants_lose_no_bucket(monkeypatch, block, max_bits, count):
+    """Entries of all tasks, scanned part by part, link what lies within one bit in a segment and ``max_bits`` in all."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, segments, parts = np.random.default_rng(5), simhash.Segments(max_bits, count, 2), 7
+    seeds = rng.integers(0, 1 << 64, 40, np.uint64)
+    near = [s ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, False).astype(np.uint64)) for s in seeds for _ in range(5)]
+    alike = seeds[0] ^ (rng.integers(0, 1 << 20, 60, np.uint64) << np.uint64(44))  # two whole segments in common
+    fps = np.unique(np.concatenate([seeds, np.array(near, np.uint64), alike]))
+    large = {}
+    for kind in range(2):
+        for s in range(len(segments.spans)):
+            values, n = np.unique(segments.value(fps, s), return_counts=True)
+            if (n > block // 2).any():
+                large[kind, s] = values[n > block // 2], n[n > block // 2]
+    entries = [np.concatenate(c) for c in zip(*(e for kind in range(2) for some in np.array_split(fps, 3) for e in simhash._index(kind, some, segments, large)))]
+    assert len(entries[0]) < 2 * len(fps) * len(segments.variants) or large
+    part, found = segments.part(*entries, parts), set()
+    for p in range(parts):
+        x, held = segments.rows(*(c[part == p] for c in entries))
+        order = np.lexsort((held & segments.masks[segments.variant(x)], x))
+        x, held = x[order], held[order]
+        for a, b in simhash._linked(x, held, segments, True):
+            found |= {(int(x[i] >> np.uint64(54)) // len(segments.variants), *sorted((int(held[i]), int(held[j])))) for i, j in zip(a, b)}
+
+    def roots(edges):
+        at = {int(f): int(f) for f in fps}
+        moved = True
+        while moved:
+            moved = False
+            for a, b in edges:
+                low = min(at[a], at[b])
+                moved |= at[a] != low or at[b] != low
+                at[a] = at[b] = low
+        return at
+
+    gaps = fps[:, None] ^ fps[None, :]
+    close = (np.bitwise_count(gaps) <= max_bits) & (np.bitwise_count(gaps[..., None] & segments.whole) <= 1).any(-1)
+    expected = roots([(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(np.triu(close, 1)))])
+    for kind in range(2):
+        assert roots([e[1:] for e in found if e[0] == kind]) == expected
