@@ -166,6 +166,20 @@ def class_labels(df: DataFrame, target: str, most: int = 1000) -> list:
     return found
 
 
+def target_mode(df: DataFrame, target: str) -> str:
+    """``classification`` for a target of exactly two distinct known values, else ``regression``."""
+    distinct = df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).count()
+    return "classification" if distinct == 2 else "regression"
+
+
+def binary_target(df: DataFrame, target: str) -> DataFrame:
+    """``df`` with the target as 0 or 1 where it has exactly two known values: 1 stays, any other value is 0, a missing one stays missing."""
+    if target_mode(df, target) == "regression":
+        return df
+    value = F.col(target)
+    return df.withColumn(target, F.when(value.isNotNull(), F.coalesce((value.try_cast("double") == 1).cast("int"), F.lit(0))))
+
+
 # --- all steps ---
 
 @dataclass

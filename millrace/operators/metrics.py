@@ -37,6 +37,16 @@ def log_loss(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(-F.when(F.col(y) == 1, F.ln(kept)).otherwise(F.ln(1 - kept))).alias("log_loss"))
 
 
+def log_loss_classes(df: DataFrame, y: str, probabilities: str, by: list[str] = ()) -> DataFrame:
+    """Of an array with the probability of each class 0, 1, ...; that of the true class counts, kept 1e-15 away from 0 and 1.
+
+    Rows with a null label or array are left out; a label outside the array has probability 0.
+    """
+    known = df.where(F.col(y).isNotNull() & F.col(probabilities).isNotNull())
+    p = F.coalesce(F.get(probabilities, F.col(y).cast("int")), F.lit(0.0))
+    return known.groupBy(*by).agg(F.avg(-F.ln(F.greatest(F.least(p, F.lit(1 - 1e-15)), F.lit(1e-15)))).alias("log_loss"))
+
+
 def _steps(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
     """``(*by, score, p, n, fp, tp, all_n, all_p)``: positives, negatives, both summed down to the score, and in all; equal scores are one row."""
     known = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
@@ -54,6 +64,26 @@ def roc(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
     return _steps(df, y, score, by).select(*by, score, F.try_divide("fp", "all_n").alias("fpr"), F.try_divide("tp", "all_p").alias("tpr"))
 
 
+def roc_band(df: DataFrame, y: str, score: str, fold: str, points: int = 100) -> DataFrame:
+    """``(i, fpr, mean_tpr, low, high)``: the mean curve of the folds at evenly spaced rates, a standard deviation below and above, within 0 and 1.
+
+    Each fold's curve is drawn straight between its scores; of several heights at one rate the highest counts, but at rate 0 every curve starts at 0.
+    A fold of one label has no curve. Each segment of a curve gives the grid points that it covers, so no fold is gathered anywhere.
+    """
+    curve = _steps(df, y, score, [fold]).where("all_p > 0 and all_n > 0")
+    x1, x0 = F.col("fp") / F.col("all_n"), (F.col("fp") - F.col("n")) / F.col("all_n")
+    y1, y0 = F.col("tp") / F.col("all_p"), (F.col("tp") - F.col("p")) / F.col("all_p")
+    ends = curve.select(fold, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+    step = 1.0 / (points - 1)
+    first, last = F.floor(F.col("x0") / step).cast("long"), F.ceil(F.col("x1") / step).cast("long")
+    over = ends.withColumn("i", F.explode(F.sequence(first, last))).withColumn("fpr", F.col("i") / (points - 1))
+    over = over.where((F.col("fpr") >= F.col("x0")) & (F.col("fpr") <= F.col("x1")) & (F.col("i") < points))
+    height = F.when(F.col("i") == 0, 0.0).when(F.col("x1") == F.col("x0"), F.col("y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    each = over.groupBy(fold, "i").agg(F.max("fpr").alias("fpr"), F.max(height).alias("tpr"))
+    both = each.groupBy("i").agg(F.max("fpr").alias("fpr"), F.avg("tpr").alias("mean_tpr"), F.stddev_pop("tpr").alias("_sd"))
+    return both.select("i", "fpr", "mean_tpr", F.greatest(F.col("mean_tpr") - F.col("_sd"), F.lit(0.0)).alias("low"), F.least(F.col("mean_tpr") + F.col("_sd"), F.lit(1.0)).alias("high"))
+
+
 def auc(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
     """Area under the curve, by trapezoids; null for a group of one label."""
     area = F.col("n") * (2 * F.col("tp") - F.col("p")) / 2

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_folder
+from ..operators import automl as AM
 from ..operators import cleaning as C
 from ..operators import features as X
 from ..operators import linalg as L
+from ..operators import metrics as V
 from ..operators import mixtures as G
 from ..operators import models as M
 from ..operators import neighbours as N
@@ -18,7 +20,7 @@ from ..operators import series as S
 from ..operators import trees as T
 from ..operators.series import hash_folds
 from ..sources import artifacts as A
-from .catalogue import _KD, _POINTS, _SQ, _V, ORACLE_SQL, QUERIES, _gappy, _labelled, _points, _r, _seeds, _table, _vectors, flagship, query
+from .catalogue import _KD, _POINTS, _PREDICTIONS, _SQ, _V, ORACLE_SQL, QUERIES, _gappy, _labelled, _points, _predictions, _r, _seeds, _table, _vectors, flagship, query
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -241,3 +243,48 @@ def model_publish_predict(spark, sf_dir):
     path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
     made.save(spark, path)
     return A.load(spark, path).predict(e.drop("value")).select("event_id", "predicted")
+
+
+# --- from raw table to best model ---
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target FROM orders")
+def clean_binary_target(spark, sf_dir):
+    """A target of the values 1 and 2, with gaps, as 1 and 0."""
+    t = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.when(F.col("o_orderstatus") == "F", 1).otherwise(2)).alias("target"))
+    return C.binary_target(t, "target")
+
+
+@query("SELECT l_linestatus, round(avg(-ln(CASE l_returnflag WHEN 'A' THEN 0.2::DOUBLE + l_discount WHEN 'N' THEN 0.5::DOUBLE - l_discount ELSE 0.3::DOUBLE END)), 6) AS log_loss FROM lineitem GROUP BY l_linestatus")
+def metric_logloss_classes(spark, sf_dir):
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    t = _table(spark, sf_dir, "lineitem").select("l_linestatus", label.alias("y"), F.array(F.lit(0.2) + F.col("l_discount"), F.lit(0.5) - F.col("l_discount"), F.lit(0.3)).alias("p"))
+    return V.log_loss_classes(t, "y", "p", ["l_linestatus"]).select("l_linestatus", _r("log_loss").alias("log_loss"))
+
+
+@query(f"""WITH {_PREDICTIONS}, g AS (SELECT l_linestatus, score, sum(y)::DOUBLE AS p, (count(*) - sum(y))::DOUBLE AS n FROM p GROUP BY ALL),
+    c AS (SELECT l_linestatus, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER s AS all_p, sum(n) OVER s AS all_n FROM g WINDOW w AS (PARTITION BY l_linestatus ORDER BY score DESC), s AS (PARTITION BY l_linestatus)),
+    e AS (SELECT l_linestatus, (fp - n) / all_n AS x0, fp / all_n AS x1, (tp - p) / all_p AS y0, tp / all_p AS y1 FROM c WHERE all_p > 0 AND all_n > 0),
+    o AS (SELECT l_linestatus, i, i / 99::DOUBLE AS fpr, max(CASE WHEN i = 0 THEN 0 WHEN x1 = x0 THEN y1 ELSE y0 + (y1 - y0) * (i / 99::DOUBLE - x0) / (x1 - x0) END) AS tpr FROM e JOIN range(0, 100) r(i) ON i / 99::DOUBLE BETWEEN x0 AND x1 GROUP BY l_linestatus, i)
+    SELECT i, round(fpr, 6) AS fpr, round(avg(tpr), 6) AS mean_tpr, round(greatest(avg(tpr) - stddev_pop(tpr), 0), 6) AS low, round(least(avg(tpr) + stddev_pop(tpr), 1), 6) AS high FROM o GROUP BY i, fpr""")
+def metric_roc_band(spark, sf_dir):
+    """The mean curve on 100 points, a fold for each line status, with a band of a standard deviation."""
+    t = V.roc_band(_predictions(spark, sf_dir), "y", "score", "l_linestatus")
+    return t.select("i", *[_r(c).alias(c) for c in ("fpr", "mean_tpr", "low", "high")])
+
+
+def _balances(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("nation"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("building"), (F.col("c_custkey") % 7).cast("double").alias("rest"), (F.col("c_acctbal") / 1000).alias("balance"), (F.col("c_acctbal") + 500 * F.col("c_nationkey") > 10000).cast("int").alias("rich"))
+
+
+@query()
+def automl_best(spark, sf_dir):
+    """Cleaning, feature sets, comparison of three families, search and publication; the ledger, best worst case first."""
+    found = AM.best_model(_balances(spark, sf_dir), "c_custkey", ["nation", "building", "rest", "balance"], "rich", models=["ridge", "tree", "forest"])
+    return M.ledger(spark, found.ledger).drop("mean_time", "std_time")
+
+
+@query()
+def feat_sets(spark, sf_dir):
+    """The features of each set: predictive power, and the two rules on forest importances."""
+    sets = AM.feature_sets(_balances(spark, sf_dir), ["nation", "building", "rest", "balance"], "rich", 2, "c_custkey")
+    return spark.createDataFrame([(name, f) for name, some in sets.items() for f in some], "name string, feature string")
