@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .simhash import shingle_hashes
 
 WORDS, SEED, SCALE, LEAST = 5, 42, 8, 64
-#: Rows of a range in :func:`compare_with_next`, and the most ranges (16 bytes each are sent to every task).
-RANGE_DOCS, MOST_RANGES = 4000, 1 << 20
+#: Weight of a range in :func:`compare_with_next` (1 a row and 1 for each ``UNIT`` bytes of its text), and the most ranges (16 bytes each are
+#: sent to every task).
+RANGE_WEIGHT, UNIT, MOST_RANGES = 8000, 2048, 1 << 20
 _ALL = (1 << 64) - 1
 
 
@@ -86,19 +87,22 @@ def fingerprint_documents(docs: DataFrame, words: int = WORDS, seed: int = SEED,
 def compare_with_next(docs: DataFrame, parts: int | None = None, words: int = WORDS, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
     """Each document against its edited text and against the next document, by descending id.
 
-    The next document of the last is the first. Rows are dealt to ranges of (id, hash of the text), of about ``RANGE_DOCS`` rows each unless ``parts`` says
-    how many, and sorted there; the first row of a range is also sent to the range before, so each range has the row that
-    comes after its last. Spark's range partitioning of the narrow keys finds the ranges, and each task is sent where
-    they start: two numbers a range, of at most ``MOST_RANGES``. Equal ids are ordered by the hash of their text, null ids come last.
+    The next document of the last is the first. Rows are dealt to ranges of (id, hash of the text), of about ``RANGE_WEIGHT`` each unless ``parts`` says
+    how many, one range a task, and sorted there; the first row of a range is also sent to the range before, so each range has the row that
+    comes after its last. Spark's range partitioning of the narrow keys, repeated by weight, finds the ranges, and each task is sent
+    where they start: two numbers a range, of at most ``MOST_RANGES``. Equal ids are ordered by the hash of their text, null ids come last.
     """
     spark = docs.sparkSession
+    weight = lambda text: (1 + F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / UNIT)).cast("int")
     if parts is None:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_DOCS))
+        total = docs.agg(F.sum(weight(text_col)).alias("n")).first()["n"] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_WEIGHT))
     parts = min(parts, MOST_RANGES)
     # ascending (at, tie) is descending ids, nulls last
     at = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     plain = docs.select(at.alias("at"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = plain.select("at", "tie").repartitionByRange(parts, "at", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("at", "tie")).alias("first"))
+    weighed = plain.select("at", "tie", F.explode(F.array_repeat(F.lit(True), weight("text"))))
+    ranges = weighed.select("at", "tie").repartitionByRange(parts, "at", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("at", "tie")).alias("first"))
     starts = ranges.select("first.at", "first.tie").toArrow().to_pandas().sort_values(["at", "tie"]).to_records(index=False)
     sent = spark.sparkContext.broadcast(np.array(starts.tolist(), [("at", "<i8"), ("tie", "<i8")]))
 
@@ -114,7 +118,7 @@ def compare_with_next(docs: DataFrame, parts: int | None = None, words: int = WO
         return pd.Series(own)
 
     sent_to = plain.withColumn("x", F.explode(dealt_to("at", "tie"))).select("x.to", "x.own", "at", "tie", "doc_id", "text")
-    dealt = sent_to.repartition(parts, "to").sortWithinPartitions("to", F.col("own").desc(), "at", "tie", "text").select("to", "own", "doc_id", "text")
+    dealt = sent_to.repartitionById(max(1, len(starts)), "to").sortWithinPartitions("to", F.col("own").desc(), "at", "tie", "text").select("to", "own", "doc_id", "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(7)]
