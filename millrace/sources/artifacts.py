@@ -49,7 +49,7 @@ class Published:
             predicted = vector_to_array("probability")[1]
         else:
             predicted = F.col("prediction")
-        return scored.withColumn("predicted", predicted).drop("_features", "rawPrediction", "probability", "prediction")
+        return scored.withColumn("predicted", predicted).drop("_features", "_scaled", "_waves", "rawPrediction", "probability", "prediction")
 
     def save(self, spark: SparkSession, path: str) -> None:
         text = json.dumps({"plan": asdict(self.plan), "specs": [s.name for s in self.specs], "features": self.features, "target": self.target, "scales": self.scales, "target_scale": self.target_scale, "classes": self.classes})
