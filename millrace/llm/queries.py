@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, line_dedup, packing, simhash, sketch, token_store, toxicity, warc
+from . import ann, bpe, chat, delta_lloyd, line_dedup, merkle, packing, simhash, sketch, token_store, toxicity, tree_bpe, warc
 from .shared import documents, new_path
 
 
@@ -66,8 +66,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(documents(spark, sf_dir))
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.encode_documents(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_packing, op3_warc, op4_byte_bpe, op5_token_files, op6_chat, op7_simhash, op8_fingerprints, op9_nearest, op10_toxicity)
+    f.__name__: f
+    for f in (op1_line_dedup, op2_packing, op3_warc, op4_byte_bpe, op5_token_files, op6_chat, op7_simhash, op8_fingerprints, op9_nearest, op10_toxicity, op11_merkle, op12_tree_bpe, op13_delta_lloyd)
 }
 
 _KEY = """translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -108,4 +121,6 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(string_agg((a_end - length(a) + 14)::BIGINT || '-' || (a_end - 1)::BIGINT, ',' ORDER BY pos) FILTER (NOT shared AND role = 'assistant'), '') AS chosen_loss,
                coalesce(string_agg((b_end - length(b) + 14)::BIGINT || '-' || (b_end - 1)::BIGINT, ',' ORDER BY pos) FILTER (NOT shared AND role = 'assistant'), '') AS rejected_loss
         FROM placed GROUP BY conv_id, alone""",
+    "op11_merkle": merkle.oracle_sql(),
+    "op13_delta_lloyd": delta_lloyd.oracle_sql(),
 }
