@@ -6,7 +6,7 @@ before. Vectors whose owner moved carry their components along; these signed tra
 aggregated in integers and added to the global sums, so no round sums all vectors. Rounds stop early once no centroid changes, since the rest would repeat.
 
 **Scale.** Vectors are written once, bucketed by row number; a round's assignments (ids, owner, distance; components only of vectors that moved) are written
-with the same buckets, so a round joins the two bucket by bucket and shuffles no vector. Sums are partial in each task; ``k * dims`` of them reach
+with the same buckets by the tasks that made them, so a round joins the two bucket by bucket and shuffles nothing. Sums are partial in each task; ``k * dims`` of them reach
 the driver. Rounds read only staged tables: a lost executor costs its tasks. Work is rows times changed centroids.
 
 **Defined cases.** Vectors that are null, of another length, or hold null, NaN or infinite components take no part. Null ids are kept, and start no centroid while
@@ -81,7 +81,7 @@ class Rounds:
     def __init__(self, vectors: DataFrame, k: int, dims: int, seed: str, buckets: int | None = None) -> None:
         self.spark, self.dims = vectors.sparkSession, dims
         self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.vectors = self._write(vectors, "vectors")
+        self.vectors = self._write(vectors, "vectors", spread=True)
         first = self.spark.table(self.vectors).withColumn("at", F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")), 256))
         seeds = first.orderBy(F.col("at").asc_nulls_last(), "x").limit(k).select("x").collect()
         self.centroids = [[int(v) for v in r["x"]] for r in seeds]
@@ -89,9 +89,9 @@ class Rounds:
         self.sums = self.spark.createDataFrame([], "cluster int, component int, total decimal(38,0), n decimal(38,0)")
         self.assigned: str | None = None
 
-    def _write(self, rows: DataFrame, name: str) -> str:
+    def _write(self, rows: DataFrame, name: str, spread: bool = False) -> str:
         table = f"{name}_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "row").write.bucketBy(self.buckets, "row").sortBy("row").option("path", new_path(self.spark, name)).saveAsTable(table)
+        (rows.repartition(self.buckets, "row") if spread else rows).write.bucketBy(self.buckets, "row").sortBy("row").option("path", new_path(self.spark, name)).saveAsTable(table)
         return table
 
     def _drop(self, table: str) -> None:
