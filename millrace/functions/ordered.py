@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .storage import checkpointed
 
+#: places of a stretch of one long series
+CHUNK = 1 << 16
+
 #: how the running value of a range of rows is joined with that of all ranges before it
 _MERGE: dict[str, Callable[[Column, Column], Column]] = {
     "sum": lambda before, own: F.coalesce(before, F.lit(0)) + own,
@@ -51,6 +54,24 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> Dat
     return running(df, groups, order, {name: ("sum", F.lit(1).cast("long"))})
 
 
+def along(df: DataFrame, order: list[str], by: list[str], before: int, after: int, build: Callable[[DataFrame, WindowSpec], DataFrame], spread: bool | None = None, chunk: int = CHUNK) -> DataFrame:
+    """``build(frame, window)`` over rows in ``order``, for windows that reach ``before`` rows back and ``after`` rows ahead; ``build`` adds columns and keeps rows.
+
+    One long series (no ``by``, or ``spread`` for entities that may hold most rows) is cut into stretches of ``chunk`` places, each with a
+    halo: the last ``before`` rows of the stretch before it and the first ``after`` of the next. A row's window lies in its own stretch and halo, so
+    any length is spread over tasks and at most three copies of a row are made. Else each entity is one window partition.
+    """
+    if by and not spread:
+        return build(df, Window.partitionBy(*by).orderBy(*order))
+    size = max(chunk, before, after, 1)
+    placed = ranked(df, list(by), list(order), "_place")
+    within, slot = (F.col("_place") - 1) % size, F.floor((F.col("_place") - 1) / size)
+    slots = F.array_compact(F.array(slot, F.when((within < after) & (slot > 0), slot - 1), F.when(within >= size - before, slot + 1)))
+    haloed = placed.withColumn("_own", slot).withColumn("_slot", F.explode(slots))
+    made = build(haloed, Window.partitionBy(*by, "_slot").orderBy("_place"))
+    return made.where(F.col("_own") == F.col("_slot")).drop("_own", "_slot", "_place")
+
+
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float] | None]:
     """Exact quantiles of each column (linear between neighbours); None for a column without values.
 

@@ -17,6 +17,7 @@ from . import cleaning as C
 from . import features as X
 from . import models as M
 from . import trees as T
+from .models import worst_case
 from .series import hash_folds
 
 
@@ -31,10 +32,6 @@ class Found:
     published: Published
 
 
-def worst_case(row: dict) -> float:
-    return row["mean_objective"] - row["std_objective"]
-
-
 def scorer_of(classes: int | None) -> str:
     return "neg_mae" if classes is None else "accuracy"
 
@@ -52,9 +49,27 @@ def feature_sets(data: DataFrame, features: list[str], target: str, classes: int
     return {name: some for name, some in sets.items() if some}
 
 
+def derive(data: DataFrame, features: list[str], target: str, classes: int | None, ops: tuple[str, ...] = ("x", "d"), threshold: float = 0.95, most: int = 50) -> tuple[list[str], list[X.FeatureSpec]]:
+    """The original features that stay and the accepted recipes.
+
+    The later one of two colinear columns goes. Products and ratios (``ops``) of the others are scored by a depth-3 tree on each, and those that beat every
+    original feature are accepted, ``most`` at most. All candidates are scored in one job. ``data`` has numbers without nulls.
+    """
+    gone = set(X.colinear(data, features, threshold)) if len(features) > 1 else set()
+    stay = [f for f in features if f not in gone]
+    specs = X.candidates(stay, ops)
+    if not specs:
+        return stay, []
+    made = X.apply_specs(data.withColumn("y", F.col(target).cast("double")), specs)
+    long = X.melt(made, [*features, *[s.name for s in specs]], ["y"])
+    scores = T.regression_scores(long) if classes is None else T.binary_scores(long)
+    accepted = {r["feature"] for r in X.accept_each(scores.withColumn("component", F.lit(0)), features, most).collect()}
+    return stay, [s for s in specs if s.name in accepted]
+
+
 def top_settings(ledger: list[dict], top: int = 3, done: set[tuple] = frozenset()) -> list[dict]:
-    """The first ``top`` rows by worst case, names break ties; pairs of model and data set in ``done`` are skipped."""
-    order = sorted(ledger, key=lambda r: (-worst_case(r), r["model"], r["dataset"]))
+    """The first ``top`` rows by worst case, names break ties, NaN last; pairs of model and data set in ``done`` are skipped."""
+    order = sorted((r for r in ledger if r.get("resource", 1.0) >= 1.0), key=lambda r: (-worst_case(r), r["model"], r["dataset"]))
     return [r for r in order[:top] if (r["model"], r["dataset"]) not in done]
 
 
@@ -88,19 +103,34 @@ def production_score(published: Published, df: DataFrame) -> float | None:
     return rows.agg(F.avg((label == truth).cast("double")).alias("s")).first()["s"]
 
 
-def best_model(df: DataFrame, key: str, numbers: list[str], target: str, folds: int = 3, models: list[str] | None = None, top: int = 1, candidates: int = 4, missing: str = "mean") -> Found:
-    """Clean, choose feature sets, compare models on each, search the best and fit the winner to all rows with a target.
-
-    Two distinct known target values make a classification (1 against the other), all others a regression. Without a target value anywhere it raises.
+def best_model(
+    df: DataFrame,
+    key: str,
+    numbers: list[str],
+    target: str,
+    folds: int = 3,
+    models: list[str] | None = None,
+    top: int = 1,
+    candidates: int = 4,
+    missing: str = "mean",
+    ops: tuple[str, ...] = ("x", "d"),
+) -> Found:
+    """Clean, derive features, choose feature sets, compare models on each, search the best and fit the winner to all rows with a target.
+
+    Two distinct known target values make a classification (1 against the other), all others a regression. Without a target value anywhere it raises. Only scores over
+    all rows compete, and a score that is not a number never wins. The winner is published with the recipes of its set.
     """
     mode = C.target_mode(df, target)
     classes = 2 if mode == "classification" else None
-    raw = checkpointed(C.binary_target(df, target).where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double")))
+    raw = C.binary_target(df, target).withColumn(target, F.nanvl(F.col(target).cast("double"), F.lit(None)))
+    raw = checkpointed(raw.where(F.col(target).isNotNull()))
     if raw.isEmpty():
         raise ValueError(f"{target} has no values")
     plan = C.fit(raw, numbers, missing=missing, order=[key], target=target)
     clean = checkpointed(plan.apply(raw).na.fill(0.0, subset=[c for c in numbers if c not in plan.dropped]))
-    usable = [c for c in numbers if c not in plan.dropped]
+    usable, specs = derive(clean, [c for c in numbers if c not in plan.dropped], target, classes, ops)
+    clean = checkpointed(X.apply_specs(clean, specs))
+    usable = usable + [s.name for s in specs]
     sets: dict[str, list[str]] = {}
     for name, some in (feature_sets(clean, usable, target, classes, key) or {"all": usable}).items():
         if sorted(some) not in [sorted(s) for s in sets.values()]:  # equal sets are compared once
@@ -110,6 +140,7 @@ def best_model(df: DataFrame, key: str, numbers: list[str], target: str, folds:
     made = {n: m for n, m in M.registry(classes).items() if models is None or n in models}
     ledger = [row for name, rows in data.items() for row in M.compare(rows, name, made, folds, scorer_of(classes))]
     ledger += optimise(data, ledger, classes, key, folds, top=top, candidates=candidates)
-    best = max(ledger, key=lambda r: (worst_case(r), r["model"], r["dataset"]))
-    published = publish(raw, plan, [], sets[best["dataset"]], target, classes, best["model"], json.loads(best["params"]))
+    best = M.best_of(ledger)
+    used = [s for s in specs if s.name in sets[best["dataset"]]]
+    published = publish(raw, plan, used, sets[best["dataset"]], target, classes, best["model"], json.loads(best["params"]))
     return Found(mode, sets, ledger, best, published)

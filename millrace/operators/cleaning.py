@@ -155,20 +155,26 @@ def not_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(finite(F.col(c).cast("double")).isNull()).alias(c) for c in columns])
 
 
+def _known(df: DataFrame, target: str) -> DataFrame:
+    """Rows whose target is neither null nor NaN."""
+    fractional = dict(df.dtypes)[target] in ("float", "double")
+    return df.where(F.col(target).isNotNull() & ~F.isnan(target) if fractional else F.col(target).isNotNull())
+
+
 def class_labels(df: DataFrame, target: str, most: int = 1000) -> list:
-    """The classes of ``target`` in order. Numeric classes have to be 0, 1, 2, ... without a gap, else this is an error; nulls do not count."""
-    rows = df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy(target).limit(most + 1).collect()
+    """The classes of ``target`` in order. Numeric classes have to be 0, 1, 2, ... without a gap, else this is an error; nulls and NaN do not count."""
+    rows = _known(df, target).groupBy(target).count().orderBy(target).limit(most + 1).collect()
     found = [r[0] for r in rows]
     if len(found) > most:
         raise ValueError(f"{target} has more than {most} classes")
-    if found and not isinstance(found[0], str) and [int(v) for v in found] != list(range(len(found))):
+    if found and not isinstance(found[0], str) and [float(v) for v in found] != [float(i) for i in range(len(found))]:
         raise ValueError(f"the classes of {target} are not 0 to {len(found) - 1}")
     return found
 
 
 def target_mode(df: DataFrame, target: str) -> str:
-    """``classification`` for a target of exactly two distinct known values, else ``regression``."""
-    distinct = df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).count()
+    """``classification`` for a target of exactly two distinct known values, else ``regression``; NaN is not known."""
+    distinct = _known(df, target).select(target).distinct().limit(3).count()
     return "classification" if distinct == 2 else "regression"
 
 
@@ -176,7 +182,8 @@ def binary_target(df: DataFrame, target: str) -> DataFrame:
     """``df`` with the target as 0 or 1 where it has exactly two known values: 1 stays, any other value is 0, a missing one stays missing."""
     if target_mode(df, target) == "regression":
         return df
-    value = F.col(target)
+    fractional = dict(df.dtypes)[target] in ("float", "double")
+    value = F.nanvl(F.col(target), F.lit(None)) if fractional else F.col(target)
     return df.withColumn(target, F.when(value.isNotNull(), F.coalesce((value.try_cast("double") == 1).cast("int"), F.lit(0))))
 
 

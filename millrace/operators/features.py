@@ -7,10 +7,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import combinations, permutations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running
+from ..functions.ordered import along, running
 from ..functions.storage import checkpointed
 from .cleaning import BOUND, clip
 
@@ -42,7 +42,7 @@ class FeatureSpec:
             return cls(parts[1], (parts[0], parts[2]))
         raise ValueError(f"{name} is no derived feature")
 
-    def expr(self, order: list[str] = (), by: list[str] = (), look_ahead: bool = False) -> Column:
+    def expr(self, order: list[str] = (), by: list[str] = (), look_ahead: bool = False, window: WindowSpec | None = None) -> Column:
         a, b = F.col(self.inputs[0]), F.col(self.inputs[-1])
         if self.op == "x":
             return bounded(a * b)
@@ -54,7 +54,7 @@ class FeatureSpec:
             return bounded(a - b)
         if self.op in ("sin", "cos"):
             return bounded(getattr(F, self.op)(a))
-        w = Window.partitionBy(*by).orderBy(*order)
+        w = window if window is not None else Window.partitionBy(*by).orderBy(*order)
         if self.op == "lag":
             return F.coalesce((F.lead if look_ahead else F.lag)(a, self.k).over(w), F.lit(0.0))
         return bounded(difference(a, self.k, w))
@@ -77,7 +77,7 @@ def difference(a: Column, k: int, w: Window) -> Column:
         term = F.lit(float(coefficient)) * (F.lag(a, i).over(w) if i else a)
         total = term if total is None else total + term
         coefficient = -coefficient * (k - i) // (i + 1)
-    return F.when(F.row_number().over(w) > k, total).otherwise(0.0)
+    return F.when(F.lag(F.lit(1), k).over(w).isNotNull(), total).otherwise(0.0) if k else total
 
 
 def candidates(columns: list[str], ops: Iterable[str] = ("x", "d")) -> list[FeatureSpec]:
@@ -92,11 +92,15 @@ def candidates(columns: list[str], ops: Iterable[str] = ("x", "d")) -> list[Feat
     return out
 
 
-def apply_specs(df: DataFrame, specs: list[FeatureSpec], order: list[str] = (), by: list[str] = ()) -> DataFrame:
-    """All recipes in one projection; inputs that are missing count as 0."""
+def apply_specs(df: DataFrame, specs: list[FeatureSpec], order: list[str] = (), by: list[str] = (), look_ahead: bool = False, spread: bool | None = None) -> DataFrame:
+    """All recipes in one projection; inputs that are missing count as 0. Lags and differences of one long series (no ``by``) run over stretches with halos."""
     missing = {c for s in specs for c in s.inputs if c not in df.columns}
     df = df.withColumns({c: F.lit(0.0) for c in sorted(missing)}) if missing else df
-    return df.select("*", *[s.expr(order, by).alias(s.name) for s in specs])
+    reach = max([s.k for s in specs if s.op in ("diff", "lag")], default=0)
+    if not reach:
+        return df.select("*", *[s.expr(order, by).alias(s.name) for s in specs])
+    ahead = reach if look_ahead else 0
+    return along(df, list(order), list(by), reach, ahead, lambda rows, w: rows.select("*", *[s.expr(order, by, look_ahead, w).alias(s.name) for s in specs]), spread)
 
 
 def melt(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -141,6 +145,23 @@ def accept(scores: DataFrame, originals: list[str], most: int = 50) -> DataFrame
     return better.select("feature", "accuracy").orderBy(F.desc("accuracy"), "feature").limit(most)
 
 
+def accept_each(scores: DataFrame, originals: list[str], most: int = 50) -> DataFrame:
+    """``(feature, component, score, rank)`` of derived features that beat the baseline, from ``(feature, component, score)``.
+
+    The baseline of a component (a class, or one component for all) is the best score that any original feature has in it. A derived feature is accepted if it
+    scores strictly above the baseline in any component; of the accepted ones the ``most`` best of each component stay, names break ties, and a feature that is among
+    them in several components has a row for each. Null and NaN scores beat nothing.
+    """
+    known = scores.where("score is not null and not isnan(score)")
+    original = F.col("feature").isin(originals)
+    base = known.where(original).groupBy("component").agg(F.max("score").alias("_base"))
+    derived = known.where(~original).join(base.withColumnRenamed("component", "_c"), F.col("component").eqNullSafe(F.col("_c")), "left")
+    passed = derived.where("_base is null or score > _base").select("feature").distinct()
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("score"), "feature"))
+    kept = derived.join(passed, "feature").select("feature", "component", "score", place.alias("rank"))
+    return kept.where(F.col("rank") <= most)
+
+
 def centre_distances(vector: Column, centres: list[list[float]]) -> list[Column]:
     """Euclidean distance to each centre, ``dist__i_K``; centres are constants of the plan."""
     out = []

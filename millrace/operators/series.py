@@ -1,16 +1,17 @@
 """Scaling, sequence windows, folds, and the statistics behind exploratory plots of series.
 
-Order-dependent operators take a total ``order`` and entities ``by``; each entity is one window partition.
+Order-dependent operators take a total ``order`` and entities ``by``; each entity is one window partition. Without entities, or where ``spread`` says that
+one may hold most rows, a series is cut into stretches with halos (``functions/ordered.py``), so no task sees the whole of it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.ordered import ranked
+from ..functions.ordered import along, ranked, running
 
 
 # --- scaling ---
@@ -31,17 +32,27 @@ def restore(c: Column, scale: tuple[float, float]) -> Column:
 
 # --- sequences ---
 
-def sequences(df: DataFrame, inputs: list[str], target: str, back: int, forward: int, shift: int, order: list[str], by: list[str] = (), diff: str = "none") -> DataFrame:
+def sequences(df: DataFrame, inputs: list[str], target: str, back: int | list[int], forward: int | list[int], shift: int, order: list[str], by: list[str] = (), diff: str = "none", spread: bool | None = None) -> DataFrame:
     """Input rows t-back..t and target rows t+shift+1..t+shift+forward, as arrays; incomplete rows are left out.
 
+    Lists name the rows themselves: ``back`` [0, 2, 5] takes rows t-5, t-2 and t, ``forward`` [1, 7] rows t+shift+1 and t+shift+7.
     ``diff`` takes values, differences (``diff``) or differences of logarithms (``logdiff``).
     """
-    w = Window.partitionBy(*by).orderBy(*order)
+    behind = sorted(range(back + 1) if isinstance(back, int) else back, reverse=True)
+    ahead = list(range(1, forward + 1)) if isinstance(forward, int) else list(forward)
+    if min([*behind, shift], default=0) < 0:
+        raise ValueError("rows behind and the shift are counted from 0")
     value = (lambda c: F.when(F.col(c) > 0, F.ln(c))) if diff == "logdiff" else F.col
-    step = (lambda c, i: _at(value(c), i, w)) if diff == "none" else (lambda c, i: _at(value(c), i, w) - _at(value(c), i - 1, w))
-    x = F.array(*[F.array(*[step(c, -i) for c in inputs]) for i in range(back, -1, -1)])
-    y = F.array(*[step(target, shift + i) for i in range(1, forward + 1)])
-    made = df.select(*by, *[o for o in order if o not in by], x.alias("x"), y.alias("y"))
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        step = (lambda c, i: _at(value(c), i, w)) if diff == "none" else (lambda c, i: _at(value(c), i, w) - _at(value(c), i - 1, w))
+        x = F.array(*[F.array(*[step(c, -i) for c in inputs]) for i in behind])
+        y = F.array(*[step(target, shift + i) for i in ahead])
+        return rows.select("*", x.alias("_x"), y.alias("_y"))
+
+    reach = [-b - (diff != "none") for b in behind] + [shift + f for f in ahead] + [shift + f - 1 for f in ahead if diff != "none"]
+    made = along(df, list(order), list(by), max(0, -min(reach)), max(0, *reach), build, spread)
+    made = made.select(*by, *[o for o in order if o not in by], F.col("_x").alias("x"), F.col("_y").alias("y"))
     whole = F.forall("x", lambda r: F.forall(r, lambda v: v.isNotNull())) & F.forall("y", lambda v: v.isNotNull())
     return made.where(whole)
 
@@ -50,24 +61,70 @@ def _at(c: Column, i: int, w: Window) -> Column:
     return c if i == 0 else F.lead(c, i).over(w) if i > 0 else F.lag(c, -i).over(w)
 
 
-def revert(df: DataFrame, change: str, level: str, order: list[str], by: list[str] = (), log: bool = False) -> DataFrame:
-    """Levels from predicted changes: the level of the row before, plus the change (times its exponential for ``log``)."""
-    before = F.lag(level).over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("reverted", before * F.exp(change) if log else before + F.col(change))
+def revert(df: DataFrame, change: str, level: str, order: list[str], by: list[str] = (), log: bool = False, spread: bool | None = None) -> DataFrame:
+    """Levels from predicted changes, a step from the true level: that of the row before, plus the change (times its exponential for ``log``)."""
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        before = F.lag(level).over(w)
+        return rows.withColumn("reverted", before * F.exp(change) if log else before + F.col(change))
+
+    return along(df, list(order), list(by), 1, 0, build, spread)
 
 
-def lagged(df: DataFrame, columns: list[str], back: list[int], order: list[str], by: list[str] = (), diff: bool = False) -> DataFrame:
+def integrate(df: DataFrame, change: str, level: str, order: list[str], by: list[str] = (), times: int = 1, log: bool = False) -> DataFrame:
+    """``reverted``: levels from ``times``-th differences over any number of steps, started anew at every known ``level``.
+
+    Running sums are carried over ranges of rows, one pass for each order, so a series of any length is spread over tasks. ``level`` is null where it is not known:
+    rows after a known level add up the changes since; a difference of order j starts anew where j + 1 levels in a row are known, so ``times`` known
+    levels in a row start everything. Rows before that have null; a missing change counts as 0. ``log`` takes differences of logarithms, and levels that are not positive as unknown.
+    """
+    if times < 1:
+        raise ValueError("integrate at least once")
+    known = F.when(F.col(level) > 0, F.ln(level)) if log else F.col(level).cast("double")
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        found = rows.withColumn("_known", known)
+        return found.withColumns({f"_d{j}": _difference(F.col("_known"), j, w) for j in range(times)}).drop("_known")
+
+    rows, value = along(df, list(order), list(by), times, 0, build, True), F.col(change).cast("double")
+    for j in range(times - 1, -1, -1):
+        rows = rows.withColumn("_change", F.coalesce(value, F.lit(0.0)))
+        summed = running(rows, list(by), list(order), {"_place": ("sum", F.lit(1)), "_sum": ("sum", F.col("_change"))})
+        start = F.when(F.col(f"_d{j}").isNotNull(), F.struct("_place", F.col(f"_d{j}").alias("known"), "_sum"))
+        rows = running(summed, list(by), list(order), {"_start": ("max", start)})
+        rows = rows.withColumn("_value", F.col("_start.known") + (F.col("_sum") - F.col("_start._sum"))).drop("_start", "_sum", "_place", "_change", f"_d{j}")
+        value = F.col("_value")
+    return rows.withColumn("reverted", F.exp("_value") if log else F.col("_value")).drop("_value")
+
+
+def _difference(c: Column, k: int, w: WindowSpec) -> Column:
+    """The k-th difference along ``w``, null unless all its rows are known."""
+    total, coefficient = None, 1
+    for i in range(k + 1):
+        term = F.lit(float(coefficient)) * (F.lag(c, i).over(w) if i else c)
+        total = term if total is None else total + term
+        coefficient = -coefficient * (k - i) // (i + 1)
+    return total
+
+
+def lagged(df: DataFrame, columns: list[str], back: list[int], order: list[str], by: list[str] = (), diff: bool = False, spread: bool | None = None) -> DataFrame:
     """Columns ``name_b``: the value b rows before; with ``diff`` ``name_d_b``: that value less the present one. Rows without all of them are left out."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    made = {f"{c}_d_{b}" if diff else f"{c}_{b}": _at(F.col(c), -b, w) - F.col(c) if diff else _at(F.col(c), -b, w) for c in columns for b in back}
-    return df.withColumns(made).na.drop("any", subset=list(made))
+    names = [f"{c}_d_{b}" if diff else f"{c}_{b}" for c in columns for b in back]
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rows.withColumns({n: _at(F.col(c), -b, w) - F.col(c) if diff else _at(F.col(c), -b, w) for n, (c, b) in zip(names, [(c, b) for c in columns for b in back])})
 
+    return along(df, list(order), list(by), max(0, *back), max(0, *[-b for b in back]), build, spread).na.drop("any", subset=names)
 
-def output_windows(df: DataFrame, column: str, size: int, order: list[str], by: list[str] = ()) -> DataFrame:
+
+def output_windows(df: DataFrame, column: str, size: int, order: list[str], by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """``window``: the values of this row and the ``size`` - 1 after it; the last rows, which have fewer, are left out."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    made = df.withColumn("window", F.array(*[_at(F.col(column), i, w) for i in range(size)])).withColumn("_last", F.lead(F.lit(1), size - 1).over(w) if size > 1 else F.lit(1))
-    return made.where("_last is not null").drop("_last")
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        made = rows.withColumn("window", F.array(*[_at(F.col(column), i, w) for i in range(size)]))
+        return made.withColumn("_last", F.lead(F.lit(1), size - 1).over(w) if size > 1 else F.lit(1))
+
+    return along(df, list(order), list(by), 0, size - 1, build, spread).where("_last is not null").drop("_last")
 
 
 def plot_rows(df: DataFrame, key: str, target: str, most: int = 10_000) -> DataFrame:
@@ -110,9 +167,9 @@ def hash_folds(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
 
 def autocorrelation(df: DataFrame, column: str, lags: list[int], order: list[str], by: list[str]) -> DataFrame:
     """``(*by, lag, acf)``: centred products over the centred sum of squares, one window pass for all lags."""
-    centred = df.withColumn("_c", F.col(column) - F.avg(column).over(Window.partitionBy(*by)))
-    w = Window.partitionBy(*by).orderBy(*order)
-    products = centred.select(*by, "_c", *[(F.col("_c") * F.lag("_c", k).over(w)).alias(f"_l{k}") for k in lags])
+    mean = F.avg(column).over(Window.partitionBy(*by)) if by else F.lit(df.agg(F.avg(column).alias("m")).first()["m"])
+    centred = df.select(*by, *[o for o in order if o not in by], (F.col(column) - mean).alias("_c"))
+    products = along(centred, list(order), list(by), max(0, *lags), 0, lambda rows, w: rows.select("*", *[(F.col("_c") * F.lag("_c", k).over(w)).alias(f"_l{k}") for k in lags]))
     sums = products.groupBy(*by).agg(F.sum(F.col("_c") * F.col("_c")).alias("_s"), *[F.sum(f"_l{k}").alias(f"_l{k}") for k in lags])
     entries = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.coalesce(f"_l{k}", F.lit(0.0)), F.col("_s")).alias("acf")) for k in lags])
     return sums.select(*by, F.explode(entries).alias("e")).select(*by, "e.lag", "e.acf")
@@ -132,8 +189,7 @@ def partial_autocorrelation(acf: list[float]) -> list[float]:
 
 def cross_correlation(df: DataFrame, x: str, y: str, lags: list[int], order: list[str], by: list[str]) -> DataFrame:
     """``(*by, lag, r)``: sum of x(t) y(t+lag) over the root of both sums of squares; means are not removed."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    pairs = df.select(*by, x, y, *[(F.col(x) * _at(F.col(y), k, w)).alias(f"_l{i}") for i, k in enumerate(lags)])
+    pairs = along(df, list(order), list(by), max(0, *[-k for k in lags]), max(0, *lags), lambda rows, w: rows.select("*", *[(F.col(x) * _at(F.col(y), k, w)).alias(f"_l{i}") for i, k in enumerate(lags)]))
     sums = pairs.groupBy(*by).agg(F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y))).alias("_s"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(len(lags))])
     entries = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.coalesce(f"_l{i}", F.lit(0.0)), F.col("_s")).alias("r")) for i, k in enumerate(lags)])
     return sums.select(*by, F.explode(entries).alias("e")).select(*by, "e.lag", "e.r")
@@ -141,10 +197,15 @@ def cross_correlation(df: DataFrame, x: str, y: str, lags: list[int], order: lis
 
 def difference_variance(df: DataFrame, column: str, most: int, order: list[str], by: list[str]) -> DataFrame:
     """``(*by, differences, variance)`` of unit-variance data after 0..most differences."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    scaled = df.withColumn("_0", F.try_divide(F.col(column), F.nullif(F.stddev_samp(column).over(Window.partitionBy(*by)), F.lit(0.0))))
-    for k in range(1, most + 1):
-        scaled = scaled.withColumn(f"_{k}", F.col(f"_{k - 1}") - F.lag(f"_{k - 1}").over(w))
+    spread = F.stddev_samp(column).over(Window.partitionBy(*by)) if by else F.lit(df.agg(F.stddev_samp(column).alias("s")).first()["s"]).cast("double")
+    scaled = df.withColumn("_0", F.try_divide(F.col(column), F.nullif(spread, F.lit(0.0))))
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        for k in range(1, most + 1):
+            rows = rows.withColumn(f"_{k}", F.col(f"_{k - 1}") - F.lag(f"_{k - 1}").over(w))
+        return rows
+
+    scaled = along(scaled, list(order), list(by), most, 0, build)
     sums = scaled.groupBy(*by).agg(*[F.var_samp(f"_{k}").alias(f"_{k}") for k in range(most + 1)])
     entries = F.array(*[F.struct(F.lit(k).alias("differences"), F.col(f"_{k}").alias("variance")) for k in range(most + 1)])
     return sums.select(*by, F.explode(entries).alias("e")).select(*by, "e.differences", "e.variance")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import shared_folder
 from ..operators import automl as AM
 from ..operators import cleaning as C
+from ..operators import ensembles as E
 from ..operators import features as X
 from ..operators import linalg as L
 from ..operators import metrics as V
@@ -288,3 +289,102 @@ def feat_sets(spark, sf_dir):
     """The features of each set: predictive power, and the two rules on forest importances."""
     sets = AM.feature_sets(_balances(spark, sf_dir), ["nation", "building", "rest", "balance"], "rich", 2, "c_custkey")
     return spark.createDataFrame([(name, f) for name, some in sets.items() for f in some], "name string, feature string")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 2 END AS target FROM events")
+def clean_class_target(spark, sf_dir):
+    """A target of 0.0 and 1.0 with nulls and NaN is binary and has two classes."""
+    t = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 != 0, (F.col("event_id") % 2).cast("double")).alias("target"))
+    if C.class_labels(t, "target") != [0.0, 1.0] or C.target_mode(t, "target") != "classification":
+        raise ValueError("a binary target has the classes 0 and 1")
+    return C.binary_target(t, "target")
+
+
+@query(_tree_sql(f"SELECT f.feature, f.x, (y = 'A')::INT AS y_0, (y = 'N')::INT AS y_1, (y = 'R')::INT AS y_2 FROM (SELECT l_returnflag AS y, {_UNNEST})", ["y_0", "y_1", "y_2"])
+       + """, top AS (SELECT *, CASE greatest(y_0, y_1, y_2) WHEN y_0 THEN 'A' WHEN y_1 THEN 'N' ELSE 'R' END AS chosen FROM leaves),
+    own AS (SELECT feature, chosen, unnest([{'class': 'A', 'n': y_0}, {'class': 'N', 'n': y_1}, {'class': 'R', 'n': y_2}]) AS e FROM top),
+    s AS (SELECT feature, e.class AS component, sum(CASE WHEN e.class = chosen THEN e.n ELSE 0 END) / sum(e.n) AS score FROM own GROUP BY feature, e.class),
+    b AS (SELECT component, max(score) AS base FROM s WHERE feature IN ('q', 'd') GROUP BY component)
+    SELECT feature, component, round(score, 9) AS score, row_number() OVER (PARTITION BY component ORDER BY score DESC, feature)::INT AS rank
+    FROM s WHERE feature IN (SELECT feature FROM s JOIN b USING (component) WHERE feature NOT IN ('q', 'd') AND score > base)""")
+def feat_accept_classes(spark, sf_dir):
+    """Derived features that beat the original ones in some class."""
+    scores = T.class_scores(_melted(spark, sf_dir, F.col("l_returnflag").alias("y")), ["A", "N", "R"]).withColumnRenamed("class", "component")
+    return X.accept_each(scores, ["q", "d"]).withColumn("score", _r("score", 9))
+
+
+# --- ensembles ---
+
+def _explained(spark, sf_dir):
+    data = _modelled(spark, sf_dir)
+    return E.shap_values(data, E.export(M.registry(2)["forest"](numTrees=12, maxDepth=4).fit(data), spark))
+
+
+@query()
+def eda_shap(spark, sf_dir):
+    """Mean absolute Shapley values of a forest's features, largest first."""
+    return E.shap_ranking(_explained(spark, sf_dir), _FEATURES)
+
+
+@query("SELECT l_linenumber, count(*) AS n, count(*) AS adding_up FROM lineitem GROUP BY l_linenumber")
+def eda_shap_sums(spark, sf_dir):
+    """Of each line number's rows, how many have Shapley values that add up to what the forest says less what it expects."""
+    gap = F.abs(F.col("base") + F.aggregate("shap", F.lit(0.0), lambda s, v: s + v) - F.col("explained"))
+    return _explained(spark, sf_dir).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap < 1e-9).alias("adding_up"))
+
+
+@query()
+def model_halving_size(spark, sf_dir):
+    """Successive halving on the number of boosted trees; finalists have a row for each size."""
+    t = _balances(spark, sf_dir).withColumn("rich", F.col("rich").cast("double"))
+    data = M.prepare(hash_folds(t, 2, "c_custkey"), ["nation", "building", "rest", "balance"], "rich")
+    rows = M.halving_by_size(data, "customer", "boosting", M.registry(2)["boosting"], [{"maxDepth": d} for d in (1, 2, 3)], 2, "accuracy", least=4, most=12)
+    return M.ledger(spark, rows).drop("mean_time", "std_time")
+
+
+# --- one long series: no entities, no task that sees the whole ---
+
+def _series(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+_LONG = "long AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"
+
+
+@query(f"""WITH {_LONG}, w AS (SELECT event_id, lag(value, 3) OVER w AS a, lag(k, 3) OVER w AS ka, lag(value, 1) OVER w AS b, lag(k, 1) OVER w AS kb, value AS c, k AS kc, lead(value, 2) OVER w AS y1, lead(value, 4) OVER w AS y2 FROM long WINDOW w AS (ORDER BY event_id))
+    SELECT event_id, a AS x0, ka AS k0, b AS x1, kb AS k1, c AS x2, kc AS k2, y1, y2 FROM w WHERE a IS NOT NULL AND y2 IS NOT NULL""")
+def seq_series(spark, sf_dir):
+    """Rows t-3, t-1 and t, and targets t+2 and t+4, along the whole table."""
+    t = S.sequences(_series(spark, sf_dir), ["value", "k"], "value", [0, 1, 3], [1, 3], 1, ["event_id"])
+    return t.select("event_id", *[F.col("x")[i][j].alias(f"{n}{i}") for i in range(3) for j, n in enumerate("xk")], *[F.col("y")[i].alias(f"y{i + 1}") for i in range(2)])
+
+
+@query(f"""WITH {_LONG}, w AS (SELECT event_id, row_number() OVER w AS i, value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w AS d, lag(value, 5) OVER w AS l FROM long WINDOW w AS (ORDER BY event_id))
+    SELECT event_id, round(CASE WHEN i > 2 THEN d ELSE 0 END, 6) AS value__diff__2, round(coalesce(l, 0), 6) AS value__lag__5 FROM w""")
+def feat_series(spark, sf_dir):
+    """Second differences and lags along the whole table."""
+    t = X.apply_specs(_series(spark, sf_dir), [X.FeatureSpec("diff", ("value",), 2), X.FeatureSpec("lag", ("value",), 5)], ["event_id"])
+    return t.select("event_id", _r("value__diff__2").alias("value__diff__2"), _r("value__lag__5").alias("value__lag__5"))
+
+
+@query(f"""WITH {_LONG}, w AS (SELECT event_id, value AS y0, lead(value, 1) OVER w AS y1, lead(value, 2) OVER w AS y2 FROM long WINDOW w AS (ORDER BY event_id)) SELECT * FROM w WHERE y2 IS NOT NULL""")
+def seq_output_series(spark, sf_dir):
+    t = S.output_windows(_series(spark, sf_dir), "value", 3, ["event_id"])
+    return t.select("event_id", *[F.col("window")[i].alias(f"y{i}") for i in range(3)])
+
+
+@query("SELECT event_id, round(value, 4) AS reverted FROM events")
+def seq_revert_series(spark, sf_dir):
+    """Second differences along the whole table, integrated twice from two known levels in every thousand: the values again."""
+    t = X.apply_specs(_series(spark, sf_dir), [X.FeatureSpec("diff", ("value",), 2)], ["event_id"])
+    first = t.agg(F.min("event_id").alias("at")).first()["at"]
+    known = ((F.col("event_id") - first) % 1000 < 2) | (F.col("event_id") == first)
+    made = S.integrate(t.withColumn("level", F.when(known, F.col("value"))), "value__diff__2", "level", ["event_id"], times=2)
+    return made.select("event_id", _r("reverted", 4).alias("reverted"))
+
+
+@query(f"""WITH {_LONG}, c AS (SELECT event_id, value - avg(value) OVER () AS x FROM long), l AS (SELECT x, lag(x, 1) OVER w AS l1, lag(x, 7) OVER w AS l7 FROM c WINDOW w AS (ORDER BY event_id))
+    SELECT 1 AS lag, round(sum(x * l1) / sum(x * x), 6) AS acf FROM l UNION ALL SELECT 7, round(sum(x * l7) / sum(x * x), 6) FROM l""")
+def eda_acf_series(spark, sf_dir):
+    t = S.autocorrelation(_series(spark, sf_dir), "value", [1, 7], ["event_id"], [])
+    return t.select(F.col("lag").cast("int").alias("lag"), _r("acf").alias("acf"))
