@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpointed
+
 
 def moments(df: DataFrame, vector: str, label: str | None = None) -> dict[float, tuple[int, np.ndarray, np.ndarray]]:
     """By label (or 0): number of rows, sum and Gram matrix. Each partition gives one row a label; sums combine in the shuffle.
@@ -71,15 +73,83 @@ def svd(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(np.maximum(values[order], 0)), _signed(vectors[:, order])
 
 
-def randomised_svd(df: DataFrame, vector: str, k: int, power: int = 8, over: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`svd`, by a Gaussian sketch with power iterations on the Gram matrix."""
-    square = gram(df, vector)
-    q = np.random.default_rng(seed).normal(size=(len(square), min(k + over, len(square))))
-    for _ in range(power + 1):
-        q, _ = np.linalg.qr(square @ q)
-    values, vectors = np.linalg.eigh(q.T @ square @ q)
-    order = np.argsort(values)[::-1][:k]
-    return np.sqrt(np.maximum(values[order], 0)), _signed(q @ vectors[:, order])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+        if len(sizes):
+            yield batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(sizes), -1)
+
+
+def tall_factor(rows: DataFrame, weights: np.ndarray, meet: int = 32) -> np.ndarray:
+    """The triangular factor of a QR of (rows times ``weights``): a factor for each task, then of ``meet`` factors at a time until one is left.
+
+    ``rows`` has one column of vectors of one length. Only factors, ``l`` x ``l`` numbers, leave a task.
+    """
+    width = weights.shape[1]
+
+    def factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for x in _blocks(batches):
+            r = np.linalg.qr(np.vstack([r, x @ weights]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], ["r"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        r = np.linalg.qr(np.vstack([np.array(x.as_py()).reshape(-1, width) for x in table["r"]]), mode="r")
+        return pa.table({"r": pa.array([r.ravel().tolist()], pa.list_(pa.float64())), "task": table["task"][:1]})
+
+    factors = checkpointed(rows.mapInArrow(factored, "r array<double>").withColumn("task", F.spark_partition_id().cast("long")))
+    count = factors.count()
+    while count > 1:
+        groups = factors.withColumn("task", F.expr(f"task div {meet}")).groupBy("task")
+        factors = checkpointed(groups.applyInArrow(joined, "r array<double>, task long"))
+        count = factors.count()
+    found = factors.head()
+    return np.array(found["r"]).reshape(-1, width) if found else np.zeros((0, width))
+
+
+def cross_product(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Transposed rows times (rows times ``weights``): a sum of one matrix for each task, added up in the shuffle."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(weights.shape)
+        for x in _blocks(batches):
+            total += x.T @ (x @ weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "a"])
+
+    sums = rows.mapInArrow(partial, "i long, a double").groupBy("i").agg(F.sum("a").alias("a")).collect()
+    out = np.zeros(weights.size)
+    for r in sums:
+        out[r["i"]] = r["a"]
+    return out.reshape(weights.shape)
+
+
+def _orthonormal(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """``weights`` changed so that (rows times weights) has orthonormal columns and the same range; directions without rows go."""
+    for _ in range(2):  # the second pass takes out what rounding left of the first
+        _, sizes, turned = np.linalg.svd(tall_factor(rows, weights), full_matrices=False)
+        keep = sizes > (sizes[0] if len(sizes) else 0.0) * 1e-13
+        weights = weights @ (turned[keep].T / sizes[keep])
+    return weights
+
+
+def randomised_svd(df: DataFrame, vector: str, k: int, power: int = 2, over: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`svd`, from the rows themselves: a Gaussian sketch of ``k + over`` columns, ``power`` steps and a projection.
+
+    The sketch's range is made orthonormal by tree-reduced QR of row blocks, so singular values are as exact as those of the table, where the Gram matrix squares its
+    condition. A pass over rows costs rows times m times (k + over); what tasks send is (k + over) * m numbers. Rows with nulls or of another length than most are left out.
+    """
+    plain = df.select(F.col(vector).cast("array<double>").alias("v")).where("size(v) > 0 and not exists(v, x -> x is null)")
+    sizes = plain.groupBy(F.size("v").alias("m")).count().orderBy(F.desc("count"), "m").head()
+    if sizes is None:
+        return np.zeros(0), np.zeros((0, 0))
+    m = sizes["m"]
+    rows = checkpointed(plain.where(F.size("v") == m))
+    weights = np.random.default_rng(seed).normal(size=(m, min(k + over, m)))
+    for _ in range(power):
+        weights, _ = np.linalg.qr(cross_product(rows, _orthonormal(rows, weights)))
+    vectors, values, _ = np.linalg.svd(cross_product(rows, _orthonormal(rows, weights)), full_matrices=False)
+    return values[:k], _signed(vectors[:, :k])
 
 
 def discriminant(df: DataFrame, vector: str, label: str, method: str = "eig") -> np.ndarray:

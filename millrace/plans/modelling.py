@@ -11,6 +11,7 @@ from ..operators import automl as AM
 from ..operators import cleaning as C
 from ..operators import ensembles as E
 from ..operators import features as X
+from ..operators import hinge as H
 from ..operators import linalg as L
 from ..operators import metrics as V
 from ..operators import mixtures as G
@@ -388,3 +389,17 @@ def seq_revert_series(spark, sf_dir):
 def eda_acf_series(spark, sf_dir):
     t = S.autocorrelation(_series(spark, sf_dir), "value", [1, 7], ["event_id"], [])
     return t.select(F.col("lag").cast("int").alias("lag"), _r("acf").alias("acf"))
+
+
+@query(ORACLE_SQL["linalg_svd_norms"])
+def linalg_rsvd_norms(spark, sf_dir):
+    """As linalg_svd_norms, by the sketch of the rows."""
+    values, _ = L.randomised_svd(_vectors(spark, sf_dir), "e", 64)
+    return spark.createDataFrame([(round(float((values**2).sum()), 4), round(float((values**4).sum() ** 0.5), 4))], "squares double, fourth_root double")
+
+
+@query()
+def linear_svm_exact(spark, sf_dir):
+    """The linear SVM's weights at the optimum, with the bounds that prove it."""
+    found = H.hinge_optimum(_labelled(spark, sf_dir), "y", "e", reg=1e-2, tolerance=1e-3)
+    return spark.createDataFrame([(j, w, found.objective, found.bound) for j, w in enumerate(found.weights)], "j int, w double, objective double, bound double")
