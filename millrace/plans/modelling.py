@@ -19,6 +19,7 @@ from ..operators import models as M
 from ..operators import neighbours as N
 from ..operators import online as O
 from ..operators import series as S
+from ..operators import spectral as P
 from ..operators import trees as T
 from ..operators.series import hash_folds
 from ..sources import artifacts as A
@@ -403,3 +404,21 @@ def linear_svm_exact(spark, sf_dir):
     """The linear SVM's weights at the optimum, with the bounds that prove it."""
     found = H.hinge_optimum(_labelled(spark, sf_dir), "y", "e", reg=1e-2, tolerance=1e-3)
     return spark.createDataFrame([(j, w, found.objective, found.bound) for j, w in enumerate(found.weights)], "j int, w double, objective double, bound double")
+
+
+@query()
+def oneclass_grow(spark, sf_dir):
+    """The one-class learner whose mixture, fitted to all vectors, grows by refits on rows that no mean is near."""
+    t = _vectors(spark, sf_dir).withColumn("model", F.col("label") % 5)
+    mixture, _ = G.fit_mixture(t, "e", 3, rounds=20)
+    return G.one_class_grow(t, "model", "vec_id", "e", mixture, G.Growth(sigma=0.5, near=0.6, memory=50))
+
+
+@query()
+def spectral_series(spark, sf_dir):
+    """The filter on two input series, half of each user's events learned from a stored state."""
+    t = _table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") / 500).alias("value"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("k"))
+    params = P.FilterParams(inputs=2, outputs=1, length=10, filters=4)
+    middle = t.agg(F.avg("event_id").alias("m")).first()["m"] or 0
+    first = P.filter_states(t.where(F.col("event_id") < middle), "user_id", "event_id", ["value", "k"], ["value"], params)
+    return P.filter_predictions(t.where(F.col("event_id") >= middle), "user_id", "event_id", ["value", "k"], ["value"], params, first)
