@@ -87,10 +87,11 @@ def fingerprint_documents(docs: DataFrame, words: int = WORDS, seed: int = SEED,
 def compare_with_next(docs: DataFrame, parts: int | None = None, words: int = WORDS, seed: int = SEED, id_col="doc_id", text_col="text") -> DataFrame:
     """Each document against its edited text and against the next document, by descending id.
 
-    The next document of the last is the first. Rows are dealt to ranges of (id, hash of the text), of about ``RANGE_WEIGHT`` each unless ``parts`` says
+    The next document of the last is the first. Rows are dealt to ranges of (id, hash of the text, salt), of about ``RANGE_WEIGHT`` each unless ``parts`` says
     how many, one range a task, and sorted there; the first row of a range is also sent to the range before, so each range has the row that
     comes after its last. Spark's range partitioning of the narrow keys, repeated by weight, finds the ranges, and each task is sent
-    where they start: two numbers a range, of at most ``MOST_RANGES``. Equal ids are ordered by the hash of their text, null ids come last.
+    where they start: three numbers a range, of at most ``MOST_RANGES``. Equal ids are ordered by the hash of their text, null ids come last. The salt, a hash of
+    a row's place in the scan, cuts equal rows too; ``docs`` is scanned twice, and has to be a table that is dealt to tasks alike both times.
     """
     spark = docs.sparkSession
     weight = lambda text: (1 + F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / UNIT)).cast("int")
@@ -100,16 +101,17 @@ def compare_with_next(docs: DataFrame, parts: int | None = None, words: int = WO
     parts = min(parts, MOST_RANGES)
     # ascending (at, tie) is descending ids, nulls last
     at = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
-    plain = docs.select(at.alias("at"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    weighed = plain.select("at", "tie", F.explode(F.array_repeat(F.lit(True), weight("text"))))
-    ranges = weighed.select("at", "tie").repartitionByRange(parts, "at", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("at", "tie")).alias("first"))
-    starts = ranges.select("first.at", "first.tie").toArrow().to_pandas().sort_values(["at", "tie"]).to_records(index=False)
-    sent = spark.sparkContext.broadcast(np.array(starts.tolist(), [("at", "<i8"), ("tie", "<i8")]))
+    plain = docs.select(at.alias("at"), F.xxhash64(F.col(text_col)).alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    key = ["at", "tie", "salt"]
+    weighed = plain.select(*key, F.explode(F.array_repeat(F.lit(True), weight("text"))))
+    ranges = weighed.select(*key).repartitionByRange(parts, *key).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*key)).alias("first"))
+    starts = ranges.select(*[f"first.{c}" for c in key]).toArrow().to_pandas().sort_values(key).to_records(index=False)
+    sent = spark.sparkContext.broadcast(np.array(starts.tolist(), [(c, "<i8") for c in key]))
 
     @F.pandas_udf("array<struct<to:int,own:boolean>>")
-    def dealt_to(at: pd.Series, tie: pd.Series) -> pd.Series:
+    def dealt_to(at: pd.Series, tie: pd.Series, salt: pd.Series) -> pd.Series:
         firsts, keys = sent.value, np.empty(len(at), sent.value.dtype)
-        keys["at"], keys["tie"] = at.to_numpy(), tie.to_numpy()
+        keys["at"], keys["tie"], keys["salt"] = at.to_numpy(), tie.to_numpy(), salt.to_numpy()
         part = np.searchsorted(firsts, keys, "right") - 1
         lead = firsts[part] == keys
         own = [[{"to": p, "own": True}] for p in part.tolist()]
@@ -117,7 +119,7 @@ def compare_with_next(docs: DataFrame, parts: int | None = None, words: int = WO
             own[i].append({"to": (int(part[i]) - 1) % len(firsts), "own": False})
         return pd.Series(own)
 
-    sent_to = plain.withColumn("x", F.explode(dealt_to("at", "tie"))).select("x.to", "x.own", "at", "tie", "doc_id", "text")
+    sent_to = plain.withColumn("x", F.explode(dealt_to(*key))).select("x.to", "x.own", "at", "tie", "doc_id", "text")
     dealt = sent_to.repartitionById(max(1, len(starts)), "to").sortWithinPartitions("to", F.col("own").desc(), "at", "tie", "text").select("to", "own", "doc_id", "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,7 @@ def compare_with_next(docs: DataFrame, parts: int | None = None, words: int = WO
             for part, own, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
                 if not own and (held is None or held[0] != part):
-                    continue  # a range's second and later guests (equal ids) come after its last row
+                    continue  # a guest before which its range has no row
                 sketched = sketch(text, words, seed)
                 if held is not None:
                     finish(held, text, sketched)

@@ -93,14 +93,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
     """Write ``docs`` to ``folder`` in ascending id order; returns one row per shard.
 
     ``width`` is the ids' type in the files: two bytes for vocabularies of up to 65,536 ids, else
-    ``<u4``. ``parts`` is the number of shards, one for each ``SHARD_DOCS`` documents unless given. Shards are ranges of (id, hash of the text), dealt by
-    Spark's range partitioning, so rows of one id or none spread over shards too. The result's ``base`` is the number of ids in all shards before.
+    ``<u4``. ``parts`` is the number of shards, one for each ``SHARD_DOCS`` documents unless given. Shards are ranges of (id, hash of the text, salt), dealt by
+    Spark's range partitioning, so rows of one id or none spread over shards too, equal rows by the salt. The result's ``base`` is the number of ids in all shards before.
     """
     spark = docs.sparkSession
     parts = parts or max(1, -(-docs.count() // SHARD_DOCS))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
-    dealt = plain.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = plain.repartitionByRange(parts, *order, F.col("salt").asc()).sortWithinPartitions(*order).select("doc_id", "tie", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
