@@ -260,10 +260,13 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, confidence: float = CO
     of_cell = dict(zip(cells.tolist(), blocks.tolist()))
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             many = np.array([of_cell[c] for c in batch.column(3).to_pylist()], np.int64)
-            ids = batch.column(0).to_numpy()
-            mixed = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            # by id and place, so that rows of one id are cut into blocks too; a query that visits a cell visits all its blocks
+            ids = batch.column(0).to_numpy().view(np.uint64) + np.arange(seen, seen + batch.num_rows, dtype=np.uint64)
+            seen += batch.num_rows
+            mixed = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array((mixed % many.astype(np.uint64)).astype(np.int64)), *batch.columns[:3]], ["cell", "block", "id", "v", "p"])
 
     held = located.mapInArrow(blocked, "cell long, block long, id long, v array<double>, p array<double>")
