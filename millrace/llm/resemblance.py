@@ -6,9 +6,11 @@
    pairs. So a set has ``PRINTS`` fingerprints, each of the same hashes mixed anew. Each is cut into three segments, and
    deletion-variant signatures (:mod:`.simhash`) find fingerprints of which a segment differs by at most one bit and the whole by ``NEAR`` at
    most. Such nodes are candidates if all their fingerprints together differ by ``FAR`` bits at most.
+   Sets of up to ``FEW`` shingles, which fingerprints tell apart badly, meet exactly instead: of two such sets of similarity ``share`` or more, the rarest ``n - ceil(share n) + 1``
+   shingles of each have one in common. Rarity is counted over all such sets; sets that share a rare shingle are candidates, each with the least of them.
 3. *Links.* Candidates make clusters; all sets of a cluster are compared exactly, and only pairs of similarity ``share`` or more are linked.
 
-Sets of more than a dozen shingles and similarity 0.8 meet with probability 0.95 (each segment: 0.13), of 0.85 with 0.99, of 0.9 with 0.9997; tests measure it.
+Sets of up to a dozen shingles always meet those of similarity 0.8. Larger ones of similarity 0.8 meet with probability 0.95 (each segment: 0.13), of 0.85 with 0.99, of 0.9 with 0.9997; tests measure it.
 
 Scale: the index has 21 entries of 10 bytes for each fingerprint, which stand for 67; its buckets are those of :mod:`.simhash`. Only sets that meet another
 are read again, once each. A cluster of more than ``BLOCK`` weight (a node, or each ``HASHES`` hashes of it) is cut into blocks, and each
@@ -36,6 +38,8 @@ from .simhash import links, shingle_hashes, simhash
 WORDS, SEED, SHARE = 5, 42, 0.8
 #: Fingerprints of a set; bits that one of them may differ in, and all of them together.
 PRINTS, NEAR, FAR = 7, 14, 110
+#: Largest set that meets others by its rarest shingles: partners of sets of up to 12.
+FEW = 15
 BLOCK, HASHES = 4096, 500
 #: Rows of candidates (24 bytes each) that are broadcast to where the texts are; more meet them in a shuffle.
 ROWS_SENT = 2_000_000
@@ -102,23 +106,37 @@ def linked_sets(sets: list[np.ndarray], share: float = SHARE) -> list[list[int]]
 
 
 def _sketches(rows: DataFrame, words: int, seed: int) -> DataFrame:
-    """``(row, key, size, prints)`` of rows ``(row, text)``; equal sets have equal keys."""
+    """``(row, key, size, prints, few)`` of rows ``(row, text)``; equal sets have equal keys, and ``few`` is a set of up to ``FEW`` shingles itself."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prints = [], [], []
+            keys, sizes, prints, few = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, words, seed)
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 prints.append(fingerprints(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["row", "key", "size", "prints"])
+                few.append(own.view(np.int64) if 0 < len(own) <= FEW else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))], ["row", "key", "size", "prints", "few"])
 
-    return rows.select("row", "text").mapInArrow(sketch, "row long, key binary, size long, prints array<long>")
+    return rows.select("row", "text").mapInArrow(sketch, "row long, key binary, size long, prints array<long>, few array<long>")
 
 
-def _clusters(nodes: DataFrame) -> DataFrame:
-    """``(node, root)`` for each node of rows ``(node, prints)`` that is a candidate with another."""
+def _rare_meetings(nodes: DataFrame, share: float) -> DataFrame:
+    """``(a, b)``: small sets with the least node that has one of their rarest shingles among its own; rows ``(node, few)``."""
+    each = stage(nodes.where("few is not null").select("node", F.size("few").alias("n"), F.explode("few").alias("hash")), "few")
+    # the n of a shingle's sets decides which of a set's shingles are rare; equal counts go by the hash
+    counted = each.join(each.groupBy("hash").agg(F.count(F.lit(1)).alias("held")), "hash")
+    ordered = counted.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("held", "hash"))).alias("by"))  # FEW at most
+    # ceil without the rounding error of a product
+    most = F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    rare = stage(ordered.select("node", F.explode(F.slice("by", 1, most.cast("int"))).alias("r")).where("r.held > 1").select("node", "r.hash"), "rare")
+    met = rare.groupBy("hash").agg(F.min("node").alias("least"))
+    return rare.join(met, "hash").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
+def _clusters(nodes: DataFrame, share: float) -> DataFrame:
+    """``(node, root)`` for each node of rows ``(node, prints, few)`` that is a candidate with another."""
     each = nodes.select("node", F.posexplode("prints").alias("kind", "fp"))
     held = stage(each.groupBy("kind", "fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
     found = stage(links(held.select("kind", "fp"), NEAR, 3, PRINTS, direct=True).distinct(), "print-links")
@@ -129,6 +147,7 @@ def _clusters(nodes: DataFrame) -> DataFrame:
     own = lambda end: nodes.select(F.col("node").alias(end), F.col("prints").alias(f"prints_{end}"))
     bits = F.aggregate(F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = stage(met.join(own("a"), "a").join(own("b"), "b").where(bits <= FAR).select("a", "b"), "near")
+    near = stage(near.union(_rare_meetings(nodes, share)).distinct(), "near-or-rare")
     unstage(held, found, met)
     return connected(near)
 
@@ -185,14 +204,15 @@ def components(rows: DataFrame, share: float = SHARE, words: int = WORDS, seed:
     """
     sketches = stage(_sketches(rows, words, seed), "sketches")
     nodes = stage(sketches.groupBy("key").agg(F.min("row").alias("node"), F.min("size").alias("size")), "nodes")
-    printed = stage(sketches.select(F.col("row").alias("node"), "prints").join(nodes.select("node"), "node"), "printed")
-    loose = _clusters(printed).join(nodes.select("node", "size"), "node")
+    printed = stage(sketches.select(F.col("row").alias("node"), "prints", "few").join(nodes.select("node"), "node"), "printed")
+    loose = _clusters(printed, share).join(nodes.select("node", "size"), "node")
     loose = stage(loose.select("node", "root", "size"), "clusters")
     unstage(printed)
     weight = F.sum(F.ceil(F.greatest(F.lit(1), F.col("size") / HASHES)))
     large = loose.groupBy("root").agg(weight.alias("weight")).where(F.col("weight") > BLOCK)
     large = large.select("root", F.ceil(F.col("weight") / BLOCK).cast("long").alias("blocks"))  # a row for each BLOCK nodes at most
-    cut = loose.join(F.broadcast(stage(large, "large")), "root", "left").select("node", "root", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
+    large = stage(large, "large")
+    cut = loose.join(F.broadcast(large) if large.count() <= ROWS_SENT else large, "root", "left").select("node", "root", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
     cut = stage(cut, "cut")
     sent = F.broadcast(cut) if cut.count() <= ROWS_SENT else cut
     clustered = rows.select(F.col("row").alias("node"), "text").join(sent, "node")
