@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import stage, unstage
-from .simhash import links, shingle_hashes, simhash
+from .simhash import ENTRIES, links, shingle_hashes, simhash
 
 WORDS, SEED, SHARE = 5, 42, 0.8
 #: Fingerprints of a set; bits that one of them may differ in, and all of them together.
@@ -109,7 +109,7 @@ def _sketches(rows: DataFrame, words: int, seed: int) -> DataFrame:
     """``(row, key, size, prints, few)`` of rows ``(row, text)``; equal sets have equal keys, and ``few`` is a set of up to ``FEW`` shingles itself."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             keys, sizes, prints, few = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, words, seed)
@@ -139,7 +139,7 @@ def _clusters(nodes: DataFrame, share: float) -> DataFrame:
     """``(node, root)`` for each node of rows ``(node, prints, few)`` that is a candidate with another."""
     each = nodes.select("node", F.posexplode("prints").alias("kind", "fp"))
     held = stage(each.groupBy("kind", "fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
-    found = stage(links(held.select("kind", "fp"), NEAR, 3, PRINTS, direct=True).distinct(), "print-links")
+    found = stage(links(held.select("kind", "fp"), NEAR, 3, PRINTS, direct=True, entries=ENTRIES // 3).distinct(), "print-links")
     same = each.join(held.where("n > 1").drop("n"), ["kind", "fp"]).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     at = lambda end: held.select("kind", F.col("fp").alias(end), F.col("least").alias(f"node_{end}"))
     unlike = found.join(at("a"), ["kind", "a"]).join(at("b"), ["kind", "b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))

@@ -299,11 +299,12 @@ def _bucket_blocks(large: DataFrame, segments: Segments) -> DataFrame:
     return met.select("x", "bucket", F.ceil(members / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None, kinds: int = 1, direct: bool = False) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None, kinds: int = 1, direct: bool = False, entries: int = ENTRIES) -> DataFrame:
     """Edges ``(kind, a, b)`` between fingerprints whose components are those of all links of a kind; rows ``(kind, fp)``, distinct.
 
     Edges of large buckets make shallow trees; with ``direct`` each edge is itself a link of at most ``max_bits``.
-    ``count`` segments instead of ``max_bits // 2 + 1`` find only fingerprints that are within one bit in some segment.
+    ``count`` segments instead of ``max_bits // 2 + 1`` find only fingerprints that are within one bit in some segment. A task makes and packs ``entries``
+    entries at once, some 100 bytes each while it does.
     """
     segments = Segments(max_bits, count, kinds)
     spark = prints.sparkSession
@@ -325,8 +326,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None,
         pairs = blob(pair) if pair.any() else pa.nulls(len(starts), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(part[starts]), blob(v.astype(np.uint16)), pairs, blob(fps)], ["part", "v", "pairs", "fps"])
 
-    tasks = -(-prints.count() * len(segments.variants) // ENTRIES)
-    parts = 4 * tasks
+    total = prints.count() * len(segments.variants)
+    tasks, parts = -(-total // entries), 4 * -(-total // ENTRIES)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -340,7 +341,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, count: int | None = None,
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 held.append(batch.slice(at, 5000))
-                if sum(b.num_rows for b in held) >= ENTRIES // len(segments.variants):
+                if sum(b.num_rows for b in held) >= entries // len(segments.variants):
                     yield done()
         if any(b.num_rows for b in held):
             yield done()
