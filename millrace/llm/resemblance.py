@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import stage, unstage
+from .shared import forget_others, stage, unstage
 from .simhash import ENTRIES, links, shingle_hashes, simhash
 
 WORDS, SEED, SHARE = 5, 42, 0.8
@@ -109,6 +109,7 @@ def _sketches(rows: DataFrame, words: int, seed: int) -> DataFrame:
     """``(row, key, size, prints, few)`` of rows ``(row, text)``; equal sets have equal keys, and ``few`` is a set of up to ``FEW`` shingles itself."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             keys, sizes, prints, few = [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -6,6 +6,7 @@ import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,19 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _serial = itertools.count()
+#: what a worker process remembers between tasks: functions that forget it
+_forget: list[Callable[[], None]] = []
+
+
+def remembers(forget: Callable[[], None]) -> None:
+    """Register what empties a module's memory of words, vocabularies and the like."""
+    _forget.append(forget)
+
+
+def forget_others() -> None:
+    """Empty what operators of earlier stages remember in this worker process; called by tasks that use none of it."""
+    for forget in _forget:
+        forget()
 
 
 def shared_dir(spark: SparkSession) -> str:

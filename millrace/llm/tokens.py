@@ -13,11 +13,14 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from .shared import remembers
+
 #: Words whose ids a worker remembers; at this count it forgets them all and starts again.
 WORDS_KEPT = 1_000_000
 #: str.split() also splits at these, which the vocabulary's pattern takes as symbols.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _loaded: dict[str, "WordEncoder"] = {}
+remembers(_loaded.clear)
 
 
 class WordEncoder:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, unstage
+from .shared import forget_others, stage, unstage
 
 THRESHOLD, ROUNDS = 0.3, 8
 #: A voter's toxic count must be so many standard deviations above what its frequency lets expect, and so large.
@@ -110,6 +110,7 @@ def term_counts(taught: DataFrame) -> DataFrame:
     """``(term, toxic, other)``: documents of either label that hold a term; rows ``(text, toxic)``."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def counted() -> pa.RecordBatch:
@@ -341,6 +342,7 @@ def fit_and_vote(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], id_c
 
     @F.pandas_udf("array<int>")
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_others()
         find = TermFinder(terms)
         for texts in batches:
             yield pd.Series([find(t) for t in texts.tolist()])
