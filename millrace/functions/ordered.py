@@ -54,6 +54,17 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str) -> Dat
     return running(df, groups, order, {name: ("sum", F.lit(1).cast("long"))})
 
 
+def stretches(df: DataFrame, order: list[str], by: list[str], before: int, after: int, size: int) -> DataFrame:
+    """Rows of each series in stretches of ``size`` places, numbered from 0 by ``_slot``; a stretch also has the last ``before`` rows of the one before it and the first ``after`` of the next.
+
+    ``_own`` is the stretch that a row belongs to, ``_place`` its place from 1. ``size`` is at least ``before`` and ``after``, so at most three copies of a row are made.
+    """
+    placed = ranked(df, list(by), list(order), "_place")
+    within, slot = (F.col("_place") - 1) % size, F.floor((F.col("_place") - 1) / size)
+    slots = F.array_compact(F.array(slot, F.when((within < after) & (slot > 0), slot - 1), F.when(within >= size - before, slot + 1)))
+    return placed.withColumn("_own", slot).withColumn("_slot", F.explode(slots))
+
+
 def along(df: DataFrame, order: list[str], by: list[str], before: int, after: int, build: Callable[[DataFrame, WindowSpec], DataFrame], spread: bool | None = None, chunk: int = CHUNK) -> DataFrame:
     """``build(frame, window)`` over rows in ``order``, for windows that reach ``before`` rows back and ``after`` rows ahead; ``build`` adds columns and keeps rows.
 
@@ -63,11 +74,7 @@ def along(df: DataFrame, order: list[str], by: list[str], before: int, after: in
     """
     if by and not spread:
         return build(df, Window.partitionBy(*by).orderBy(*order))
-    size = max(chunk, before, after, 1)
-    placed = ranked(df, list(by), list(order), "_place")
-    within, slot = (F.col("_place") - 1) % size, F.floor((F.col("_place") - 1) / size)
-    slots = F.array_compact(F.array(slot, F.when((within < after) & (slot > 0), slot - 1), F.when(within >= size - before, slot + 1)))
-    haloed = placed.withColumn("_own", slot).withColumn("_slot", F.explode(slots))
+    haloed = stretches(df, order, by, before, after, max(chunk, before, after, 1))
     made = build(haloed, Window.partitionBy(*by, "_slot").orderBy("_place"))
     return made.where(F.col("_own") == F.col("_slot")).drop("_own", "_slot", "_place")
 

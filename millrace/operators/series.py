@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.ordered import along, ranked, running
+from ..functions.ordered import along, ranked, running, stretches
+from ..functions.storage import checkpointed
 
 
 # --- scaling ---
@@ -211,17 +212,31 @@ def difference_variance(df: DataFrame, column: str, most: int, order: list[str],
     return sums.select(*by, F.explode(entries).alias("e")).select(*by, "e.differences", "e.variance")
 
 
-def seasonal(df: DataFrame, column: str, period: int, order: list[str], by: list[str]) -> DataFrame:
-    """Classical additive decomposition: centred moving average, mean of what is left by phase, remainder."""
-    w = Window.partitionBy(*by).orderBy(*order)
+def seasonal(df: DataFrame, column: str, period: int, order: list[str], by: list[str] = (), spread: bool | None = None) -> DataFrame:
+    """Classical additive decomposition: centred moving average, mean of what is left by phase, remainder.
+
+    One long series (no ``by``, or ``spread``) runs over stretches with halos of half a period, and its phases are aggregates, so no task sees the whole of it.
+    """
     half = period // 2
-    place = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    inside = (F.col("_at") >= half) & (F.col("_at") < F.col("_n") - half)
-    trend = F.avg(column).over(w.rowsBetween(-half, half)) if period % 2 else (F.avg(column).over(w.rowsBetween(-half, half - 1)) + F.avg(column).over(w.rowsBetween(-half + 1, half))) / 2
-    out = place.withColumn("trend", F.when(inside, trend)).withColumn("phase", (F.col("_at") % period).cast("int"))
-    season = F.avg(F.col(column) - F.col("trend")).over(Window.partitionBy(*by, "phase"))
-    out = out.withColumn("season", season)
-    return out.withColumn("remainder", F.col(column) - F.col("trend") - F.col("season")).drop("_at", "_n")
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        trend = F.avg(column).over(w.rowsBetween(-half, half)) if period % 2 else (F.avg(column).over(w.rowsBetween(-half, half - 1)) + F.avg(column).over(w.rowsBetween(-half + 1, half))) / 2
+        inside = F.lag(F.lit(1), half).over(w).isNotNull() & F.lead(F.lit(1), half).over(w).isNotNull() if half else F.lit(True)
+        place = F.col("_place") if "_place" in rows.columns else F.row_number().over(w)
+        return rows.withColumn("trend", F.when(inside, trend)).withColumn("phase", ((place - 1) % period).cast("int"))
+
+    out = along(df, list(order), list(by), half, half, build, spread)
+    if by and not spread:
+        out = out.withColumn("season", F.avg(F.col(column) - F.col("trend")).over(Window.partitionBy(*by, "phase")))
+    else:
+        out = checkpointed(out)
+        means = out.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("phase").alias("_phase")).agg(F.avg(F.col(column) - F.col("trend")).alias("season"))
+        same = F.col("phase") == F.col("_phase")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        # without entities the means are one row a phase
+        out = out.join(means if by else F.broadcast(means), same).drop("_phase", *[f"_g_{c}" for c in by])
+    return out.withColumn("remainder", F.col(column) - F.col("trend") - F.col("season"))
 
 
 def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -281,9 +296,22 @@ def stl_parts(y: np.ndarray, period: int, season_span: int = 7, rounds: int = 2)
     return trend, season
 
 
-def stl(df: DataFrame, column: str, period: int, order: str, by: str) -> DataFrame:
+def stl_reach(period: int, season_span: int = 7, rounds: int = 2) -> int:
+    """How many rows away a value can still change a row's parts in :func:`stl_parts`, in whole periods: what each of its filters reaches, added up."""
+    trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / season_span))) | 1
+    once = (season_span // 2 + 1) * period + (period + 2) + ((period | 1) // 2 + 1) + (trend_span // 2 + 1)
+    return -(-rounds * once // period) * period
+
+
+#: places of a stretch of :func:`stl`
+STL_CHUNK = 1 << 14
+
+
+def stl(df: DataFrame, column: str, period: int, order: str, by: str | None = None, spread: bool | None = None, chunk: int = STL_CHUNK) -> DataFrame:
     """``(by, order, value, trend, season, remainder)``; the series of one entity is smoothed in one task, entities in parallel.
 
+    One long series (no ``by``, or ``spread`` for entities that may hold most rows) is cut into stretches of some ``chunk`` rows. All of the method's filters are local,
+    so a stretch with a halo as long as they reach together gives the parts of the whole series; ``order`` must then be total within an entity.
     Nulls are left out and the rest is taken as equally spaced; a series shorter than two periods has its mean as trend and no season.
     """
     def split(rows: pd.DataFrame) -> pd.DataFrame:
@@ -292,10 +320,23 @@ def stl(df: DataFrame, column: str, period: int, order: str, by: str) -> DataFra
         trend, season = stl_parts(y, period) if len(y) >= 2 * period else (np.full(len(y), y.mean()), np.zeros(len(y)))
         return rows.assign(trend=trend, season=season, remainder=y - trend - season)
 
+    def split_own(rows: pd.DataFrame) -> pd.DataFrame:
+        made = split(rows)
+        return made[made["_own"] == made["_slot"]].drop(columns=["_own", "_slot", "_place"])
+
     kinds = dict(df.dtypes)
-    dealt = df.where(F.col(column).isNotNull()).select(F.col(by).alias("by"), F.col(order).alias("order"), F.col(column).cast("double").alias("value"))
-    made = dealt.groupBy("by").applyInPandas(split, f"by {kinds[by]}, `order` {kinds[order]}, value double, trend double, season double, remainder double")
-    return made.withColumnsRenamed({"by": by, "order": order})
+    entity = [F.col(by).alias("by")] if by else []
+    dealt = df.where(F.col(column).isNotNull()).select(*entity, F.col(order).alias("order"), F.col(column).cast("double").alias("value"))
+    schema = (f"by {kinds[by]}, " if by else "") + f"`order` {kinds[order]}, value double, trend double, season double, remainder double"
+    if by and not spread:
+        made = dealt.groupBy("by").applyInPandas(split, schema)
+    else:
+        halo = stl_reach(period)
+        # stretches and halos of whole periods: phases fall alike in all of them
+        size = max(-(-chunk // period) * period, 2 * halo)
+        keys = ["by"] if by else []
+        made = stretches(dealt, ["order"], keys, halo, halo, size).groupBy(*keys, "_slot").applyInPandas(split_own, schema)
+    return made.withColumnsRenamed({"by": by, "order": order} if by else {"order": order})
 
 
 def scatter_rows(df: DataFrame, key: str, features: list[str], target: str, most: int = 10_000) -> DataFrame:

@@ -431,6 +431,15 @@ def eda_seasonal_classical(spark, sf_dir):
     return t.select("event_id", "phase", *[_r(c).alias(c) for c in ("trend", "season", "remainder")])
 
 
+@query("""WITH n AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS c, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM events),
+    t AS (SELECT *, CASE WHEN i >= 3 AND i < c - 3 THEN m END AS trend, (i % 7)::INT AS phase FROM n), s AS (SELECT *, avg(value - trend) OVER (PARTITION BY phase) AS season FROM t)
+    SELECT event_id, phase, round(trend, 6) AS trend, round(season, 6) AS season, round(value - trend - season, 6) AS remainder FROM s""")
+def eda_seasonal_long(spark, sf_dir):
+    """The events of all users as one series."""
+    t = S.seasonal(_table(spark, sf_dir, "events").select("event_id", "value"), "value", 7, ["event_id"])
+    return t.select("event_id", "phase", *[_r(c).alias(c) for c in ("trend", "season", "remainder")])
+
+
 # --- neighbours and clusters ---
 
 _POINTS = "pts AS (SELECT c_custkey, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y FROM customer)"

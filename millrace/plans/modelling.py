@@ -101,6 +101,12 @@ def eda_seasonal_stl(spark, sf_dir):
     return S.stl(_table(spark, sf_dir, "events"), "value", 7, "event_id", "user_id")
 
 
+@query()
+def eda_seasonal_stl_long(spark, sf_dir):
+    """The events of all users as one series, smoothed in stretches with halos."""
+    return S.stl(_table(spark, sf_dir, "events"), "value", 7, "event_id")
+
+
 @query(f"""WITH {_POINTS} SELECT q.c_custkey AS query, p.c_custkey, round(sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)), 6) AS distance
     FROM pts q, pts p WHERE q.c_custkey % 10 = 0 AND power(p.x - q.x, 2) + power(p.y - q.y, 2) < 4""")
 def nn_kd_radius(spark, sf_dir):

@@ -90,3 +90,37 @@ def test_integration_starts_anew(spark):
     assert got == [None, 10.0, 11.0, 11.0, 50.0, 52.0]
     with pytest.raises(ValueError):
         S.integrate(t, "change", "level", ["at"], times=0)
+
+
+@pytest.mark.parametrize("period, n, places", [(7, 1500, 1), (4, 700, 128), (12, 30, 1), (5, 9, 1)])
+def test_stl_of_one_long_series(spark, period, n, places):
+    """Stretches with halos give what the whole series gives, at its ends, at cuts and for a series shorter than a stretch or than two periods."""
+    rng = np.random.default_rng(period)
+    y = np.cumsum(rng.normal(size=n)) + 3 * np.sin(np.arange(n) * 2 * np.pi / period)
+    t = spark.createDataFrame([(i * 3, float(v)) for i, v in enumerate(y)] + [(1, None)], "at long, v double").repartition(5)
+    trend, season = S.stl_parts(y, period) if n >= 2 * period else (np.full(n, y.mean()), np.zeros(n))
+    got = sorted(S.stl(t, "v", period, "at", chunk=places).collect(), key=lambda r: r["at"])
+    assert [r["at"] // 3 for r in got] == list(range(n))
+    assert np.allclose([r["trend"] for r in got], trend, atol=1e-9) and np.allclose([r["season"] for r in got], season, atol=1e-9)
+    assert np.allclose([r["remainder"] for r in got], y - trend - season, atol=1e-9)
+
+
+def test_stl_of_hot_entities(spark):
+    rng = np.random.default_rng(1)
+    v = {"a": rng.normal(size=900), "b": rng.normal(size=40), None: rng.normal(size=30)}
+    t = spark.createDataFrame([(w, i, float(x)) for w, xs in v.items() for i, x in enumerate(xs)], "who string, at long, v double")
+    same = lambda df: sorted(((r["who"] or "", r["at"], round(r["trend"], 7), round(r["season"], 7)) for r in df.collect()))
+    assert same(S.stl(t, "v", 7, "at", "who", spread=True, chunk=1)) == same(S.stl(t, "v", 7, "at", "who"))
+
+
+@pytest.mark.parametrize("period", [1, 4, 5])
+def test_classical_parts_of_one_long_series(spark, chunk, period):
+    rows, t = series(spark, 60)
+    y, half = np.array([r[2] for r in rows]), period // 2
+    weights = np.ones(period) / period if period % 2 else np.r_[0.5, np.ones(period - 1), 0.5] / period
+    trend = np.r_[np.full(half, np.nan), np.convolve(y, weights, "valid"), np.full(half, np.nan)]
+    season = np.array([np.nanmean((y - trend)[np.arange(60) % period == p]) for p in range(period)])[np.arange(60) % period]
+    for made in (S.seasonal(t, "v", period, ["at"]), S.seasonal(t.withColumn("one", F.lit(None).cast("string")), "v", period, ["at"], ["one"], spread=True)):
+        got = sorted(made.collect(), key=lambda r: r["at"])
+        assert np.allclose([np.nan if r["trend"] is None else r["trend"] for r in got], trend, equal_nan=True)
+        assert np.allclose([r["season"] for r in got], season) and [r["phase"] for r in got] == [i % period for i in range(60)]
