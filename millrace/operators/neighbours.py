@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +117,7 @@ def _cell_links(cores: DataFrame, points: list[str], eps: float, direct: int = 1
 def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, least: int) -> DataFrame:
     """``(key, cluster)``: cores have ``least`` rows nearer than eps; clusters are numbered from 1 by their smallest core.
 
+    Links between cells are contracted in ranges of cells first, then across them (:func:`min_labels`).
     A row that is no core takes the largest number among the cores near it, or -1; so does a row with a null. No step lists the pairs of a
     dense cell: see :func:`crowded` and :func:`_cell_links`.
     """
@@ -123,7 +126,8 @@ def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, lea
     stands = checkpointed(cores.groupBy("cell").agg(F.min("_key").alias("by")))
     own = stands.select(F.col("by").alias("a"), F.col("by").alias("b"))
     links = checkpointed(_cell_links(cores, points, eps).select(F.col("x").alias("a"), F.col("y").alias("b")).union(own).distinct())
-    roots = checkpointed(min_labels(links))
+    # links of neighbouring cells meet in one task, where they are contracted
+    roots = min_labels(links.join(stands.select(F.col("by").alias("a"), "cell"), "a").repartitionByRange("cell"))
     numbered = ranked(roots.select("root").distinct(), [], ["root"], "cluster")
     cells = checkpointed(stands.join(roots, F.col("by") == F.col("node")).join(numbered, "root").select("cell", "cluster"))
     inner = rows.where("crowded").join(cells, "cell")
@@ -133,18 +137,73 @@ def density_clusters(df: DataFrame, key: str, points: list[str], eps: float, lea
     return df.select(key).join(found, F.col(key) == F.col("_found"), "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+#: links that a task of :func:`local_stars` contracts at once
+HELD = 1 << 20
+
+
+def _star(links: pd.DataFrame) -> pd.DataFrame:
+    """``(a, b)``: each node of the links with the smallest node that it reaches through them; trees are hooked at their roots and flattened."""
+    nodes, ends = np.unique(np.concatenate([links["a"].to_numpy(), links["b"].to_numpy()]), return_inverse=True)
+    one, two = ends[: len(links)], ends[len(links) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[one], label[two]
+        if (x == y).all():
+            return pd.DataFrame({"a": nodes, "b": nodes[label]})
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def local_stars(links: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` contracted within each task: a link from each of its nodes to the smallest that the task's links reach. Components stay the same.
+
+    A task holds at most ``HELD`` links and a batch; it then gives their stars and starts anew.
+    """
+    def contract(frames):
+        held, n = [], 0
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= HELD:
+                yield _star(pd.concat(held))
+                held, n = [], 0
+        if held:
+            yield _star(pd.concat(held))
+
+    return links.mapInPandas(contract, links.schema)
+
+
 def min_labels(links: DataFrame) -> DataFrame:
-    """``(node, root)``: the smallest node that each node of symmetric links ``(a, b)`` reaches; rounds of joins, each checkpointed."""
-    labels = checkpointed(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    total = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-    while total is not None:
-        near = links.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root")
-        up = labels.select("node", F.col("root").alias("at")).join(labels.select(F.col("node").alias("at"), "root"), "at").select("node", "root")
-        labels = checkpointed(near.union(up).groupBy("node").agg(F.min("root").alias("root")))
-        before, total = total, labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            break
-    return labels
+    """``(node, root)``: the smallest node that each node of links ``(a, b)`` reaches, in either direction.
+
+    Links are contracted within tasks first; those that lie near each other in the table merge there, without a shuffle. What joins tasks is settled by rounds of
+    contraction: each node points to the least of itself and its neighbours, pointers are followed to their ends by doubling, and links between different ends
+    are the links of the next round, which has half as many nodes at most. Every round is written, so a lost executor costs one step.
+    """
+    stars = checkpointed(local_stars(links.select("a", "b").where("a is not null and b is not null")))
+    left, roots = stars.union(stars.select("b", "a")), None
+    while True:
+        ends = left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        moved = True
+        while moved:
+            # three steps of doubling a write: chains of eight pointers
+            far = _hop(_hop(_hop(checkpointed(ends).withColumn("first", F.col("root")))))
+            ends = checkpointed(far.select("node", "root", (F.col("root") != F.col("first")).alias("moved")))
+            moved, ends = not ends.where("moved").isEmpty(), ends.select("node", "root")
+        roots = ends if roots is None else checkpointed(_hop(roots, ends))
+        at = lambda end: ends.select(F.col("node").alias(end), F.col("root").alias(f"at_{end}"))
+        met = left.join(at("a"), "a").join(at("b"), "b").where("at_a < at_b").select(F.col("at_a").alias("a"), F.col("at_b").alias("b")).distinct()
+        stars = checkpointed(local_stars(met))
+        if stars.isEmpty():
+            return roots
+        left = stars.union(stars.select("b", "a"))
+
+
+def _hop(pointers: DataFrame, along: DataFrame | None = None) -> DataFrame:
+    """Each root of ``pointers`` moved on to its own root in ``along`` (else in ``pointers``), where it has one."""
+    on = (pointers if along is None else along).select(F.col("node").alias("root"), F.col("root").alias("_next"))
+    return pointers.join(on, "root", "left").withColumn("root", F.coalesce("_next", "root")).drop("_next")
 
 
 def outlier_test(df: DataFrame, key: str, points: list[str], eps: float, least: int) -> DataFrame:
@@ -173,8 +232,6 @@ def principal_points(df: DataFrame, key: str, points: list[str]) -> DataFrame:
     The axes come from one aggregate of the covariances; each is turned so that its largest component is positive. Rows with a null point are
     left out; no rows give no rows. Distances between rows stay as they are.
     """
-    import numpy as np
-
     known = df.select(key, *[F.col(p).cast("double").alias(p) for p in points]).na.drop(subset=points)
     pairs = [(i, j) for i in range(len(points)) for j in range(i + 1)]
     found = known.agg(*[F.covar_pop(points[i], points[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first()
@@ -288,8 +345,6 @@ def som_round(df: DataFrame, vector: str, weights: list[list[float]], width: int
 
     Sums by winning neuron are one aggregate; the neighbourhood then mixes these few rows.
     """
-    import numpy as np
-
     m = len(weights[0])
     near = df.select(nearest_centre(F.col(vector), weights).alias("i"), vector)
     rows = near.groupBy("i").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(vector)[j]).alias(f"s{j}") for j in range(m)]).collect()

@@ -262,21 +262,23 @@ def partial_autocorrelations(df: DataFrame, column: str, most: int, order: list[
 def loess(y: np.ndarray, span: int, at: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
     """Local lines over equally spaced values, tricube weights over the ``span`` nearest; ``at`` are places, also outside the series."""
     n, at = len(y), np.arange(len(y), dtype=float) if at is None else at
-    x, weights = np.arange(n, dtype=float), np.ones(n) if weights is None else weights
+    weights = np.ones(n) if weights is None else weights
     q, out = min(span, n), np.empty(len(at))
-    for i, t in enumerate(at):
-        low = int(np.clip(np.ceil(t - q / 2), 0, n - q))
-        near = slice(low, low + q)
-        d = np.abs(x[near] - t)
-        h = max(d.max(), 1.0) * (1 if span <= n else span / n)
+    # all places at once, in blocks of bounded size
+    block = max((1 << 20) // q, 1)
+    for start in range(0, len(at), block):
+        t = at[start : start + block, None]
+        near = np.clip(np.ceil(t - q / 2), 0, n - q).astype(int) + np.arange(q)
+        d, values = np.abs(near - t), y[near]
+        h = np.maximum(d.max(1, keepdims=True), 1.0) * (1 if span <= n else span / n)
         w = np.where(d < h * 0.999, (1 - (d / h) ** 3) ** 3, 0.0) * weights[near]
-        total = w.sum()
-        if total <= 0:
-            out[i] = y[near].mean()
-            continue
-        mx, my = w @ x[near] / total, w @ y[near] / total
-        spread = w @ (x[near] - mx) ** 2
-        out[i] = my + ((t - mx) * (w @ ((x[near] - mx) * y[near])) / spread if spread > 1e-9 * total else 0.0)
+        total = w.sum(1)
+        known = np.where(total > 0, total, 1.0)
+        mx, my = (w * near).sum(1) / known, (w * values).sum(1) / known
+        gap = near - mx[:, None]
+        spread, slope = (w * gap**2).sum(1), (w * gap * (values - my[:, None])).sum(1)
+        tilt = np.where(spread > 1e-9 * total, (t[:, 0] - mx) * slope / np.where(spread > 0, spread, 1.0), 0.0)
+        out[start : start + block] = np.where(total > 0, my + tilt, values.mean(1))
     return out
 
 

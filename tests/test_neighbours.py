@@ -44,3 +44,26 @@ def test_empty(spark):
     t = spark.createDataFrame([], "id long, x double, y double")
     assert N.density_clusters(t, "id", ["x", "y"], 1.0, 4).count() == 0
     assert N.outlier_test(t, "id", ["x", "y"], 1.0, 3).count() == 0
+
+
+@pytest.mark.parametrize("held", [5, 1 << 20])
+def test_components_by_contraction(spark, monkeypatch, held):
+    """A long chain dealt at random, a hot hub, loops and repeated links: the roots of a plain union-find, however few links a task holds."""
+    monkeypatch.setattr(N, "HELD", held)
+    rng = np.random.default_rng(0)
+    chain = rng.permutation(200)
+    links = [(int(a), int(b)) for a, b in zip(chain, chain[1:])] + [(300, i) for i in range(301, 400)] + [(500, 500), (500, 500), (601, 600), (600, 601)]
+    root = {n: n for pair in links for n in pair}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    t = spark.createDataFrame([links[i] for i in rng.permutation(len(links))], "a long, b long").repartition(6)
+    rows = N.min_labels(t).collect()
+    assert len(rows) == len(root) and all(r["root"] == find(r["node"]) for r in rows)
+    assert N.min_labels(t.limit(0)).count() == 0
