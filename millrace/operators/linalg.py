@@ -134,10 +134,10 @@ def _orthonormal(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 
 def randomised_svd(df: DataFrame, vector: str, k: int, power: int = 2, over: int = 10, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`svd`, from the rows themselves: a Gaussian sketch of ``k + over`` columns, ``power`` steps and a projection.
+    """As :func:`svd`, from the rows themselves: a Gaussian sketch of ``k + over`` columns, ``power`` steps and a projection on the blocks of all steps.
 
     The sketch's range is made orthonormal by tree-reduced QR of row blocks, so singular values are as exact as those of the table, where the Gram matrix squares its
-    condition. A pass over rows costs rows times m times (k + over); what tasks send is (k + over) * m numbers. Rows with nulls or of another length than most are left out.
+    condition. A pass over rows costs rows times m times (k + over), the last one (power + 1) times as much or m; tasks send as many columns of m numbers. Rows with nulls or of another length than most are left out.
     """
     plain = df.select(F.col(vector).cast("array<double>").alias("v")).where("size(v) > 0 and not exists(v, x -> x is null)")
     sizes = plain.groupBy(F.size("v").alias("m")).count().orderBy(F.desc("count"), "m").head()
@@ -145,9 +145,11 @@ def randomised_svd(df: DataFrame, vector: str, k: int, power: int = 2, over: int
         return np.zeros(0), np.zeros((0, 0))
     m = sizes["m"]
     rows = checkpointed(plain.where(F.size("v") == m))
-    weights = np.random.default_rng(seed).normal(size=(m, min(k + over, m)))
+    blocks = [np.random.default_rng(seed).normal(size=(m, min(k + over, m)))]
     for _ in range(power):
-        weights, _ = np.linalg.qr(cross_product(rows, _orthonormal(rows, weights)))
+        blocks.append(np.linalg.qr(cross_product(rows, _orthonormal(rows, blocks[-1])))[0])
+    # the blocks of all steps together: with a flat spectrum the last one alone needs many more steps
+    weights = np.linalg.qr(np.hstack(blocks))[0][:, :m]
     vectors, values, _ = np.linalg.svd(cross_product(rows, _orthonormal(rows, weights)), full_matrices=False)
     return values[:k], _signed(vectors[:, :k])
 
