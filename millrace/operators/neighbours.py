@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -313,13 +315,30 @@ def nearest_centre(vector: Column, centres: list[list[float]]) -> Column:
 
 
 def lloyd(df: DataFrame, vector: str, centres: list[list[float]], rounds: int) -> list[list[float]]:
-    """K-means from given centres: a round is one aggregate of K rows; an empty cluster keeps its centre."""
-    m = len(centres[0])
+    """K-means from given centres: in a round each task sums its vectors by nearest centre, the first of equals, and K rows are gathered; an empty cluster keeps its centre.
+
+    Vectors of another length than the centres, or with a component that is null or not finite, are left out. The plan holds no centres, so rounds share its code.
+    """
+    m, at = len(centres[0]), np.array(centres, float)
+    plain = df.select(F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == m) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros(len(at)), np.zeros_like(at)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            near = np.stack([((x - c) ** 2).sum(1) for c in at], 1).argmin(1)
+            n += np.bincount(near, minlength=len(at))
+            np.add.at(sums, near, x)
+        hit = np.flatnonzero(n)
+        places = [pa.array(n[hit]), *[pa.array(column) for column in sums[hit].T]]
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), *places], ["i", "n", *[f"s{j}" for j in range(m)]])
+
     for _ in range(rounds):
-        near = df.select(nearest_centre(F.col(vector), centres).alias("i"), vector)
-        rows = near.groupBy("i").agg(*[F.avg(F.col(vector)[j]).alias(f"c{j}") for j in range(m)]).collect()
-        new = {r["i"]: [r[f"c{j}"] for j in range(m)] for r in rows}
+        rows = plain.mapInArrow(partial, "i int, n double, " + ", ".join(f"s{j} double" for j in range(m)))
+        found = rows.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(m)]).collect()
+        new = {r["i"]: [r[f"s{j}"] / r["n"] for j in range(m)] for r in found}
         centres = [new.get(i, c) for i, c in enumerate(centres)]
+        at = np.array(centres, float)
     return centres
 
 

@@ -23,6 +23,8 @@ from ..operators import spectral as P
 from ..operators import trees as T
 from ..operators.series import hash_folds
 from ..sources import artifacts as A
+from ..sources.centres import fit_centres, load_centres
+from ..sources.store import Store
 from .catalogue import _KD, _POINTS, _PREDICTIONS, _SQ, _V, ORACLE_SQL, QUERIES, _gappy, _labelled, _points, _predictions, _r, _seeds, _table, _vectors, flagship, query
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
@@ -213,6 +215,9 @@ def _modelled(spark, sf_dir):
     return M.prepare(hash_folds(t, 3, "l_orderkey"), _FEATURES, "y")
 
 
+_SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query()
 def model_compare(spark, sf_dir):
     """Every family of the registry, cross-validated: whether a customer's balance is above the middle, by nation, segment and key."""
@@ -221,6 +226,24 @@ def model_compare(spark, sf_dir):
     return M.ledger(spark, M.compare(rows, "customer", M.registry(2), 3, "accuracy")).drop("mean_time", "std_time")
 
 
+@query()
+def model_last_fold(spark, sf_dir):
+    """The last fold's model of a comparison, stored and loaded again, on the rows that it has not seen."""
+    keep, rows = f"{shared_folder(spark)}/folds-{uuid.uuid4().hex}", _modelled(spark, sf_dir)
+    (row,) = M.compare(rows, "lineitem", {"tree": M.registry(2)["tree"]}, 3, "accuracy", keep=keep)
+    return M.last_fold(keep, row).transform(rows.where("fold = 2")).select("l_orderkey", "l_linenumber", F.col("prediction").cast("int").alias("predicted"), F.col("_label").cast("int").alias("label"))
+
+
+@query()
+def feat_centres_reload(spark, sf_dir):
+    """Distances to k-means centres of the lines' numbers that were stored with their scales and loaded again."""
+    t = _table(spark, sf_dir, "lineitem").withColumn("id", F.struct("l_orderkey", "l_linenumber")).select("id", *_SCALED)
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    version = store.new_version("centres of the lines")
+    fit_centres(t, _SCALED, "id").save(store, version)
+    return load_centres(store, version).distances(t).select("id.*", "*").drop("id", *_SCALED)
+
+
 @query()
 def search_grid(spark, sf_dir):
     """Every configuration of a small grid, cross-validated."""
