@@ -2,7 +2,8 @@
 
 White space never enters a token of the word vocabulary, so a text's ids are those of its
 white-space-separated words one after another. A task keeps the ids of the words it has met
-(bounded, see :data:`WORDS_KEPT`) and gives the library only words that are new to it.
+(bounded, see :data:`WORDS_KEPT`) and gives the library only words that are new to it. They are held in two halves: when the newer one is full it
+becomes the older one, whose words go back to the newer when they are met again; what is not met in that time is forgotten.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import numpy as np
 
 from .shared import remembers
 
-#: Words whose ids a worker remembers; at this count it forgets them all and starts again.
-WORDS_KEPT = 1_000_000
+#: Words whose ids a worker remembers, about (a single text's words are held together).
+WORDS_KEPT = 600_000
 #: str.split() also splits at these, which the vocabulary's pattern takes as symbols.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _loaded: dict[str, "WordEncoder"] = {}
@@ -37,6 +38,7 @@ class WordEncoder:
         added = sorted({t.content for t in self.library.get_added_tokens_decoder().values()})
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -61,10 +63,13 @@ class WordEncoder:
         words, known = text.split(), self.words
         new = set(words).difference(known)
         if new:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-                new = set(words)
-            known |= self._learned(new)
+            if len(known) > WORDS_KEPT // 2:
+                self.older, self.words = known, {}
+                known, new = self.words, set(words)
+            met = new & self.older.keys()
+            known |= {w: self.older[w] for w in met}
+            if len(met) < len(new):
+                known |= self._learned(new - met)
         return b"".join([known[w] for w in words])
 
     def _learned(self, words: set[str]) -> dict[str, bytes]:
