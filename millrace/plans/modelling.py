@@ -20,6 +20,7 @@ from ..operators import neighbours as N
 from ..operators import online as O
 from ..operators import series as S
 from ..operators import spectral as P
+from ..operators import screening as SC
 from ..operators import trees as T
 from ..operators.series import hash_folds
 from ..sources import artifacts as A
@@ -71,6 +72,26 @@ def feat_score_tree_classes(spark, sf_dir):
     return T.class_scores(_melted(spark, sf_dir, F.col("l_returnflag").alias("y")), ["A", "N", "R"]).withColumn("score", _r("score", 9))
 
 
+_SEARCHED = X.candidates(["p", "d", "t"])
+
+
+def _search_sql() -> str:
+    value = {"x": "{0} * {1}", "d": "CASE WHEN {1} = 0 THEN CASE WHEN {0} > 0 THEN 1e12 WHEN {0} < 0 THEN -1e12 ELSE 0 END ELSE {0} / {1} END"}
+    each = ", ".join([f"{{'feature': '{c}', 'x': {c}}}" for c in "pdt"] + [f"{{'feature': '{s.name}', 'x': ({value[s.op].format(*s.inputs)})::DOUBLE}}" for s in _SEARCHED])
+    rows = "SELECT l_extendedprice::DOUBLE AS p, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t, (l_extendedprice::DOUBLE * l_discount::DOUBLE > 1500)::INT AS y FROM lineitem"
+    return _tree_sql(f"SELECT f.feature, f.x, y FROM (SELECT y, unnest([{each}]) AS f FROM ({rows}))", ["y"]) + """, scores AS (SELECT feature, sum(greatest(y, n - y)) / sum(n) AS score FROM leaves GROUP BY feature)
+    SELECT feature, round(score, 9) AS score FROM scores WHERE feature NOT IN ('p', 'd', 't') AND score > (SELECT max(score) FROM scores WHERE feature IN ('p', 'd', 't'))"""
+
+
+@query(_search_sql())
+def feat_search(spark, sf_dir):
+    """Products and ratios that tell rebates above 1,500 better than every original feature does, found by bounds first and exact scores after."""
+    t = _table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(n) for n, c in (("p", "l_extendedprice"), ("d", "l_discount"), ("t", "l_tax"))])
+    t = t.withColumn("y", (F.col("p") * F.col("d") > 1500).cast("int"))
+    found = SC.search(t, ["p", "d", "t"], _SEARCHED, "y", 2)
+    return spark.createDataFrame(found.accepted, "feature string, score double").withColumn("score", _r("score", 9))
+
+
 def _pps_sql() -> str:
     each = ", ".join(f"avg(CASE WHEN fold <> {f} THEN y END) AS m{f}" for f in range(4))
     near = ", ".join(f"last_value(CASE WHEN m{f} IS NOT NULL THEN struct_pack(x := x, m := m{f}) END IGNORE NULLS) OVER b AS l{f}, first_value(CASE WHEN m{f} IS NOT NULL THEN struct_pack(x := x, m := m{f}) END IGNORE NULLS) OVER a AS h{f}" for f in range(4))
