@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import local_path, stage
+from .shared import local_path, slices, stage
 from .tokens import WordEncoder
 
 #: Ids of a row, and rows of a record batch.
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
 
         encoder, end = WordEncoder.load(tokenizer), np.array([end_id], "<u4").tobytes()
         shard, done = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(2).to_pylist())):
                 if shard is None:
                     shard = ShardWriter(folder, TaskContext.get().partitionId(), length, width)
