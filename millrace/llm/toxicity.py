@@ -30,6 +30,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ TOGETHER = 0.25
 #: A beginning may stand for up to ``LEVELS`` terms: how many words begin so, at that rate in each SPAN words.
 LEVELS, SPAN = 3, 400
 PREFIXES, WORDS_KEPT, TERMS_HELD = (4, 5, 6), 200_000, 300_000
+#: Distinct sets of votes of a task of the label model.
+SETS = 20_000
 #: Labels up to this number are broadcast (24 MB at most); more are joined by a shuffle.
 LABELS_SENT = 1_000_000
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&…«»„“”‘’-_/\\~`^+=@"
@@ -185,7 +188,8 @@ def _ints(column: pa.Array) -> list[np.ndarray]:
 def _pair_counts(votes: DataFrame, model: LabelModel | None, n: int, pairs: bool) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """One pass over rows ``(votes, n)``: documents, expected causes by group, fired with and without cause, and both fired with cause.
 
-    Without a model every vote counts as one with its cause, whatever its group.
+    Without a model every vote counts as one with its cause, whatever its group. A task sends a row for each voter that fires in it, which
+    holds the voters that fire with it as a sparse row of the matrix of pairs, and one for each group.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,23 +215,33 @@ def _pair_counts(votes: DataFrame, model: LabelModel | None, n: int, pairs: bool
         if model is not None:
             k = len(model.base)
             caused[:k] += (total - seen[:k]) * _chance(model.base)
-        keys = np.concatenate([[-1], np.arange(2 * n), 2 * n + np.fromiter(both.keys(), np.int64, len(both))])
-        first = np.concatenate([[total], fired[0], caused, np.fromiter(both.values(), float, len(both))])
-        second = np.concatenate([[0.0], fired[1], np.zeros(n + len(both))])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(first), pa.array(second)], ["at", "a", "b"])
-
-    rows = votes.mapInArrow(sums, "at long, a double, b double").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-    total, fired, caused, both = 0.0, np.zeros((2, n)), np.zeros(n), np.zeros((n, n))
-    for at, a, b in rows:
+        voters, groups = np.flatnonzero(fired.any(0)), np.flatnonzero(caused)
+        flat = np.array(sorted(both), np.int64)
+        ends = np.concatenate([[0], np.searchsorted(flat, (voters + 1) * n), np.full(len(groups) + 1, len(flat))])
+        none = np.zeros(len(groups) + 1)
+        arrays = [np.concatenate([voters, n + groups, [-1]]), np.concatenate([fired[0, voters], caused[groups], [total]]), np.concatenate([fired[1, voters], none])]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (flat % n, np.array([both[x] for x in flat.tolist()], float))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), *lists], ["at", "a", "b", "others", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        """The sum of the rows of one voter or group."""
+        others, place = np.unique(pc.list_flatten(table["others"]).to_numpy(), return_inverse=True)
+        sums = np.bincount(place, pc.list_flatten(table["sums"]).to_numpy(), len(others))
+        return pa.table([table["at"][:1].combine_chunks(), *(pa.array([pc.sum(table[c]).as_py()]) for c in "ab"), pa.array([others], pa.list_(pa.int64())), pa.array([sums], pa.list_(pa.float64()))], ["at", "a", "b", "others", "sums"])
+
+    kinds = "at long, a double, b double, others array<long>, sums array<double>"
+    rows = votes.mapInArrow(sums, kinds).groupBy("at")
+    rows = rows.applyInArrow(added, kinds) if pairs else rows.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("*", F.lit(None), F.lit(None))
+    total, fired, caused, both = 0.0, np.zeros((2, n)), np.zeros(n), np.zeros((n, n) if pairs else (0, 0))
+    for at, a, b, others, with_cause in rows.collect():
         if at < 0:
             total = a
         elif at < n:
             fired[:, at] = a, b
-        elif at < 2 * n:
-            caused[at - n] = a
+            if others:
+                both[at, others] = both[others, at] = with_cause
         else:
-            x, y = divmod(at - 2 * n, n)
-            both[x, y] = both[y, x] = a
+            caused[at - n] = a
     return total, caused, fired, both
 
 
@@ -257,6 +271,8 @@ def fit_label_model(votes: DataFrame, hit: np.ndarray, false: np.ndarray, rounds
     ``hit`` and ``false`` are where it starts from: how often voters fire in toxic and in other labelled documents.
     """
     n = len(hit)
+    # tasks by the number of sets, however many partitions they come in: each sends its own sums
+    votes = votes.coalesce(max(votes.sparkSession.sparkContext.defaultParallelism, -(-votes.count() // SETS)))
     total, _, fired, both = _pair_counts(votes, None, n, True)
     group = _groups(_together(fired[0], both, total))
     k = group.max() + 1
