@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import id_bounds, new_path, part_of, remove, stage
+from .shared import forget_others, id_bounds, new_path, part_of, remove, slices, stage
 
 MIN_DOCS, MIN_CHARS = 5, 40
 #: Lines of a bucket of the runs.
@@ -51,7 +51,8 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(batch, doc_id, tie, key)``: the distinct keys of each row of ``(batch, doc_id, tie, text)``."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget_others()
+        for batch in slices(batches):
             rows, found = [], []
             for row, text in enumerate(batch.column(3).to_pylist()):
                 if text and len(text) >= min_chars:
@@ -161,7 +162,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text + ", carried struct<none:int" + "".join(f",`{c}`:{kinds[c]}" for c in carry) + ">"
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget_others()
+        for batch in slices(batches):
             n_lines, n_dropped, digests, texts = [], [], [], []
             for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode()

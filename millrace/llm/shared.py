@@ -29,6 +29,7 @@ def forget_others() -> None:
     """Empty what operators of earlier stages remember in this worker process; called by tasks that use none of it."""
     for forget in _forget:
         forget()
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
