@@ -37,13 +37,14 @@ def sequences(df: DataFrame, inputs: list[str], target: str, back: int | list[in
     """Input rows t-back..t and target rows t+shift+1..t+shift+forward, as arrays; incomplete rows are left out.
 
     Lists name the rows themselves: ``back`` [0, 2, 5] takes rows t-5, t-2 and t, ``forward`` [1, 7] rows t+shift+1 and t+shift+7.
-    ``diff`` takes values, differences (``diff``) or differences of logarithms (``logdiff``).
+    ``diff`` takes values, differences (``diff``) or differences of logarithms (``logdiff``). A row is incomplete where a value is missing; the
+    logarithm of 0 is minus infinity and that of a negative value NaN, so these are values and their rows stay.
     """
     behind = sorted(range(back + 1) if isinstance(back, int) else back, reverse=True)
     ahead = list(range(1, forward + 1)) if isinstance(forward, int) else list(forward)
     if min([*behind, shift], default=0) < 0:
         raise ValueError("rows behind and the shift are counted from 0")
-    value = (lambda c: F.when(F.col(c) > 0, F.ln(c))) if diff == "logdiff" else F.col
+    value = (lambda c: _ln(F.col(c).cast("double"))) if diff == "logdiff" else F.col
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         step = (lambda c, i: _at(value(c), i, w)) if diff == "none" else (lambda c, i: _at(value(c), i, w) - _at(value(c), i - 1, w))
@@ -58,6 +59,11 @@ def sequences(df: DataFrame, inputs: list[str], target: str, back: int | list[in
     return made.where(whole)
 
 
+def _ln(c: Column) -> Column:
+    """The logarithm as SQL has it; that of Spark is null for all but positive values."""
+    return F.when(c > 0, F.ln(c)).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan")))
+
+
 def _at(c: Column, i: int, w: Window) -> Column:
     return c if i == 0 else F.lead(c, i).over(w) if i > 0 else F.lag(c, -i).over(w)
 
