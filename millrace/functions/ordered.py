@@ -28,16 +28,15 @@ def ranges(df: DataFrame, keys: list[str]) -> DataFrame:
 def running(df: DataFrame, groups: list[str], order: list[str], values: dict[str, tuple[str, Column]], reverse: bool = False) -> DataFrame:
     """``df`` with, for each name of ``values``, its aggregate (``sum``, ``max``, ``min``) over the rows of the group up to and with this one.
 
-    ``reverse`` runs from the end instead. ``order`` must be total within a group. Rows are cut into ranges of (groups, order);
+    ``reverse`` runs from the end instead, over windows in falling order: a frame that reaches to the end of its partition is computed anew for every
+    row, which grows with the square of a range. ``order`` must be total within a group. Rows are cut into ranges of (groups, order);
     windows run within a range, and one row for each group of a range carries the values of earlier ranges. So a group of any size
     is spread over many tasks, and the second window sees at most as many rows of a group as there are ranges.
     """
     placed = ranges(df, [*groups, *order])
-    local, across = Window.partitionBy("_range", *groups).orderBy(*order), Window.partitionBy(*groups).orderBy("_range")
-    if reverse:
-        local, across = local.rowsBetween(0, Window.unboundedFollowing), across.rowsBetween(1, Window.unboundedFollowing)
-    else:
-        local, across = local.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
+    way = (lambda c: F.col(c).desc()) if reverse else F.col
+    local = Window.partitionBy("_range", *groups).orderBy(*map(way, order)).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*groups).orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
     aggregate = {n: (getattr(F, kind), c) for n, (kind, c) in values.items()}
     whole = placed.groupBy("_range", *groups).agg(*[f(c).alias(f"_w_{n}") for n, (f, c) in aggregate.items()])
     earlier = whole.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g_{g}") for g in groups], *[getattr(F, values[n][0])(f"_w_{n}").over(across).alias(f"_b_{n}") for n in values])

@@ -122,10 +122,11 @@ def interpolate(df: DataFrame, columns: list[str], order: list[str], by: list[st
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct("_at", F.col(c).cast("double").alias("v")))
     if by:
         w = Window.partitionBy(*by).orderBy(*order)
-        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        # falling order: frames that reach to the end are computed anew for every row
+        back, ahead = (v.rowsBetween(Window.unboundedPreceding, 0) for v in (w, Window.partitionBy(*by).orderBy(*[F.col(o).desc() for o in order])))
         out = df.withColumn("_at", F.row_number().over(w).cast("long"))
         for c in columns:
-            out = out.withColumn(f"_p_{c}", F.last(known(c), ignorenulls=True).over(back)).withColumn(f"_n_{c}", F.first(known(c), ignorenulls=True).over(ahead))
+            out = out.withColumn(f"_p_{c}", F.last(known(c), ignorenulls=True).over(back)).withColumn(f"_n_{c}", F.last(known(c), ignorenulls=True).over(ahead))
     else:
         out = ranked(df, [], list(order), "_at")
         # places differ, so the largest (place, value) so far is the last one known
