@@ -23,19 +23,48 @@ def _square(points: list[str], left: str, right: str) -> Column:
     return total
 
 
+#: rows of a cell that meet the rows around them in one task
+CROWD = 4096
+
+
+def _celled(df: DataFrame, points: list[str], eps: float) -> tuple[DataFrame, list[str]]:
+    """Rows with the number of their cell of width eps along each dimension, and the names of these columns. Rows with a null are left out."""
+    names = [f"_c{i}" for i in range(len(points))]
+    known = df.na.drop("any", subset=points)
+    return known.withColumns({n: F.floor(F.col(p) / eps).cast("long") for n, p in zip(names, points)}), names
+
+
+def _widened(df: DataFrame, names: list[str]) -> DataFrame:
+    """Each row in its own cell and all cells that touch it."""
+    shifts = F.array(*[F.struct(*[F.lit(s).alias(n) for n, s in zip(names, step)]) for step in product((-1, 0, 1), repeat=len(names))])
+    return df.withColumn("_s", F.explode(shifts)).withColumns({n: F.col(n) + F.col(f"_s.{n}") for n in names}).drop("_s")
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], near: Column) -> DataFrame:
+    """Pairs of ``l`` and ``r`` rows of one cell that are ``near``, by sorted runs: neither side is sent whole to the driver or to a task.
+
+    Rows ``l`` of a cell with more than ``CROWD`` are dealt to parts that ``r`` rows all go to, so pairs of a crowded cell are spread over tasks. The
+    table of these cells has at most a row for each ``CROWD`` rows.
+    """
+    crowds = left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(F.broadcast(crowds), on, "left").withColumn("_part", F.pmod(F.xxhash64("_key"), parts).cast("int")).drop("_parts")
+    copies = right.join(F.broadcast(crowds), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    same = F.lit(True)
+    for n in [*on, "_part"]:
+        same = same & (F.col(f"l.{n}") == F.col(f"r.{n}"))
+    return dealt.alias("l").join(copies.alias("r").hint("merge"), same & near)
+
+
 def radius_pairs(df: DataFrame, key: str, points: list[str], eps: float) -> DataFrame:
     """``(a, b, distance)`` of rows nearer than eps, each row with itself included.
 
-    Rows meet in cells of width eps: one side goes to its own cell, the other to the neighbouring cells too, so this is an
-    equality join. It is meant for few dimensions (a row goes to 3^d cells), and a radius with few rows in a cell: all pairs are the result.
+    Rows meet in cells of width eps: one side goes to its own cell, the other to the neighbouring cells too (:func:`_meet`). It is meant for
+    few dimensions (a row goes to 3^d cells), and a radius with few rows in a cell: all pairs are the result.
     """
-    cells = [F.floor(F.col(p) / eps).cast("long") for p in points]
-    placed = df.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*cells).alias("cell"))
-    own = placed.withColumnRenamed("_key", "a").alias("l")
-    shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(points))])
-    wide = placed.withColumn("cell", F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d)))).withColumnRenamed("_key", "b").alias("r")
-    near = _square(points, "l", "r") < eps * eps
-    return own.join(wide, (F.col("l.cell") == F.col("r.cell")) & near).select("a", "b", F.sqrt(_square(points, "l", "r")).alias("distance"))
+    placed, cells = _celled(df.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points]), points, eps)
+    met = _meet(placed, _widened(placed, cells), cells, _square(points, "l", "r") < eps * eps)
+    return met.select(F.col("l._key").alias("a"), F.col("r._key").alias("b"), F.sqrt(_square(points, "l", "r")).alias("distance"))
 
 
 def _placed(df: DataFrame, key: str, points: list[str], eps: float) -> DataFrame:
@@ -218,14 +247,17 @@ def kd_leaves(df: DataFrame, key: str, points: list[str], depth: int, seed: int
 
     With ``seed`` each node splits a dimension drawn by a hash of its number instead.
     """
-    out = df.select(key, *points).withColumn("node", F.lit(0))
+    out = checkpointed(df.select(key, *points)).withColumn("node", F.lit(0))
     for d in range(depth):
         drawn = F.lit(d % len(points)) if seed is None else F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(len(points))).cast("int")
-        placed = ranked(out.withColumn("_v", F.get(F.array(*points), drawn)), ["node"], ["_v", key], "_place").drop("_v")
-        sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
-        high = (F.col("_place") > F.floor(F.col("_n") / 2)).cast("int")
-        out = checkpointed(placed.join(sizes, "node").withColumn("node", F.col("node") * 2 + 1 + high).drop("_place", "_n"))
-    return out
+        out = out.withColumn("_v", F.get(F.array(*points), drawn))
+        # only the order of values is written at a level; the last row of a node's lower half says where each row goes
+        placed = ranked(out.select("node", "_v", key), ["node"], ["_v", key], "_place")
+        sizes = placed.groupBy("node").agg(F.floor(F.max("_place") / 2).alias("_half"))
+        cuts = checkpointed(placed.join(F.broadcast(sizes), "node").where(F.col("_place") == F.col("_half")).select("node", F.struct("_v", F.col(key).alias("_key")).alias("_cut")))
+        high = F.coalesce((F.struct("_v", F.col(key).alias("_key")) > F.col("_cut")).cast("int"), F.lit(1))
+        out = out.join(F.broadcast(cuts), "node", "left").withColumn("node", F.col("node") * 2 + 1 + high).drop("_cut", "_v").select(key, *points, "node")
+    return checkpointed(out)
 
 
 def principal_points(df: DataFrame, key: str, points: list[str]) -> DataFrame:
@@ -264,32 +296,30 @@ def leaf_boxes(leaves: DataFrame, points: list[str]) -> DataFrame:
 BOXES_SENT = 4096
 
 
-def _cell_radius(rows: DataFrame, queries: DataFrame, key: str, query: str, points: list[str], eps: float) -> DataFrame:
-    placed = rows.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*[F.floor(F.col(p) / eps).cast("long") for p in points]).alias("cell")).alias("r")
-    asked = queries.select(F.col(query).alias("_q"), *[F.col(p).cast("double").alias(p) for p in points], F.array(*[F.floor(F.col(p) / eps).cast("long") for p in points]).alias("cell"))
-    shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(points))])
-    asked = asked.withColumn("cell", F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d)))).alias("l")
-    met = asked.join(placed, (F.col("l.cell") == F.col("r.cell")) & (_square(points, "l", "r") < eps * eps))
-    return met.select(F.col("_q").alias("query"), F.col("_key").alias(key), F.sqrt(_square(points, "l", "r")).alias("distance"))
+def _in_cells(rows: DataFrame, queries: DataFrame, key: str, points: list[str], eps: float, within: list[str]) -> DataFrame:
+    """``(query, key, distance)`` of ``rows`` and ``queries`` ``(_q, *points)`` nearer than eps, of equal ``within``: they meet in cells of width eps (:func:`_meet`)."""
+    placed, cells = _celled(rows.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], *within), points, eps)
+    asked, _ = _celled(queries.select("_q", *[F.col(p).cast("double").alias(p) for p in points], *within), points, eps)
+    met = _meet(placed, _widened(asked, cells), [*within, *cells], _square(points, "l", "r") < eps * eps)
+    return met.select(F.col("r._q").alias("query"), F.col("l._key").alias(key), F.sqrt(_square(points, "l", "r")).alias("distance"))
 
 
 def tree_radius(leaves: DataFrame, queries: DataFrame, key: str, query: str, points: list[str], eps: float) -> DataFrame:
     """``(query, key, distance)`` of rows nearer than eps to each query: leaves whose boxes the ball may touch are visited, others are not.
 
-    Up to ``BOXES_SENT`` boxes are broadcast; visits then meet the rows of their leaf by equality. For more boxes than that rows and queries
-    meet in cells of width eps instead, which gives the same pairs.
+    Up to ``BOXES_SENT`` boxes are broadcast; in a leaf, its rows and visits meet in cells of width eps, so a visit does not see the whole of a leaf. For more boxes than
+    that rows and queries meet in such cells alone, which gives the same pairs.
     """
+    asked = queries.select(F.col(query).alias("_q"), *[F.col(p).cast("double").alias(p) for p in points])
     boxes = checkpointed(leaf_boxes(leaves, points).drop("n"))
     if boxes.count() > BOXES_SENT:
-        return _cell_radius(leaves, queries, key, query, points, eps)
-    asked = queries.select(F.col(query).alias("_q"), *[F.col(p).cast("double").alias(f"_q_{p}") for p in points])
-    gap, far = F.lit(0.0), F.lit(0.0)
+        return _in_cells(leaves, asked, key, points, eps, [])
+    gap = F.lit(0.0)
     for p in points:
-        outside = F.greatest(F.col(f"{p}_low") - F.col(f"_q_{p}"), F.col(f"_q_{p}") - F.col(f"{p}_high"), F.lit(0.0))
+        outside = F.greatest(F.col(f"{p}_low") - F.col(p), F.col(p) - F.col(f"{p}_high"), F.lit(0.0))
         gap = gap + outside * outside
-        far = far + (F.col(p) - F.col(f"_q_{p}")) * (F.col(p) - F.col(f"_q_{p}"))
     visits = asked.join(F.broadcast(boxes), gap < eps * eps).select(*asked.columns, "node")
-    return visits.join(leaves, "node").where(far < eps * eps).select(F.col("_q").alias("query"), key, F.sqrt(far).alias("distance"))
+    return _in_cells(leaves, visits, key, points, eps, ["node"])
 
 
 def leaf_radius(leaves: DataFrame, key: str, points: list[str], eps: float) -> DataFrame:
@@ -297,12 +327,7 @@ def leaf_radius(leaves: DataFrame, key: str, points: list[str], eps: float) -> D
 
     Within a leaf rows meet in cells of width eps, so a leaf's pairs are those of neighbouring cells only.
     """
-    placed = leaves.select(F.col(key).alias("_key"), *[F.col(p).cast("double").alias(p) for p in points], F.col("node").cast("long").alias("node"), F.array(*[F.floor(F.col(p) / eps).cast("long") for p in points]).alias("cell"))
-    shifts = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(points))])
-    wide = placed.withColumn("cell", F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda c, d: c + d)))).alias("r")
-    near = _square(points, "l", "r") < eps * eps
-    met = placed.alias("l").join(wide, (F.col("l.node") == F.col("r.node")) & (F.col("l.cell") == F.col("r.cell")) & near)
-    return met.select(F.col("l._key").alias("query"), F.col("r._key").alias(key), F.sqrt(_square(points, "l", "r")).alias("distance"))
+    return _in_cells(leaves, leaves.withColumn("_q", F.col(key)), key, points, eps, ["node"])
 
 
 def square_distance(vector: Column, centre: list[float]) -> Column:
